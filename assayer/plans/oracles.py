@@ -1 +1,341 @@
-ORACLES = {}
+"""Oracle SQL per registered query, for DuckDB over the same tables.
+
+Written in relational steps, apart from how the Spark jobs go about it: containment as containment, tokens as rows.
+"""
+
+from __future__ import annotations
+
+from assayer.plans import suite, workload
+from assayer.plans.workload import oracle_input
+from assayer.rules import retail, scanning, vocab
+
+ORACLES: dict[str, str] = {}
+
+
+def _values(name: str, columns: str, rows: list[tuple]) -> str:
+    quoted = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + ")"
+
+
+def _list(items: list[str]) -> str:
+    return "[" + ", ".join("'" + i.replace("'", "''") + "'" for i in items) + "]"
+
+
+def _in(items: list[str]) -> str:
+    return "(" + ", ".join("'" + i + "'" for i in items) + ")"
+
+
+def _norm(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+SPACE = r"[\s\x0B\x1c-\x1f\x85\p{Z}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+# --- result sets ---------------------------------------------------------------------------------------------
+
+ORACLES["bag_compare_equal"] = """
+WITH gold AS (SELECT l_orderkey::DOUBLE a, round(l_quantity, 8) b, trim(l_returnflag) c, round(l_discount, 8) d FROM lineitem),
+pred AS (SELECT l_orderkey::DOUBLE a, round(l_quantity::DECIMAL(12,3)::DOUBLE, 8) b, trim(' ' || l_returnflag) c, round(l_discount + 1e-10, 8) d FROM lineitem)
+SELECT (SELECT count(*) FROM ((FROM gold EXCEPT ALL FROM pred) UNION ALL (FROM pred EXCEPT ALL FROM gold))) = 0 AS exact_match,
+  (SELECT count(*) FROM gold) AS gold_row_count, (SELECT count(*) FROM pred) AS pred_row_count
+"""
+
+ORACLES["bag_compare_diff"] = """
+SELECT 's:' || o_orderstatus AS status_cell, 's:' || o_orderpriority AS priority_cell,
+  count(*) AS gold_n, count(*) FILTER (o_orderkey % 10 <> 3) AS pred_n
+FROM orders GROUP BY o_orderstatus, o_orderpriority HAVING count(*) <> count(*) FILTER (o_orderkey % 10 <> 3)
+"""
+
+
+def _suite_details() -> str:
+    """Every comparison by EXCEPT ALL on values brought to one type by hand; errors and refusals stated."""
+    plain = {row[0]: row[3] for row in suite.SUITE}
+    canon = {
+        "c03": ["SELECT c_nationkey::DOUBLE::VARCHAR, count(*)::DOUBLE FROM customer GROUP BY c_nationkey"] * 2
+        + ["SELECT 's' || c_nationkey, count(*)::DOUBLE FROM customer GROUP BY c_nationkey"],
+        "c04": ["SELECT n_name FROM nation", "SELECT trim('  ' || n_name || ' ') FROM nation", "SELECT lower(n_name) FROM nation"],
+        "c05": [f"SELECT c_custkey, round(c_acctbal + {d}, 8) FROM customer" for d in ("0", "0.000000001::DOUBLE", "0.000001::DOUBLE")],
+        "c07": ["SELECT r_name FROM region WHERE r_regionkey < 0"] * 2 + ["SELECT max(r_name) FROM region WHERE r_regionkey < 0"],
+    }
+    failing = {("c08", 0), ("c08", 1), ("c10", 0), ("c10", 1), ("c11", 0), ("c11", 1)}
+    rows = []
+    for case, mode, found, gold, *preds in suite.SUITE:
+        for i, model in enumerate(suite.MODELS):
+            pred = preds[i]
+            reason = (
+                "agentic benchmark; use benchmark-native evaluator" if mode != "sql"
+                else "local sqlite database not found" if not found
+                else "gold SQL unavailable" if not gold.strip() else None
+            )
+            gold_failed, pred_failed = case == "c09", (case, i) in failing
+            g = canon[case][0] if case in canon else plain[case]
+            p = canon[case][1 + i] if case in canon else pred
+            size = lambda q, failed: "NULL" if reason else "0" if failed else f"(SELECT count(*) FROM ({q}))"
+            same = (
+                "false" if reason or gold_failed or pred_failed
+                else f"(SELECT count(*) FROM ((({g}) EXCEPT ALL ({p})) UNION ALL (({p}) EXCEPT ALL ({g})))) = 0"
+            )
+            if case == "c03":
+                same = same.replace("c_nationkey::DOUBLE::VARCHAR", "'d' || c_nationkey")
+            text = f"'{reason}'" if reason else "NULL"
+            dangerous = any(w in pred.lower() for w in ("drop", "delete"))
+            rows.append(
+                f"SELECT '{case}' AS case_id, '{model}' AS model, {bool(pred.strip())} AS has_prediction, {dangerous} AS dangerous_sql, "
+                f"{bool(reason)} AS skipped, {text} AS skip_reason, {same} AS exact_match, {gold_failed and not reason} AS gold_failed, "
+                f"{pred_failed and not reason} AS pred_failed, {size(g, gold_failed)} AS gold_row_count, {size(p, pred_failed)} AS pred_row_count"
+            )
+    return "\nUNION ALL ".join(rows)
+
+
+ORACLES["eval_details"] = _suite_details()
+ORACLES["exec_accuracy_summary"] = f"""
+SELECT model, count(*) AS total_cases, count(*) FILTER (NOT skipped AND NOT gold_failed) AS total_evaluated,
+  count(*) FILTER (skipped) AS skipped, count(*) FILTER (exact_match) AS exact_matches,
+  count(*) FILTER (NOT skipped AND NOT gold_failed AND pred_failed) AS prediction_error_count,
+  round(count(*) FILTER (exact_match) * 100.0 / count(*) FILTER (NOT skipped AND NOT gold_failed), 6) AS execution_accuracy_pct,
+  round(count(*) FILTER (NOT skipped AND NOT gold_failed AND NOT pred_failed) * 1.0 / count(*) FILTER (NOT skipped AND NOT gold_failed), 6) AS executable_rate
+FROM ({_suite_details()}) GROUP BY model
+"""
+
+# --- cost, reports, matrix -------------------------------------------------------------------------------------
+
+_COSTED = f"""costed AS (
+  SELECT c.*, CASE WHEN c.cost IS NOT NULL THEN c.cost ELSE
+    (CASE WHEN c.prompt_tokens IS NULL OR c.prompt_tokens = 0 THEN coalesce(c.input_tokens, 0) ELSE c.prompt_tokens END) * coalesce(p.prompt_per_million_usd, 0) / 1000000
+    + (CASE WHEN c.completion_tokens IS NULL OR c.completion_tokens = 0 THEN coalesce(c.output_tokens, 0) ELSE c.completion_tokens END) * coalesce(p.completion_per_million_usd, 0) / 1000000
+    END AS usd
+  FROM {oracle_input(workload.CASE_RUNS)} c LEFT JOIN {oracle_input(workload.PRICES)} p ON c.model = p.model)"""
+_RUNS = """runs AS (
+  SELECT run_id, benchmark, model, track, 'sql' AS mode, 'sqlite' AS dialect, 'openrouter' AS provider, count(*) AS total_items,
+    count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'prompted') AS prompted, count(*) FILTER (status = 'error') AS errors,
+    sum(coalesce(prompt_tokens, 0))::BIGINT AS prompt_tokens, sum(coalesce(completion_tokens, 0))::BIGINT AS completion_tokens,
+    sum(coalesce(total_tokens, 0))::BIGINT AS total_tokens, sum(usd) AS estimated_cost_usd
+  FROM costed GROUP BY run_id, benchmark, model, track)"""
+_AUDITS = f"""fair_runs AS (SELECT * FROM {oracle_input(workload.FAIRNESS_RUNS)}),
+run_leaks AS (SELECT run_id, count(*) AS n FROM {oracle_input(workload.FAIRNESS_LEAKS)} GROUP BY run_id),
+audits AS (
+  SELECT r.run_id, mode, provider, track,
+    coalesce(n, 0) + (coalesce(prompt_set_sha256, '') = '')::INT + (provider = 'prompt-only')::INT
+      + (provider = 'droid' AND track <> 'bounded-agent' AND NOT contains(track, 'schema-plan'))::INT AS finding_count,
+    CASE WHEN n > 0 THEN 'diagnostic_contaminated' WHEN mode = 'agentic_dbt' THEN 'agentic_fair'
+      WHEN track IN {_in(vocab.TOOL_TRACKS)} THEN 'fair_with_tools' ELSE 'fair' END AS classification,
+    n IS NULL AND provider <> 'prompt-only' AS score_eligible
+  FROM fair_runs r LEFT JOIN run_leaks l ON r.run_id = l.run_id)"""
+_REPORT = f"""{_COSTED}, {_RUNS}, {_AUDITS},
+summaries AS (
+  SELECT run_id, count(*) FILTER (exact IS NOT NULL) AS total_evaluated, count(*) FILTER (exact IS NULL) AS skipped,
+    count(*) FILTER (exact = 1 AND failed = 0) AS exact_matches, count(*) FILTER (exact IS NOT NULL AND failed = 1) AS prediction_error_count
+  FROM costed GROUP BY run_id),
+report AS (
+  SELECT r.run_id, r.benchmark, r.mode, r.dialect, r.track, r.provider, r.model, total_items, total_evaluated, skipped, exact_matches,
+    CASE WHEN total_evaluated > 0 THEN exact_matches * 100.0 / total_evaluated END AS execution_accuracy_pct, prediction_error_count,
+    estimated_cost_usd, CASE WHEN exact_matches > 0 THEN estimated_cost_usd / exact_matches END AS cost_per_exact_match_usd, total_tokens,
+    coalesce(a.classification, 'not-audited') AS fairness_classification, a.score_eligible
+  FROM runs r LEFT JOIN summaries s ON r.run_id = s.run_id
+  LEFT JOIN (SELECT * FROM audits WHERE NOT regexp_matches(run_id, 'src\\d*[37]\\|')) a ON r.run_id = a.run_id),
+models AS (
+  SELECT model, sum(exact_matches)::BIGINT AS exact_matches, sum(total_evaluated)::BIGINT AS total_evaluated,
+    sum(prediction_error_count)::BIGINT AS prediction_error_count, sum(estimated_cost_usd) AS estimated_cost_usd
+  FROM report GROUP BY model),
+coverage AS (
+  SELECT run_id, r.benchmark, total_items, total_evaluated, total_items - coalesce(total_evaluated, 0) AS not_evaluated,
+    CASE WHEN total_items >= planned THEN 'full' ELSE 'pilot' END AS scope
+  FROM report r LEFT JOIN (SELECT benchmark, count(*) / 40.0 AS planned FROM costed GROUP BY benchmark) p ON r.benchmark = p.benchmark)"""
+
+ORACLES["usage_cost_by_model"] = f"""WITH {_COSTED}
+SELECT model, count(*) AS calls, round(sum(usd), 6) AS estimated_cost_usd, count(*) FILTER (usd = 0) AS free_calls FROM costed GROUP BY model"""
+ORACLES["run_rollup"] = f"WITH {_COSTED}, {_RUNS} SELECT * REPLACE (round(estimated_cost_usd, 6) AS estimated_cost_usd) FROM runs"
+ORACLES["report_rows"] = f"""WITH {_REPORT}
+SELECT * REPLACE (round(estimated_cost_usd, 6) AS estimated_cost_usd, round(cost_per_exact_match_usd, 6) AS cost_per_exact_match_usd,
+  round(execution_accuracy_pct, 6) AS execution_accuracy_pct) FROM report"""
+ORACLES["grouped_report"] = f"""WITH {_REPORT}
+SELECT benchmark AS benchmark_group, track AS track_group, run_id, exact_matches, total_evaluated,
+  row_number() OVER (PARTITION BY benchmark, track ORDER BY coalesce(execution_accuracy_pct, -1) DESC, run_id) AS place FROM report"""
+ORACLES["model_leaderboard"] = f"""WITH {_REPORT}
+SELECT model, exact_matches, total_evaluated, prediction_error_count, round(estimated_cost_usd, 6) AS estimated_cost_usd,
+  CASE WHEN total_evaluated > 0 THEN round(exact_matches * 100.0 / total_evaluated, 6) END AS execution_accuracy_pct,
+  CASE WHEN exact_matches > 0 THEN round(estimated_cost_usd / exact_matches, 6) END AS cost_per_exact_match_usd FROM models"""
+ORACLES["dataset_winners"] = f"""WITH {_REPORT}
+SELECT benchmark, run_id, exact_matches, prediction_error_count FROM report r
+WHERE NOT EXISTS (SELECT 1 FROM report o WHERE o.benchmark = r.benchmark AND o.exact_matches > r.exact_matches) AND exact_matches IS NOT NULL"""
+ORACLES["model_tradeoffs"] = f"""WITH {_REPORT}, m AS (SELECT model, exact_matches, round(estimated_cost_usd, 6) AS estimated_cost_usd FROM models)
+SELECT label, model, exact_matches, estimated_cost_usd FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY exact_matches DESC, estimated_cost_usd, model) AS place FROM (
+    SELECT 'best' AS label, * FROM m
+    UNION ALL SELECT 'best low-cost', * FROM m WHERE estimated_cost_usd > 0 AND estimated_cost_usd <= (SELECT quantile_cont(estimated_cost_usd, 0.5) FROM m WHERE estimated_cost_usd > 0)
+    UNION ALL SELECT 'best free', * FROM m WHERE estimated_cost_usd = 0)) WHERE place = 1"""
+ORACLES["scope_coverage"] = f"WITH {_REPORT} SELECT * FROM coverage"
+ORACLES["rankable_runs"] = f"""WITH {_REPORT}
+SELECT r.run_id, r.benchmark, r.track, c.scope, c.not_evaluated, r.exact_matches,
+  CASE WHEN r.mode = 'agentic_dbt' THEN 'agentic' WHEN fairness_classification = 'fair_with_tools' THEN 'tool-assisted' ELSE 'raw' END AS result_class
+FROM report r JOIN coverage c ON r.run_id = c.run_id
+WHERE score_eligible AND fairness_classification <> 'diagnostic_contaminated' AND scope = 'full'"""
+ORACLES["fairness_classification"] = f"WITH {_AUDITS} SELECT * FROM audits"
+
+_PLANNED = """planned AS (SELECT event_type AS benchmark, 'vendor/m' || i AS model, 'raw' AS track, 25 AS case_limit, 'bounded' AS scope
+  FROM (SELECT DISTINCT event_type FROM events), range(60) t(i))"""
+_LATEST = """indexed AS (SELECT event_type AS benchmark, 'vendor/m' || user_id AS model, CASE WHEN event_id % 3 = 0 THEN 'schema-plan' ELSE 'raw' END AS track, ts, event_id FROM events),
+latest AS (SELECT benchmark, model, track, event_id AS run_id FROM indexed QUALIFY row_number() OVER (PARTITION BY benchmark, model, track ORDER BY ts DESC, event_id DESC) = 1)"""
+ORACLES["run_matrix"] = f"WITH {_PLANNED} SELECT * FROM planned"
+ORACLES["latest_runs"] = f"WITH {_LATEST} SELECT * FROM latest"
+ORACLES["matrix_status"] = f"""WITH {_PLANNED}, {_LATEST},
+codes AS (SELECT event_id AS run_id, (value > 30)::INT AS run_exit_code, CASE WHEN event_id % 4 > 0 THEN (event_id % 4 - 1)::INT END AS eval_exit_code FROM events)
+SELECT p.*, l.run_id, run_exit_code, eval_exit_code, coalesce(run_exit_code <> 0, false) OR coalesce(eval_exit_code <> 0, false) AS failed, l.run_id IS NULL AS missing
+FROM planned p LEFT JOIN latest l USING (benchmark, model, track) LEFT JOIN codes c ON l.run_id = c.run_id"""
+ORACLES["run_labels"] = f"""
+SELECT event_id, model, provider, CASE WHEN provider <> 'droid' THEN asked WHEN asked = 'schema-plan' THEN 'bounded-agent+schema-plan' ELSE 'bounded-agent' END AS track
+FROM (SELECT *, CASE WHEN given <> 'auto' THEN given WHEN model LIKE 'custom:%' OR model IN {_in(vocab.AGENT_MODELS)} THEN 'droid'
+    WHEN contains(model, '/') THEN 'openrouter' ELSE 'prompt-only' END AS provider
+  FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'glm-5.2' WHEN 1 THEN 'custom:' || event_type WHEN 2 THEN 'vendor/' || event_type ELSE event_type END AS model,
+      CASE WHEN event_id % 7 = 0 THEN 'openrouter' ELSE 'auto' END AS given, CASE WHEN event_id % 2 = 0 THEN 'schema-plan' ELSE 'raw' END AS asked FROM events))"""
+
+
+# --- leaks ----------------------------------------------------------------------------------------------------------
+
+
+def _norm_sql(x: str) -> str:
+    return f"regexp_replace(lower(regexp_replace({_strip(x)}, '^;+|;+$', '', 'g')), '{SPACE}+', ' ', 'g')"
+
+
+ORACLES["leak_keyed"] = f"""
+SELECT run_id, p.case_id FROM {oracle_input(workload.LEAK_PROMPTS)} p JOIN {oracle_input(workload.LEAK_GOLD)} g ON p.case_id = g.case_id
+WHERE length({_norm_sql('gold_text')}) >= 40 AND contains({_norm_sql('prompt')}, {_norm_sql('gold_text')})"""
+ORACLES["leak_corpus"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_norm_sql('text')} AS body FROM documents), b AS MATERIALIZED (SELECT item_id, {_norm_sql('text')} AS passage FROM benchmark)
+SELECT doc_id AS text_id, item_id AS passage_id FROM d, b WHERE length(passage) >= 40 AND contains(body, passage)"""
+ORACLES["leak_corpus_by_key"] = ORACLES["leak_corpus"]
+ORACLES["normalized_sql"] = f"SELECT case_id, {_norm_sql('gold_text')} AS normalized FROM {oracle_input(workload.LEAK_GOLD)}"
+
+# --- scans: look-arounds and exclusions restated for RE2 ---------------------------------------------------------------
+
+_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+_W = r"[\p{L}\p{N}_]"
+_B, _E = rf"(?:^|[^\p{{L}}\p{{N}}_])", rf"(?:$|[^\p{{L}}\p{{N}}_])"
+_WORD = r"(api[_-]?key|token|secret|password)"
+_ASSIGN = rf"(?:^|[^A-Za-z0-9]){_WORD}{SPACE}*={SPACE}*"
+
+
+def _suffix(x: str) -> str:
+    return f"regexp_extract(regexp_extract({x}, '[^/]*$'), '^.+(\\.[^.]+)$', 1)"
+
+
+def _skipped(x: str) -> str:
+    return f"len(list_intersect(string_split({x}, '/'), {_list(scanning.SKIPPED_FOLDERS)})) > 0"
+
+
+_FILES = f"""files AS MATERIALIZED (SELECT *, {_suffix('path')} AS suffix, regexp_extract(path, '[^/]*$') AS name, {_skipped('path')} AS skipped,
+  list_contains(string_split(path, '/'), '.git') AS in_git FROM {oracle_input(workload.FILES)}),
+split AS (SELECT *, regexp_split_to_array(text, '{_BREAKS}') AS parts FROM files),
+lines AS MATERIALIZED (SELECT path, suffix, name, skipped, in_git, bytes, i AS line, parts[i] AS content
+  FROM split, range(1, len(parts) + 1) t(i) WHERE NOT (i = len(parts) AND parts[i] = ''))"""
+
+
+def _generic(excluded: str) -> str:
+    """A secret assignment whose value is not an excluded word, at any place of the line."""
+    # every assignment in turn: quoted or not, the value starts right behind the optional quote, or - by giving the
+    # quote back - at the quote, which is no value character; so one look per assignment is enough
+    return (
+        f"len(list_filter(regexp_extract_all(content, '(?i){_ASSIGN}[''\"]?[A-Za-z0-9_./+=-]{{16,}}'), "
+        f"lambda m: NOT regexp_matches(m, '(?i){_WORD}{SPACE}*={SPACE}*[''\"]?({excluded})'))) > 0"
+    )
+
+
+def _placeholder(marks: list[str], assign: str) -> str:
+    any_mark = " OR ".join(f"contains(upper(content), '{m}')" for m in marks)
+    value = f"regexp_extract(content, '(?i){assign}[''\"]?([A-Za-z0-9_./+=-]{{3,}})', 2)"
+    return f"(({any_mark}) OR regexp_full_match({value}, '[A-Z][A-Z0-9_]+'))"
+
+
+_OPENAI = rf"{_B}sk-(?:proj-[A-Za-z0-9_-]{{20,}}|[A-Za-z0-9]{{32,}})"
+_TEXT_RULES = [
+    ("openai_key", "critical", f"regexp_matches(content, '{_OPENAI}')"),
+    ("hf_token", "critical", rf"regexp_matches(content, '{_B}hf_[A-Za-z0-9]{{20,}}{_E}')"),
+    ("generic_secret_assignment", "critical",
+     f"{_generic('xxx|example|placeholder|your_|dummy|sample')} AND NOT {_placeholder(scanning.PLACEHOLDER_MARKS, _ASSIGN)}"),
+    ("prompt_injection_ignore_instructions", "medium", rf"regexp_matches(content, '(?i)ignore{SPACE}+(all{SPACE}+)?(previous|above|prior){SPACE}+(instructions|rules)')"),
+    ("prompt_injection_system_prompt", "medium", rf"regexp_matches(content, '(?i){_B}system{SPACE}+prompt{_E}')"),
+    ("prompt_injection_developer_message", "medium", rf"regexp_matches(content, '(?i){_B}developer{SPACE}+message{_E}')"),
+    ("prompt_injection_reveal_secret", "medium",
+     rf"regexp_matches(content, '(?i){_B}(reveal|print|show|dump|exfiltrate)(?:[^\p{{L}}\p{{N}}_]|[^\p{{L}}\p{{N}}_].{{0,78}}[^\p{{L}}\p{{N}}_])(secret|api{SPACE}*key|token|password|prompt){_E}')"),
+    ("prompt_injection_do_not_follow", "medium",
+     rf"regexp_matches(content, '(?i){_B}(do{SPACE}+not|don''t){SPACE}+follow{SPACE}+(the{SPACE}+)?(instructions|rules){_E}')"),
+    ("prompt_injection_jailbreak", "medium", rf"regexp_matches(content, '(?i){_B}jailbreak{_E}')"),
+]
+_SHELL_RULES = [
+    ("curl_pipe_shell", "high", rf"regexp_matches(content, '(curl|wget).*\|{SPACE}*(bash|sh)')"),
+    ("eval", "high", rf"regexp_matches(content, '(^|[;&|({{]{SPACE}*)eval({SPACE}|$)')"),
+    ("sudo", "medium", rf"regexp_matches(content, '{_B}sudo{_E}')"),
+    ("destructive_rm", "medium", rf"regexp_matches(content, '{_B}rm{SPACE}+-[^\n]*[rf]')"),
+    ("chmod_777", "medium", rf"regexp_matches(content, '{_B}chmod{SPACE}+777{_E}')"),
+    ("credential_echo", "high", rf"regexp_matches(content, '(?i)echo{SPACE}+.*\$(?:\{{)?[A-Za-z0-9_]*(KEY|TOKEN|PASSWORD|SECRET)')"),
+]
+
+
+def _rule_rows(rules: list[tuple], where: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT path, line, '{rule}' AS rule, '{severity}' AS severity FROM lines WHERE {where} AND {test}" for rule, severity, test in rules
+    )
+
+
+_TEXT_WHERE = f"NOT skipped AND suffix IN {_in(scanning.TEXT_SUFFIXES)} AND bytes <= 1000000"
+_ANY_MARK = "(" + " OR ".join(f"contains({_strip('content')}, '{m}')" for m in scanning.DIRECT_DEPENDENCY_MARKS) + ")"
+_FINDINGS = f"""{_FILES},
+text_found AS ({_rule_rows(_TEXT_RULES, _TEXT_WHERE)}),
+shell_found AS ({_rule_rows(_SHELL_RULES, "NOT skipped AND suffix = '.sh'")}),
+direct_found AS (SELECT path, line, 'direct_dependency' AS rule, 'high' AS severity FROM lines
+  WHERE NOT skipped AND starts_with(name, 'requirements') AND suffix = '.txt' AND NOT starts_with({_strip('content')}, '#') AND {_ANY_MARK}),
+package_found AS (
+  SELECT path, NULL::BIGINT AS line, 'invalid_package_json' AS rule, 'medium' AS severity FROM files WHERE NOT skipped AND name = 'package.json' AND NOT json_valid(text)
+  UNION ALL
+  SELECT path, NULL, 'package_lifecycle_' || k, 'high' FROM (
+    SELECT path, unnest(json_keys(CASE WHEN json_valid(text) THEN text END, '$.scripts')) AS k FROM files WHERE NOT skipped AND name = 'package.json') WHERE k IN {_in(scanning.LIFECYCLE_KEYS)}),
+found AS (SELECT * FROM text_found UNION ALL SELECT * FROM shell_found UNION ALL SELECT * FROM direct_found UNION ALL SELECT * FROM package_found)"""
+_BLOCKS = f"(severity = 'critical' OR rule IN {_in(scanning.BLOCKING_RULES)})"
+
+# scan_secrets, scan_injection and scan_shell take every file: paths to leave out are a matter of the whole audit
+_ALL_TEXT = f"suffix IN {_in(scanning.TEXT_SUFFIXES)} AND bytes <= 1000000"
+ORACLES["scan_secrets"] = f"WITH {_FILES} SELECT * FROM ({_rule_rows(_TEXT_RULES[:3], _ALL_TEXT)})"
+ORACLES["scan_injection"] = f"WITH {_FILES} SELECT * FROM ({_rule_rows(_TEXT_RULES[3:], _ALL_TEXT)})"
+_SH_ONLY = "suffix = '.sh'"
+ORACLES["scan_shell"] = f"WITH {_FILES} SELECT * FROM ({_rule_rows(_SHELL_RULES, _SH_ONLY)})"
+ORACLES["dependency_lines"] = f"""WITH {_FINDINGS}
+SELECT path, line FROM direct_found QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 20"""
+ORACLES["lifecycle_scripts"] = f"WITH {_FINDINGS} SELECT path, rule, severity FROM package_found"
+ORACLES["scan_rule_counts"] = f"WITH {_FINDINGS} SELECT rule, severity, count(*) AS findings FROM found GROUP BY rule, severity"
+ORACLES["scan_capped"] = f"""WITH {_FINDINGS}
+SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY rule ORDER BY string_split(path, '/'), line) <= 20"""
+ORACLES["scan_verdict"] = f"""WITH {_FINDINGS}
+SELECT count(*) AS findings, count(*) FILTER {_BLOCKS.replace('(severity', '(WHERE severity', 1)} AS blocking_findings, bool_or{_BLOCKS} AS blocking FROM found"""
+_SETUP_RULES = [
+    ("openai_key", "critical", f"regexp_matches(content, '{_OPENAI}')"),
+    ("hf_token", "critical", r"regexp_matches(content, 'hf_[A-Za-z0-9]{20,}')"),
+    ("generic_secret_assignment", "critical",
+     f"{_generic('xxx|example|placeholder')} AND NOT {_placeholder(scanning.PLACEHOLDER_MARKS_SETUP, _WORD + SPACE + '*=' + SPACE + '*')}".replace(", 2)", ", 2)")),
+]
+_SETUP_WHERE = "NOT in_git AND bytes <= 2000000"
+ORACLES["setup_scan"] = f"""WITH {_FILES}
+SELECT *, severity IN ('critical', 'high') AS blocks FROM ({_rule_rows(_SETUP_RULES, _SETUP_WHERE)}
+  UNION ALL {_rule_rows([r for r in _SHELL_RULES if r[0] in scanning.SETUP_SHELL_RULES], _SETUP_WHERE + " AND suffix IN ('.sh', '.bash', '.zsh')")})"""
+ORACLES["suffix_counts"] = f"""WITH {_FILES} SELECT CASE WHEN suffix = '' THEN '<none>' ELSE suffix END AS suffix, count(*) AS files FROM files WHERE NOT skipped GROUP BY 1"""
+_SCRIPT = f"(suffix IN {_in(scanning.SCRIPT_SUFFIXES)} OR name IN {_in(scanning.SCRIPT_NAMES)})"
+ORACLES["script_inventory"] = f"""WITH {_FILES}
+SELECT path, bytes, (SELECT count(*) FROM files WHERE NOT skipped AND {_SCRIPT}) AS scripts FROM files WHERE NOT skipped AND {_SCRIPT} ORDER BY string_split(path, '/') LIMIT 250"""
+
+_SLIP = "(CASE WHEN starts_with(member, '/') THEN true WHEN member IN ('../x', 'a/../../x') THEN true ELSE false END)"
+_MEMBER = f"members AS (SELECT *, {_suffix('member')} AS suffix, regexp_extract(member, '[^/]*$') AS name FROM {oracle_input(workload.MEMBERS)})"
+_ARCHIVES = f"""{_MEMBER},
+archives AS (SELECT * FROM {oracle_input(workload.ARCHIVES)} WHERE NOT {_skipped('path')}),
+counted AS (SELECT path, count(*) AS members, count(*) FILTER {_SLIP.replace('(CASE', '(WHERE CASE', 1)} AS zip_slip_members, count(*) FILTER (WHERE {_SCRIPT}) AS script_like_members FROM members GROUP BY path),
+archive_rows AS (SELECT a.path, bytes, bytes % 200 = 0 AS active_artifact, valid_zip, members, coalesce(zip_slip_members, 0) AS zip_slip_members, coalesce(script_like_members, 0) AS script_like_members
+  FROM archives a LEFT JOIN counted c ON a.path = c.path)"""
+ORACLES["archive_paths"] = f"WITH {_ARCHIVES} SELECT * FROM archive_rows"
+ORACLES["archive_findings"] = f"""WITH {_ARCHIVES}
+SELECT path, 'invalid_zip' AS rule, CASE WHEN active_artifact THEN 'high' ELSE 'medium' END AS severity, active_artifact AS blocking FROM archive_rows WHERE NOT valid_zip
+UNION ALL SELECT path, 'zip_slip', 'critical', true FROM archive_rows WHERE zip_slip_members > 0"""
+ORACLES["archive_scripts"] = f"""WITH {_MEMBER}
+SELECT path, member FROM members WHERE {_SCRIPT} QUALIFY row_number() OVER (PARTITION BY path ORDER BY pos) <= 3"""
