@@ -339,3 +339,503 @@ SELECT path, 'invalid_zip' AS rule, CASE WHEN active_artifact THEN 'high' ELSE '
 UNION ALL SELECT path, 'zip_slip', 'critical', true FROM archive_rows WHERE zip_slip_members > 0"""
 ORACLES["archive_scripts"] = f"""WITH {_MEMBER}
 SELECT path, member FROM members WHERE {_SCRIPT} QUALIFY row_number() OVER (PARTITION BY path ORDER BY pos) <= 3"""
+
+# --- text features ----------------------------------------------------------------------------------------------------------
+
+_QUESTIONS = f"asked AS (SELECT question_id AS id, question AS txt FROM {oracle_input(workload.QUESTIONS)})"
+_ALL_QUESTIONS = f"""asked AS (
+  SELECT -question_id - 1 AS id, question AS txt FROM {oracle_input(workload.QUESTIONS)}
+  UNION ALL SELECT conv_id * 1000 + turn, text FROM conversations WHERE role = 'user')"""
+_WORD_LISTS = ", ".join(
+    [
+        _values("stop", "s", [(w,) for w in vocab.STOPWORDS]),
+        _values("abbr", "k, v", [(k, v) for k, vs in vocab.ABBREVIATIONS.items() for v in vs]),
+        _values("syn", "k, v", [(k, v) for k, vs in vocab.SYNONYMS.items() for v in vs]),
+    ]
+)
+
+
+def _token_rows(prefix: str, source: str, keep: bool = False, expand: bool = False) -> str:
+    """CTEs that end in ``{prefix}_tok(id, token)`` for a source with (id, txt)."""
+    kept = "" if keep else " AND w NOT IN (SELECT s FROM stop)"
+    synonyms = f" UNION SELECT id, v FROM {prefix}_base JOIN syn ON k = w" if expand else ""
+    return f"""{prefix}_word AS (SELECT id, unnest(string_split({_norm('txt')}, ' ')) AS w FROM {source}),
+{prefix}_base AS (SELECT DISTINCT id, w FROM {prefix}_word WHERE length(w) > 1{kept}),
+{prefix}_tok AS MATERIALIZED (SELECT id, w AS token FROM {prefix}_base UNION SELECT id, left(w, length(w) - 1) FROM {prefix}_base WHERE w LIKE '%s' AND length(w) > 3
+  UNION SELECT id, v FROM {prefix}_base JOIN abbr ON k = w{synonyms})"""
+
+
+_GRAMS = f"""body AS (SELECT id, list_filter(string_split({_norm('txt')}, ' '), lambda w: w <> '') AS ws FROM asked),
+gram_rows AS (SELECT DISTINCT id, ws[i:i + n - 1] AS run FROM body, range(1, 5) a(n), range(1, len(ws) - n + 2) b(i)),
+grams AS MATERIALIZED (SELECT id, array_to_string(run, ' ') AS gram FROM gram_rows WHERE len(list_filter(run, lambda w: NOT list_contains({_list(vocab.STOPWORDS)}, w))) > 0)"""
+
+ORACLES["question_tokens"] = f"""WITH {_WORD_LISTS}, {_ALL_QUESTIONS}, {_token_rows('q', 'asked', expand=True)}
+SELECT id AS question_id, coalesce(string_agg(token, ' ' ORDER BY token), '') AS tokens FROM asked LEFT JOIN q_tok USING (id) GROUP BY id"""
+ORACLES["question_ngrams"] = f"""WITH {_ALL_QUESTIONS}, {_GRAMS}
+SELECT a.id AS question_id, count(gram) AS grams, sha256(coalesce(string_agg(gram, '|' ORDER BY gram), '')) AS digest FROM asked a LEFT JOIN grams g ON a.id = g.id GROUP BY a.id"""
+_VALUES_FOUND = r"""(regexp_extract_all(txt, '''([^'']+)''|"[^"]+"'))"""
+_FOUND = f"""found AS MATERIALIZED (
+  SELECT DISTINCT id, v FROM (
+    SELECT id, unnest(list_transform({_VALUES_FOUND}, lambda m: substr(m, 2, length(m) - 2))) AS v FROM asked
+    UNION ALL SELECT id, unnest(regexp_extract_all(txt, '\\b[A-Z][A-Za-z0-9_&/-]{{2,}}\\b')) FROM asked))"""
+ORACLES["question_values"] = f"""WITH {_QUESTIONS}, {_FOUND}
+SELECT a.id AS question_id, coalesce(string_agg(v, '|' ORDER BY v), '') AS found_values FROM asked a LEFT JOIN found f ON a.id = f.id GROUP BY a.id"""
+
+
+def _operation_rows() -> str:
+    """(id, rank, operation, evidence) by rule order."""
+    rows = []
+    for rank, (operation, hints) in enumerate(vocab.OPERATION_HINTS):
+        matched = f"list_filter({_list(hints)}, lambda h: contains(q, h))"
+        rows.append(f"SELECT id, {rank} AS rank, '{operation}' AS operation, array_to_string({matched}, '|') AS evidence FROM qn WHERE len({matched}) > 0")
+    totals = "regexp_extract_all(q, '\\btotal ([a-z0-9 ]{2,40}?)(?: and| for| within|$)', 1)"
+    extra = [
+        ("count", "number of offered subjects/records", "regexp_matches(q, '\\bnumber of .*subjects? offered\\b') OR regexp_matches(q, '\\bnumber of .*records?\\b')"),
+        ("sum", "total aggregate phrase", f"len(list_filter({totals}, lambda t: NOT list_contains(string_split(t, ' '), 'unit'))) > 0"),
+        ("dense_rank", "dense rank", "contains(q, 'dense rank')"),
+        ("rank", "rank", "NOT contains(q, 'dense rank') AND contains(' ' || q, ' rank')"),
+        ("order_by", "ordered by", "contains(q, 'order by') OR contains(q, 'ordered by')"),
+        ("group_by", "for each/grouped by", "contains(q, 'for each') OR contains(q, 'grouped by')"),
+    ]
+    for rank, (operation, evidence, test) in enumerate(extra, start=len(vocab.OPERATION_HINTS)):
+        rows.append(f"SELECT id, {rank}, '{operation}', '{evidence}' FROM qn WHERE {test}")
+    return " UNION ALL ".join(rows)
+
+
+_OPERATIONS = f"""qn AS MATERIALIZED (SELECT id, {_norm('txt')} AS q FROM asked),
+ops AS MATERIALIZED (SELECT id, row_number() OVER (PARTITION BY id ORDER BY rank) - 1 AS place, operation, evidence FROM ({_operation_rows()}))"""
+ORACLES["required_ops"] = f"WITH {_ALL_QUESTIONS}, {_OPERATIONS} SELECT id AS question_id, place, operation, evidence FROM ops"
+_GRAIN = f"""g AS (SELECT id,
+  list_transform(regexp_extract_all(q, 'for each ([a-z0-9 ]{{2,80}}?)(?: where| with| ordered| and|$)', 1), lambda x: trim(x)) AS each,
+  list_transform(list_concat(regexp_extract_all(q, '\\bper ([a-z0-9 ]{{2,40}}?)(?: and| ordered|$)', 1), regexp_extract_all(q, '\\bby ([a-z0-9 ]{{2,40}}?)(?: and| ordered|$)', 1)), lambda x: trim(x)) AS others
+  FROM (SELECT id, {_norm('txt')} AS q FROM asked)),
+g_rows AS (
+  SELECT id, each[i] AS v, i AS ord FROM g, range(1, len(each) + 1) t(i) WHERE each[i] <> ''
+  UNION ALL SELECT id, others[i], 1000 + i FROM g, range(1, len(others) + 1) t(i)
+  WHERE others[i] <> '' AND NOT list_contains(each, others[i]) AND NOT list_contains(others[1:i - 1], others[i])),
+grain AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY ord) AS ord FROM g_rows QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) <= 4)"""
+ORACLES["required_grain"] = f"""WITH {_ALL_QUESTIONS}, {_GRAIN} SELECT id AS question_id, string_agg(v, '|' ORDER BY ord) AS grain FROM grain GROUP BY id"""
+
+
+def _search_rows(prefix: str, source: str) -> str:
+    return f"""{prefix}_sw AS (SELECT id, unnest(string_split(regexp_replace(lower(txt), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')) AS w FROM {source}),
+{prefix}_sb AS (SELECT DISTINCT id, w FROM {prefix}_sw WHERE length(w) > 2),
+{prefix}_search AS MATERIALIZED (SELECT id, w AS token FROM {prefix}_sb UNION SELECT id, left(w, length(w) - 1) FROM {prefix}_sb WHERE w LIKE '%s' AND length(w) > 3)"""
+
+
+ORACLES["search_words"] = f"""WITH {_ALL_QUESTIONS}, {_search_rows('q', 'asked')}
+SELECT a.id AS question_id, coalesce(string_agg(token, ' ' ORDER BY token), '') AS words FROM asked a LEFT JOIN q_search s ON a.id = s.id GROUP BY a.id"""
+
+_FENCE = "chr(96) || chr(96) || chr(96)"
+ORACLES["extract_answer"] = f"""
+WITH a AS (SELECT output_id, string_split(output, '<ans>')[-1] AS x FROM {oracle_input(workload.OUTPUTS)}),
+b AS (SELECT output_id, string_split(x, '</ans>')[1] AS x FROM a), c AS (SELECT output_id, string_split(x, {_FENCE} || 'sql')[-1] AS x FROM b),
+d AS (SELECT output_id, {_strip(f"string_split(x, {_FENCE})[1]")} AS x FROM c)
+SELECT output_id, CASE WHEN starts_with(lower(x), 'sql:') THEN {_strip('x[5:]')} ELSE x END AS answer FROM d"""
+ORACLES["plan_keys"] = f"""
+WITH p AS (SELECT output_id, {_strip(f"regexp_extract(output, '(?is)<plan>{SPACE}*(.*?){SPACE}*</plan>', 1)")} AS raw
+  FROM {oracle_input(workload.OUTPUTS)} WHERE regexp_matches(output, '(?is)<plan>.*?</plan>')),
+v AS (SELECT *, json_valid(raw) AS parseable, CASE WHEN json_valid(raw) AND starts_with(raw, '{{') THEN json_keys(raw) ELSE [] END AS keys FROM p)
+SELECT output_id, raw, parseable, CASE WHEN parseable THEN array_to_string(list_filter({_list(vocab.PLAN_KEYS)}, lambda k: NOT list_contains(keys, k)), ',') END AS missing_keys FROM v"""
+
+# --- schema linking -----------------------------------------------------------------------------------------------------------
+
+_DESCRIBED = " UNION ALL ".join(
+    f"SELECT '{t}' AS tbl, row_number() OVER () - 1 AS idx, column_name AS col FROM (DESCRIBE {t})" for t in workload.TABLES
+)
+_CATALOG = f"catalog AS MATERIALIZED ({_DESCRIBED})"
+_COUNTS = " + ".join(f"(SELECT count(*) FROM {t})" for t in workload.TABLES)
+ORACLES["catalog_text"] = f"""WITH {_CATALOG}, l AS (SELECT tbl, 'Table ' || tbl || ': ' || string_agg(col, ', ' ORDER BY idx) AS line FROM catalog GROUP BY tbl)
+SELECT string_agg(line, chr(10) ORDER BY tbl) AS schema_text, {_COUNTS} AS described_rows FROM l"""
+_CELLS = " UNION ALL ".join(
+    f"SELECT '{t}' AS tbl, '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL"
+    for t, columns in workload.EXAMPLE_COLUMNS.items() for c in columns
+)
+_EXAMPLES = f"""cells AS (SELECT DISTINCT * FROM ({_CELLS})),
+hashed AS (SELECT *, ('0x' || substr(md5(v), 1, 15))::BIGINT AS h FROM cells),
+examples AS MATERIALIZED (SELECT c.tbl, c.idx, c.col, h % 8 AS pos, v FROM hashed JOIN catalog c USING (tbl, col) QUALIFY row_number() OVER (PARTITION BY tbl, col, h % 8 ORDER BY h) = 1)"""
+ORACLES["example_values"] = f'WITH {_CATALOG}, {_EXAMPLES} SELECT tbl AS "table", idx AS col_idx, pos, v AS value FROM examples'
+_NAMES = f"""names AS MATERIALIZED (
+  SELECT tbl || '#' || idx AS id, tbl, idx, col AS name, {_norm("replace(col, '_', ' ')")} AS phrase FROM catalog
+  UNION ALL SELECT DISTINCT tbl || '#-1', tbl, -1, tbl, {_norm("replace(tbl, '_', ' ')")} FROM catalog),
+name_txt AS (SELECT id, name AS txt FROM names)"""
+_HITS = f"""qbody AS MATERIALIZED (SELECT id, {_norm('txt')} AS q FROM asked),
+tok_hit AS MATERIALIZED (SELECT q.id, n.id AS nid, count(*) AS k, string_agg(q.token, ', ' ORDER BY q.token) AS listed FROM q_tok q JOIN n_tok n USING (token) GROUP BY q.id, n.id),
+gram_hit AS MATERIALIZED (SELECT g.id, n.id AS nid FROM grams g JOIN names n ON g.gram = n.phrase),
+plural_hit AS MATERIALIZED (SELECT q.id, n.id AS nid FROM qbody q JOIN names n ON contains(q.q, n.phrase || 's') OR contains(q.q, n.phrase || 'es')),
+name_score AS MATERIALIZED (
+  SELECT id, nid, sum(points) AS points FROM (
+    SELECT id, nid, k * CASE WHEN nid LIKE '%#-1' THEN 2.2 ELSE 1.4 END AS points FROM tok_hit
+    UNION ALL SELECT id, nid, CASE WHEN nid LIKE '%#-1' THEN 9 ELSE 7 END FROM gram_hit
+    UNION ALL SELECT id, nid, CASE WHEN nid LIKE '%#-1' THEN 12 ELSE 3 END FROM plural_hit) GROUP BY id, nid),
+sample AS (SELECT DISTINCT tbl, {_norm('v')} AS v FROM examples WHERE pos < 5 AND length(v) <= 80 AND lower(v) <> 'nan' AND v <> ''),
+value_hit AS MATERIALIZED (SELECT f.id, s.tbl, count(*) AS k, string_agg(f.v, ', ' ORDER BY f.v) AS listed FROM found f JOIN sample s ON {_norm('f.v')} = s.v AND s.v <> '' GROUP BY f.id, s.tbl),
+scores AS MATERIALIZED (
+  SELECT id, tbl, round(sum(points), 3)::DOUBLE AS score FROM (
+    SELECT s.id, n.tbl, points::DOUBLE AS points FROM name_score s JOIN names n ON s.nid = n.id UNION ALL SELECT id, tbl, k * 4.0::DOUBLE FROM value_hit) GROUP BY id, tbl),
+top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tbl) AS rank FROM scores WHERE score > 0 QUALIFY rank <= 12)"""
+_LINK = f"""{_WORD_LISTS}, {_QUESTIONS}, {_CATALOG}, {_EXAMPLES}, {_NAMES}, {_token_rows('q', 'asked')}, {_token_rows('n', 'name_txt', keep=True)}, {_GRAMS}, {_FOUND}, {_HITS}"""
+ORACLES["table_scores"] = f'WITH {_LINK} SELECT id AS question_id, tbl AS "table", score FROM scores WHERE score > 0'
+_EVIDENCE = """evidence AS MATERIALIZED (
+  SELECT t.id, t.tbl, list_filter([
+    (SELECT 'table-name token overlap: ' || listed FROM tok_hit h WHERE h.id = t.id AND h.nid = t.tbl || '#-1'),
+    (SELECT 'direct table phrase: ' || phrase FROM gram_hit h JOIN names n ON h.nid = n.id WHERE h.id = t.id AND h.nid = t.tbl || '#-1'),
+    (SELECT 'plural/direct entity phrase: ' || phrase FROM plural_hit h JOIN names n ON h.nid = n.id WHERE h.id = t.id AND h.nid = t.tbl || '#-1'),
+    (SELECT 'example value hits: ' || listed FROM value_hit h WHERE h.id = t.id AND h.tbl = t.tbl)], lambda e: e IS NOT NULL) AS texts
+  FROM top t),
+matched AS MATERIALIZED (
+  SELECT t.id, t.tbl, string_agg(n.name || ':' || printf('%.1f', points), ', ' ORDER BY points DESC, n.name) AS listed, count(*) AS k
+  FROM top t JOIN name_score s ON s.id = t.id JOIN names n ON n.id = s.nid AND n.tbl = t.tbl AND n.idx >= 0 GROUP BY t.id, t.tbl)"""
+ORACLES["table_topk"] = f"""WITH {_LINK}, {_EVIDENCE}
+SELECT t.id AS question_id, rank, t.tbl AS "table", score, coalesce(listed, '') AS matched_columns, array_to_string(texts, ' | ') AS evidence
+FROM top t JOIN evidence e ON e.id = t.id AND e.tbl = t.tbl LEFT JOIN matched m ON m.id = t.id AND m.tbl = t.tbl WHERE rank <= 5"""
+_SEARCH = f"""tables AS (SELECT tbl AS id, tbl || ' ' || string_agg(col, ' ' ORDER BY idx) AS txt FROM catalog GROUP BY tbl),
+{_search_rows('q', 'asked')}, {_search_rows('t', 'tables')},
+spoken AS (SELECT tbl, replace(lower(col), '_', ' ') AS phrase, 3 AS points FROM catalog UNION ALL SELECT DISTINCT tbl, replace(lower(tbl), '_', ' '), 8 FROM catalog),
+searched AS MATERIALIZED (
+  SELECT id, tbl, sum(points)::BIGINT AS score, bool_or(direct) AS phrase_match FROM (
+    SELECT q.id, t.id AS tbl, 1 AS points, false AS direct FROM q_search q JOIN t_search t USING (token)
+    UNION ALL SELECT a.id, s.tbl, points, points = 8 FROM asked a JOIN spoken s ON contains(lower(a.txt), s.phrase)) GROUP BY id, tbl)"""
+ORACLES["schema_search"] = f"""WITH {_QUESTIONS}, {_CATALOG}, {_SEARCH}
+SELECT id AS question_id, tbl AS "table", score, phrase_match, row_number() OVER (PARTITION BY id ORDER BY score DESC, tbl) AS rank FROM searched QUALIFY rank <= 8"""
+
+# --- joins -----------------------------------------------------------------------------------------------------------------------
+
+_PROFILES = f"""col_txt AS (SELECT tbl || '#' || idx AS id, col AS txt FROM catalog), {_token_rows('c', 'col_txt', keep=True, expand=True)},
+prof_val AS MATERIALIZED (SELECT DISTINCT tbl || '#' || idx AS id, {_norm('v')} AS v FROM examples WHERE pos < 8 AND lower(v) <> 'nan' AND {_norm('v')} <> ''),
+prof_pre AS MATERIALIZED (SELECT DISTINCT tbl || '#' || idx AS id, string_split(v, '_')[1] AS p FROM examples WHERE contains(v, '_') AND lower(v) <> 'nan'),
+profiles AS MATERIALIZED (
+  SELECT tbl, idx, col, tbl || '#' || idx AS id, (SELECT list(token ORDER BY token) FROM c_tok c WHERE c.id = tbl || '#' || idx) AS toks,
+    (SELECT list(v ORDER BY v) FROM prof_val c WHERE c.id = tbl || '#' || idx) AS vals, (SELECT list(p ORDER BY p) FROM prof_pre c WHERE c.id = tbl || '#' || idx) AS pres
+  FROM catalog)"""
+ORACLES["column_profiles"] = f"""WITH {_WORD_LISTS}, {_CATALOG}, {_EXAMPLES}, {_PROFILES}
+SELECT tbl AS "table", col AS "column", coalesce(array_to_string(toks, ' '), '') AS tokens, coalesce(array_to_string(vals, '|'), '') AS example_values,
+  coalesce(array_to_string(pres, '|'), '') AS prefixes FROM profiles"""
+_KEYISH, _DEPT, _NAMEISH = _list(vocab.KEY_WORDS), _list(vocab.DEPARTMENT_WORDS), _list(vocab.NAME_WORDS)
+_COMPAT = f"""pairs AS MATERIALIZED (SELECT DISTINCT least(l.tbl, r.tbl) AS a, greatest(l.tbl, r.tbl) AS b FROM top l JOIN top r ON l.id = r.id AND l.rank < r.rank),
+wide AS (
+  SELECT p.a, p.b, x.idx AS ai, y.idx AS bi, x.col AS ac, y.col AS bc, list_sort(list_intersect(x.toks, y.toks)) AS t, list_sort(list_intersect(coalesce(x.vals, []), coalesce(y.vals, []))) AS v,
+    x.pres IS NOT NULL AND x.pres = y.pres AS pre, x.pres AS apre, x.pres IS NOT NULL OR y.pres IS NOT NULL AS anypre,
+    list_has_any(x.toks, {_KEYISH}) AS xk, list_has_any(y.toks, {_KEYISH}) AS yk,
+    list_has_any(x.toks, {_DEPT}) AND list_has_any(y.toks, {_DEPT}) AS dd, list_has_any(x.toks, {_NAMEISH}) OR list_has_any(y.toks, {_NAMEISH}) AS nn
+  FROM pairs p JOIN profiles x ON x.tbl = p.a JOIN profiles y ON y.tbl = p.b),
+compat AS MATERIALIZED (
+  SELECT *, (CASE WHEN ac = bc THEN 6 ELSE 0 END + 1.5 * len(t) + least(14, 4 * len(v)) + CASE WHEN pre THEN 4 ELSE 0 END + CASE WHEN xk AND yk AND len(t) > 0 THEN 2 ELSE 0 END
+    + CASE WHEN dd AND (xk OR yk) THEN 5 ELSE 0 END + CASE WHEN dd AND nn AND (xk OR yk) AND anypre THEN 6 ELSE 0 END)::DOUBLE AS score,
+    list_filter([CASE WHEN ac = bc THEN 'same column name' END, CASE WHEN len(t) > 0 THEN 'column token overlap: ' || array_to_string(t, ', ') END,
+      CASE WHEN len(v) > 0 THEN 'example value overlap: ' || array_to_string(v[1:3], ', ') END, CASE WHEN pre THEN 'matching value prefix: ' || array_to_string(apre, ', ') END,
+      CASE WHEN xk AND yk AND len(t) > 0 THEN 'both columns are key/code/id-like' END, CASE WHEN dd AND (xk OR yk) THEN 'department/DLC key compatibility' END,
+      CASE WHEN dd AND nn AND (xk OR yk) AND anypre THEN 'coded department-name field can join to department/DLC key' END], lambda e: e IS NOT NULL) AS texts
+  FROM wide)"""
+ORACLES["column_compat"] = f"""WITH {_LINK}, {_PROFILES}, {_COMPAT}
+SELECT a, b, ac AS a_column, bc AS b_column, score, array_to_string(texts, ' | ') AS evidence FROM compat WHERE score > 0"""
+_JOINS = """best AS MATERIALIZED (
+  SELECT * FROM (SELECT a AS lt, b AS rt, ai AS li, bi AS ri, a || '.' || ac AS l, b || '.' || bc AS r, score FROM compat WHERE score >= 3
+    UNION ALL SELECT b, a, bi, ai, b || '.' || bc, a || '.' || ac, score FROM compat WHERE score >= 3)
+  QUALIFY row_number() OVER (PARTITION BY lt, rt ORDER BY score DESC, li, ri) = 1),
+all_joins AS MATERIALIZED (
+  SELECT x.id, l, r, b.score, b.lt, b.rt, row_number() OVER (PARTITION BY x.id ORDER BY b.score DESC, l, r) AS rank
+  FROM top x JOIN top y ON x.id = y.id AND x.rank < y.rank JOIN best b ON b.lt = x.tbl AND b.rt = y.tbl)"""
+ORACLES["join_candidates"] = f"""WITH {_LINK}, {_PROFILES}, {_COMPAT}, {_JOINS}
+SELECT id AS question_id, rank, l AS "left", r AS "right", score FROM all_joins WHERE rank <= 16"""
+_COPIED = _LINK.replace(f"{_CATALOG}, {_EXAMPLES}", f"base_{_CATALOG}, {_EXAMPLES.replace('JOIN catalog c', 'JOIN base_catalog c')}, catalog AS MATERIALIZED (SELECT tbl || '_main' || s AS tbl, idx, col FROM base_catalog, (VALUES ('_a'), ('_b'), ('_c')) c(s))")
+ORACLES["distractors"] = f"""WITH {_COPIED},
+fam AS (SELECT id, array_to_string(string_split(tbl, '_')[1:2], '_') AS family, list(tbl ORDER BY rank) AS tables FROM top GROUP BY ALL HAVING count(*) >= 3)
+SELECT id AS question_id, family, row_number() OVER (PARTITION BY id ORDER BY family) AS place,
+  'Many similar ' || family || ' tables ranked high: ' || array_to_string(tables[1:5], ', ') || '. Choose by required columns and grain, not name similarity alone.' AS warning
+FROM fam QUALIFY place <= 6"""
+
+
+def _family(expected: str, actual: str) -> str:
+    return (
+        f"(upper({actual}) = upper({expected}) OR starts_with(upper({actual}), upper({expected}) || '_') "
+        f"OR (upper({expected}) LIKE '%\\_SUMMARY' ESCAPE '\\' AND upper({expected}) = upper({actual}) || '_SUMMARY'))"
+    )
+
+
+_OWNER_SCORE = "greatest(0, 20 - coalesce(t.rank, 20))"
+ORACLES["column_owner"] = f"""WITH {_LINK},
+wants(want, col, preferred, avoided) AS (VALUES (0, 'C_ACCTBAL', 'supplier', NULL), (0, 'S_ACCTBAL', 'supplier', NULL), (1, 'TEXT', NULL, 'DOCUMENTS')),
+owners AS (
+  SELECT a.id, want, c.tbl, c.col, row_number() OVER (PARTITION BY a.id, want ORDER BY
+    {_OWNER_SCORE} + CASE WHEN preferred IS NOT NULL AND {_family('preferred', 'c.tbl')} THEN 45 ELSE 0 END - CASE WHEN avoided IS NOT NULL AND {_family('avoided', 'c.tbl')} THEN 25 ELSE 0 END DESC, c.tbl, c.col) AS place
+  FROM asked a CROSS JOIN wants w JOIN catalog c ON upper(c.col) = w.col LEFT JOIN top t ON t.id = a.id AND t.tbl = c.tbl)
+SELECT id AS question_id, want, max(tbl) FILTER (place = 1) AS "table", max(col) FILTER (place = 1) AS "column",
+  coalesce(string_agg(tbl || '.' || col, ', ' ORDER BY place) FILTER (place BETWEEN 2 AND 6), '') AS alternatives FROM owners GROUP BY id, want"""
+
+# --- slots, joins and blueprints ---------------------------------------------------------------------------------------------------
+
+
+def _says(phrases: list[str], none: str) -> str:
+    return "(" + " OR ".join(f"contains(q, '{p}')" for p in phrases) + ")" if phrases else none
+
+
+_ROLES = {"grain": 0, "filter": 1, "output": 2, "measure": 3, "window_or_join": 4}
+
+
+def _slot_rows() -> str:
+    rows = []
+    for number, r in enumerate(retail.SLOT_RULES):
+        trigger = " AND ".join(
+            [_says(r["aliases"], "false"), *[f"contains(q, '{p}')" for p in r.get("also", [])], f"NOT {_says(r.get('unless', []), 'false')}"]
+        )
+        preferred = "CASE " + " ".join(f"WHEN {_says(p, 'true')} THEN '{t}'" for t, p in r.get("preferred", [])) + " END" if r.get("preferred") else "NULL"
+        operation = f"CASE WHEN {_says(r.get('operation_when', []), 'true')} THEN '{r['operation']}' END" if r.get("operation") else "NULL"
+        confidence = {
+            "preferred": f"CASE WHEN ({preferred}) IS NOT NULL THEN 'high' ELSE 'medium' END",
+            "operation": f"CASE WHEN ({operation}) IS NOT NULL THEN 'high' ELSE 'medium' END",
+        }.get(r["confidence"], f"'{r['confidence']}'")
+        names = _list([c.upper() for c in r["columns"]]) if r["columns"] else "[]::VARCHAR[]"
+        avoid = f"'{r['avoid'][0]}'" if r.get("avoid") else "NULL"
+        table, column = r.get("fixed", (None, None))
+        fixed = f"'{table}', '{column}'" if table else "NULL, NULL"
+        rows.append(
+            f"SELECT id, {number} AS want, '{r['slot']}' AS slot, '{r['role']}' AS role, {_ROLES[r['role']]} AS role_at, {names} AS names, "
+            f"({preferred})::VARCHAR AS preferred, {avoid}::VARCHAR AS avoided, ({operation})::VARCHAR AS operation, {confidence} AS confidence, {fixed} FROM qn WHERE {trigger}"
+        )
+    first = rows[0].replace("'nation', 'n_name' FROM", "'nation' AS ft, 'n_name' AS fc FROM")
+    return " UNION ALL ".join([first, *rows[1:]])
+
+
+_SLOTS = f"""{_OPERATIONS}, slot_wants AS MATERIALIZED ({_slot_rows()}),
+slot_owner AS (
+  SELECT w.id, w.want, c.tbl, c.col, row_number() OVER (PARTITION BY w.id, w.want ORDER BY
+    {_OWNER_SCORE} + CASE WHEN preferred IS NOT NULL AND {_family('preferred', 'c.tbl')} THEN 45 ELSE 0 END - CASE WHEN avoided IS NOT NULL AND {_family('avoided', 'c.tbl')} THEN 25 ELSE 0 END DESC, c.tbl, c.col) AS place
+  FROM slot_wants w JOIN catalog c ON list_contains(w.names, upper(c.col)) LEFT JOIN top t ON t.id = w.id AND t.tbl = c.tbl),
+owned_slots AS (
+  SELECT w.id, w.want, slot, role, role_at, coalesce(ft, o.tbl) AS tbl, coalesce(fc, o.col) AS col, coalesce(operation, '') AS operation, confidence
+  FROM slot_wants w LEFT JOIN slot_owner o ON o.id = w.id AND o.want = w.want AND o.place = 1 WHERE coalesce(ft, o.tbl) IS NOT NULL),
+slots AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY role_at, slot, tbl || '.' || col, want) AS place
+  FROM (SELECT * FROM owned_slots QUALIFY row_number() OVER (PARTITION BY id, slot, role, tbl, col, operation ORDER BY want) = 1))"""
+ORACLES["slot_map"] = f"""WITH {_LINK}, {_SLOTS}
+SELECT id AS question_id, place, slot, role, tbl || '.' || col AS recommended, operation, confidence FROM slots"""
+
+
+def _needs(rule: dict) -> str:
+    there = [f"EXISTS (SELECT 1 FROM slots s WHERE s.id = qn.id AND {_family(chr(39) + t + chr(39), 's.tbl')})" for t in rule["tables"]]
+    return " AND ".join([*there, _says(rule.get("when", []), "true"), f"NOT {_says(rule.get('unless', []), 'false')}"])
+
+
+_JOIN_MAP = "join_rows AS (" + " UNION ALL ".join(
+    f"SELECT id, {n} AS ord, '{r['left']}' AS l, '{r['right']}' AS r, '{r['role']}' AS role, '{r['confidence']}' AS confidence FROM qn WHERE {_needs(r)}"
+    for n, r in enumerate(retail.JOIN_RULES)
+) + "), join_map AS MATERIALIZED (SELECT * FROM join_rows QUALIFY row_number() OVER (PARTITION BY id, least(l, r), greatest(l, r) ORDER BY ord) = 1)"
+_BLUEPRINT = "blueprint_rows AS (" + " UNION ALL ".join(
+    f"SELECT id, {n} AS blueprint, '{r['pattern']}' AS pattern FROM qn WHERE {_needs(r)}" for n, r in enumerate(retail.BLUEPRINT_RULES)
+) + "), blueprints AS MATERIALIZED (SELECT * FROM blueprint_rows QUALIFY row_number() OVER (PARTITION BY id ORDER BY blueprint) = 1)"
+ORACLES["join_map"] = f"""WITH {_LINK}, {_SLOTS}, {_JOIN_MAP} SELECT id AS question_id, l AS "left", r AS "right", role, confidence FROM join_map"""
+ORACLES["blueprint"] = f"WITH {_LINK}, {_SLOTS}, {_BLUEPRINT} SELECT id AS question_id, blueprint, pattern FROM blueprints"
+_PLAN = f"{_LINK}, {_PROFILES}, {_COMPAT}, {_JOINS}, {_SLOTS}, {_JOIN_MAP}, {_BLUEPRINT}"
+_PER = lambda name, what="count(*)": f"coalesce((SELECT {what} FROM {name} x WHERE x.id = a.id"
+ORACLES["schema_plans"] = f"""WITH {_PLAN}
+SELECT a.id AS question_id, sha256(txt) AS question_hash, {_PER('ops', "string_agg(operation, ', ' ORDER BY place)")}), '') AS operations, {_PER('top')}), 0) AS candidates,
+  {_PER('all_joins')} AND rank <= 80), 0) AS joins, {_PER('slots')}), 0) AS slots, {_PER('join_map')}), 0) AS required_joins, (SELECT pattern FROM blueprints x WHERE x.id = a.id) AS pattern FROM asked a"""
+
+# --- static verification: one relational rule per check ----------------------------------------------------------------------------------
+
+_SQLS = f"""sqls AS MATERIALIZED (SELECT sql_id, question_id AS id, sql, upper(sql) AS u, preview_rows FROM {oracle_input(workload.SQLS)}),
+word AS MATERIALIZED (SELECT DISTINCT sql_id, unnest(regexp_extract_all(u, '\\w+')) AS w FROM sqls),
+used_t AS MATERIALIZED (SELECT DISTINCT sql_id, tbl FROM word JOIN catalog ON w = upper(tbl)),
+used_c AS MATERIALIZED (SELECT DISTINCT sql_id, upper(col) AS col FROM word JOIN catalog ON w = upper(col)),
+used_f AS MATERIALIZED (SELECT DISTINCT sql_id, unnest(regexp_extract_all(u, '\\b([A-Z_]+)\\s*\\(', 1)) AS f FROM sqls),
+flag AS MATERIALIZED (
+  SELECT *, len(regexp_extract_all(sql, '(?i)\\bSELECT\\b')) AS select_count, regexp_matches(trim(sql), '(?i)^WITH\\b') AS has_cte,
+    regexp_matches(sql, '(?i)\\bGROUP\\s+BY\\b') AS has_group_by, regexp_matches(sql, '(?i)\\bORDER\\s+BY\\b') AS has_order_by, regexp_matches(sql, '(?i)\\bJOIN\\b') AS has_join,
+    regexp_matches(sql, '(?i)\\bOVER\\s*\\(') AS has_window, trim(sql) = '' OR length(replace(sql, '(', '')) <> length(replace(sql, ')', '')) AS parse_error,
+    starts_with(lower(trim(sql)), 'select') OR starts_with(lower(trim(sql)), 'with') AS select_like FROM sqls),
+alias AS MATERIALIZED (
+  SELECT sql_id, upper(regexp_extract(m, '(?i)\\b(?:FROM|JOIN)\\s+(\\w+)(?:\\s+(?:AS\\s+)?(\\w+))?', 1)) AS tbl, upper(regexp_extract(m, '(?i)\\b(?:FROM|JOIN)\\s+(\\w+)(?:\\s+(?:AS\\s+)?(\\w+))?', 2)) AS al
+  FROM (SELECT sql_id, unnest(regexp_extract_all(sql, '(?i)\\b(?:FROM|JOIN)\\s+\\w+(?:\\s+(?:AS\\s+)?\\w+)?')) AS m FROM sqls)),
+eq AS MATERIALIZED (
+  SELECT DISTINCT e.sql_id, least(l.tbl || '.' || lc, r.tbl || '.' || rc) AS l, greatest(l.tbl || '.' || lc, r.tbl || '.' || rc) AS r
+  FROM (SELECT sql_id, string_split(trim(string_split(m, '=')[1]), '.')[1] AS la, string_split(trim(string_split(m, '=')[1]), '.')[2] AS lc, string_split(trim(string_split(m, '=')[2]), '.')[1] AS ra, string_split(trim(string_split(m, '=')[2]), '.')[2] AS rc
+    FROM (SELECT sql_id, upper(unnest(regexp_extract_all(sql, '\\w+\\.\\w+\\s*=\\s*\\w+\\.\\w+'))) AS m FROM sqls)) e
+  JOIN alias l ON l.sql_id = e.sql_id AND (l.al = la OR l.tbl = la) JOIN alias r ON r.sql_id = e.sql_id AND (r.al = ra OR r.tbl = ra))"""
+_AGG = lambda table, column: f"coalesce((SELECT string_agg({column}, ', ' ORDER BY {column}) FROM {table} x WHERE x.sql_id = f.sql_id), '')"
+ORACLES["sql_features"] = f"""WITH {_CATALOG}, {_SQLS}
+SELECT sql_id, parse_error, {_AGG('used_t', 'tbl')} AS tables, {_AGG('used_c', 'col')} AS columns, {_AGG('used_f', 'f')} AS functions, select_count, has_cte, has_group_by, has_order_by, has_join, has_window FROM flag f"""
+ORACLES["join_equalities"] = f'WITH {_CATALOG}, {_SQLS} SELECT sql_id, l AS "left", r AS "right" FROM eq'
+
+
+def _uses(*functions: str) -> str:
+    return f"EXISTS (SELECT 1 FROM used_f x WHERE x.sql_id = f.sql_id AND x.f IN {_in(list(functions))})"
+
+
+def _has_table(expected: str) -> str:
+    return f"EXISTS (SELECT 1 FROM used_t x WHERE x.sql_id = f.sql_id AND {_family(expected, 'x.tbl')})"
+
+
+def _has_column(column: str) -> str:
+    return f"EXISTS (SELECT 1 FROM used_c x WHERE x.sql_id = f.sql_id AND x.col = upper({column}))"
+
+
+def _four(left: str, right: str) -> str:
+    return " AND ".join(f"contains(u, upper(string_split({e}, '.')[{i}]))" for e in (left, right) for i in (1, 2))
+
+
+def _is_joined(left: str, right: str) -> str:
+    pair = f"EXISTS (SELECT 1 FROM eq x WHERE x.sql_id = f.sql_id AND x.l = least(upper({left}), upper({right})) AND x.r = greatest(upper({left}), upper({right})))"
+    return f"({pair} OR (NOT EXISTS (SELECT 1 FROM eq x WHERE x.sql_id = f.sql_id) AND {_four(left, right)}))"
+
+
+_PRESENT = "CASE operation " + " ".join(
+    [f"WHEN '{name}' THEN {_uses(*functions)}" for name, functions in vocab.OPERATION_FUNCTIONS.items()]
+    + [f"WHEN 'range' THEN {_uses('MAX')} AND {_uses('MIN')}", "WHEN 'dense_rank' THEN contains(u, 'DENSE_RANK')", "WHEN 'rank' THEN contains(u, 'RANK')",
+       "WHEN 'group_by' THEN has_group_by", "WHEN 'order_by' THEN has_order_by"]
+) + " ELSE true END"
+_DIRECT = "len(list_filter(e.texts, lambda x: contains(x, 'direct') OR contains(x, 'plural'))) > 0"
+
+
+def _checks() -> str:
+    row = lambda code, severity, penalty, where, subject="''", source="flag f": (
+        f"SELECT f.sql_id, '{code}' AS code, '{severity}' AS severity, {penalty} AS penalty, {subject} AS subject FROM {source} WHERE {where}"
+    )
+    rows = [
+        row("empty_sql", "high", 80, "trim(sql) = ''"),
+        row("not_select", "high", 70, "trim(sql) <> '' AND NOT select_like"),
+        row("parse_error", "medium", 20, "parse_error"),
+        row("missing_high_evidence_table", "medium", 10, "place <= 2", "tbl",
+            f"(SELECT f.sql_id, h.tbl, row_number() OVER (PARTITION BY f.sql_id ORDER BY h.rank) AS place FROM flag f JOIN high h ON h.id = f.id WHERE NOT {_has_table('h.tbl')}) f"),
+        row("missing_required_operation", "medium", 12, f"NOT ({_PRESENT})", "operation", "flag f JOIN ops o ON o.id = f.id"),
+        row("weak_join_evidence", "medium", 10, "n > 0 AND shown = 0 AND (SELECT count(*) FROM used_t x WHERE x.sql_id = f.sql_id) >= 2", "''",
+            f"(SELECT sql_id, count(*) AS n, count(*) FILTER (place <= 3 AND four) AS shown FROM (SELECT f.sql_id, row_number() OVER (PARTITION BY f.sql_id ORDER BY j.rank) AS place, {_four('j.l', 'j.r')} AS four "
+            "FROM flag f JOIN all_joins j ON j.id = f.id AND j.rank <= 8 JOIN used_t a ON a.sql_id = f.sql_id AND a.tbl = j.lt JOIN used_t b ON b.sql_id = f.sql_id AND b.tbl = j.rt) GROUP BY sql_id) f"),
+        row("missing_required_slot_table", "medium", 10, f"NOT {_has_table('s.tbl')}", "s.tbl || '.' || s.col", "flag f JOIN slots s ON s.id = f.id"),
+        row("missing_required_slot_column", "medium", 10, f"{_has_table('s.tbl')} AND NOT {_has_column('s.col')}", "s.tbl || '.' || s.col", "flag f JOIN slots s ON s.id = f.id"),
+        row("missing_required_join", "medium", 10, f"NOT {_is_joined('j.l', 'j.r')}", "j.l || ' = ' || j.r", "flag f JOIN join_map j ON j.id = f.id"),
+        row("grain_without_group_by", "medium", 12, "contains(q, 'for each') AND NOT has_group_by AND EXISTS (SELECT 1 FROM ops o WHERE o.id = f.id AND operation IN ('avg', 'sum', 'count', 'variance', 'range'))",
+            "''", "flag f JOIN qn ON qn.id = f.id"),
+        row("empty_result", "low", 8, "preview_rows = 0"),
+    ]
+    for number, rule in enumerate(retail.BLUEPRINT_RULES):
+        source = f"(SELECT f.* FROM flag f JOIN blueprints b ON b.id = f.id AND b.blueprint = {number}) f"
+        if rule["pattern"] == "multi_context_cte":
+            rows += [
+                row("missing_query_blueprint_structure", "medium", 14, "NOT has_cte AND select_count < 2", "''", source),
+                row("missing_blueprint_grouped_count_context", "medium", 12, f"NOT ({_uses('COUNT')} AND has_group_by)", "''", source),
+                row("missing_blueprint_detail_table", "medium", 12, "NOT " + _has_table(f"'{rule['detail_table']}'"), f"'{rule['detail_table']}'", source),
+                *[row("missing_blueprint_detail_column", "medium", 8, "NOT " + _has_column(f"'{c}'"), f"'{c}'", source) for c in rule["detail_columns"]],
+                row("missing_blueprint_window_context", "medium", 10,
+                    f"NOT regexp_matches(sql, '(?is)AVG\\s*\\(\\s*[^)]*{rule['window_column']}[^)]*\\)\\s*OVER\\s*\\([^)]*({'|'.join(rule['window_grain'])})')", "''", source),
+                row("overconstrained_subject_code_context", "medium", 12,
+                    # the clause ends at the next keyword: cut there first
+                    f"len(list_filter(regexp_extract_all(regexp_replace(sql, '(?i)\\b(JOIN|WHERE|GROUP|ORDER|HAVING|LIMIT)\\b', chr(1) || '\\1', 'g'), '(?i)\\bJOIN\\s+{rule['narrow_join_table']}\\b(?:\\s+\\w+)?\\s+ON\\s+([^\\x01]*)', 1), "
+                    f"lambda c: contains(upper(c), '{rule['narrow_join_columns'][0].upper()}') AND contains(upper(c), '{rule['narrow_join_columns'][1].upper()}'))) > 0", "''", source),
+            ]
+        else:
+            rows.append(row("missing_blueprint_lookup_join", "medium", 10, "NOT " + _is_joined(f"'{rule['lookup_left']}'", f"'{rule['lookup_right']}'"), "''", source))
+    return " UNION ALL ".join(rows)
+
+
+_VERIFY = f"""{_PLAN}, {_EVIDENCE}, {_SQLS},
+strong AS (SELECT t.id, t.tbl, t.rank, {_DIRECT} AS direct, bool_or({_DIRECT}) OVER (PARTITION BY t.id) AS any_direct, min(t.rank) OVER (PARTITION BY t.id) AS first_rank
+  FROM top t JOIN evidence e ON e.id = t.id AND e.tbl = t.tbl JOIN matched m ON m.id = t.id AND m.tbl = t.tbl
+  WHERE score >= greatest(5, 0.35 * (SELECT max(x.score) FROM top x WHERE x.id = t.id))),
+high AS MATERIALIZED (SELECT id, tbl, rank FROM strong WHERE CASE WHEN any_direct THEN direct ELSE rank = first_rank END QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank) <= 8),
+findings AS MATERIALIZED ({_checks()})"""
+ORACLES["verify_findings"] = f"WITH {_VERIFY} SELECT * FROM findings"
+ORACLES["verify_scores"] = f"""WITH {_VERIFY}, s AS (
+  SELECT q.sql_id, greatest(0, 100 - coalesce(sum(penalty), 0))::INT AS score, count(code) AS findings, coalesce(bool_or(severity IN ('high', 'medium')), false) AS serious
+  FROM sqls q LEFT JOIN findings f ON f.sql_id = q.sql_id GROUP BY q.sql_id)
+SELECT sql_id, score, findings, serious AND score <= 90 AS should_repair FROM s"""
+
+# --- prompts and provenance --------------------------------------------------------------------------------------------------------------
+
+from assayer.rules import prompts as texts  # noqa: E402
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_CASES = f"""cases AS (SELECT question_id AS id, 'q' || question_id AS case_id, question, question_id % 11 = 0 AS agentic, CASE WHEN question_id % 4 = 0 THEN 'unknown' ELSE 'retail' END AS db,
+  CASE WHEN question_id % 2 = 0 THEN 'Table customer: c_custkey bigint, c_name string' ELSE {_text(texts.NO_SCHEMA)} END AS schema_text,
+  CASE WHEN question_id % 3 = 0 THEN {_text('Untrusted evidence/context starts here:' + chr(10) + '<benchmark_evidence>' + chr(10))} || 'see customer ' || question_id || {_text(chr(10) + '</benchmark_evidence>' + chr(10) + chr(10))} ELSE '' END AS evidence
+  FROM {oracle_input(workload.QUESTIONS)}),
+chats AS MATERIALIZED (SELECT id, case_id, agentic, CASE WHEN agentic THEN {_text(texts.AGENT_SYSTEM)} ELSE {_text(texts.SQL_SYSTEM)} END AS s,
+  CASE WHEN agentic THEN {_text('Benchmark: bird-mini-dev' + chr(10) + 'Task id: ')} || case_id || {_text(chr(10) + 'Dialect/runtime: sqlite' + chr(10) * 2 + 'Untrusted task context starts here:' + chr(10) + '<benchmark_task_context>' + chr(10))}
+    || question || {_text(chr(10) + '</benchmark_task_context>' + chr(10) * 2 + texts.AGENT_REPLY)}
+  ELSE {_text('Benchmark: bird-mini-dev' + chr(10) + 'Question id: ')} || case_id || {_text(chr(10) + 'Database id: ')} || db || {_text(chr(10) + 'SQL dialect: sqlite' + chr(10) * 2 + 'Untrusted question starts here:' + chr(10) + '<benchmark_question>' + chr(10))}
+    || question || {_text(chr(10) + '</benchmark_question>' + chr(10) * 2)} || evidence || {_text('Untrusted schema starts here:' + chr(10) + '<benchmark_schema>' + chr(10))} || schema_text
+    || {_text(chr(10) + '</benchmark_schema>' + texts.SCHEMA_CHECKLIST + texts.SQL_REPLY + '<ans>SELECT ... -- sqlite</ans>')} END AS u FROM cases),
+prompted AS MATERIALIZED (SELECT *, 'SYSTEM:' || chr(10) || s || chr(10) || chr(10) || 'USER:' || chr(10) || u AS body FROM chats)"""
+ORACLES["case_prompts"] = f"WITH {_CASES} SELECT case_id, length(body) AS prompt_chars, sha256(body) AS prompt_sha256 FROM prompted"
+ORACLES["set_digest"] = f"""WITH {_CASES}
+SELECT id % 7 AS run_id, sha256(string_agg(case_id || ':' || sha256(body), chr(10) ORDER BY id)) AS prompt_set_sha256 FROM prompted GROUP BY id % 7"""
+_FLAT = "string_agg(upper(role) || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)"
+ORACLES["chat_flatten"] = f"SELECT conv_id AS chat_id, 0 AS part, {_FLAT} AS text FROM conversations GROUP BY conv_id"
+ORACLES["prompt_digest"] = f"SELECT conv_id AS chat_id, sha256({_FLAT}) AS digest, length({_FLAT}) AS prompt_chars FROM conversations GROUP BY conv_id"
+_WIDE = " | ".join(f"w{i}" for i in range(1, 41))
+_BLOCKS_CTE = f"""blocks AS (SELECT conv_id, turn, role, role = 'user' AND conv_id % 2 = 0 AS blocked,
+  CASE WHEN role = 'user' AND conv_id % 2 = 0 THEN text || {_text(chr(10) + 'Table name: t')} || conv_id || {_text(chr(10) + 'Columns: a, b ,c')} || turn
+    || {_text(chr(10) * 2 + 'Table name: wide' + chr(10) + '| ' + _WIDE + ' |' + chr(10) + '| --- | --- |' + chr(10) + 'Table name: ' + chr(10) + 'Table name: bare' + chr(10) + 'no columns' + chr(10) + '  ')} ELSE text END AS content FROM conversations),
+ledgers AS (SELECT *, CASE WHEN blocked THEN {_text(texts.LEDGER_HEAD + '- t')} || conv_id || ': a, b, c' || turn || {_text(chr(10) + '- wide: ' + ', '.join(f'w{i}' for i in range(1, 37)) + ', ...4 more')} ELSE '' END AS ledger FROM blocks)"""
+ORACLES["schema_ledger"] = f"WITH {_BLOCKS_CTE} SELECT conv_id AS chat_id, turn AS pos, ledger FROM ledgers WHERE blocked"
+_RTRIM = lambda x: f"regexp_replace({x}, '{SPACE}+$', '')"
+ORACLES["strict_prompt"] = f"""WITH {_BLOCKS_CTE},
+edge AS (SELECT conv_id, min(turn) FILTER (role = 'system') AS sys, max(turn) FILTER (role = 'user') AS usr, min(turn) AS lo, max(turn) AS hi FROM blocks GROUP BY conv_id),
+strict AS (
+  SELECT l.conv_id, turn, role, CASE WHEN turn = sys THEN {_RTRIM('content')} || {_text(chr(10) * 2 + texts.STRICT_SYSTEM)}
+    WHEN turn = usr THEN CASE WHEN ledger <> '' THEN {_RTRIM('content')} || chr(10) || chr(10) || ledger ELSE {_RTRIM('content')} END || {_text(chr(10) * 2 + texts.STRICT_USER)} ELSE content END AS content
+  FROM ledgers l JOIN edge USING (conv_id)
+  UNION ALL SELECT conv_id, lo - 1, 'system', {_text(texts.STRICT_SYSTEM)} FROM edge WHERE sys IS NULL
+  UNION ALL SELECT conv_id, hi + 1, 'user', {_text(texts.STRICT_USER)} FROM edge WHERE usr IS NULL)
+SELECT conv_id AS chat_id, turn AS pos, role, length(content) AS chars, sha256(content) AS digest FROM strict"""
+_SEARCH_HEAD = [
+    "Tool result: schema_search over all available tables for this dataset.",
+    "These are additional candidate tables/columns discovered from the full schema. They are not gold labels; verify fit before use.",
+    "When a table name directly matches words in the question, treat it as strong evidence and compare it against broader hierarchy/summary tables before choosing joins.",
+]
+ORACLES["tool_context"] = f"""WITH {_CASES}, {_QUESTIONS}, {_CATALOG}, {_SEARCH},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tbl) AS rank FROM searched QUALIFY rank <= 2),
+cols AS (SELECT tbl, string_agg(col, ', ' ORDER BY idx) AS listed FROM catalog GROUP BY tbl),
+ctx AS (SELECT id, {_text(chr(10).join(_SEARCH_HEAD))} || chr(10) || string_agg('Table name: ' || r.tbl || chr(10) || 'Columns: ' || listed || chr(10) || 'Schema search score: ' || score
+  || '; direct table-name phrase match: ' || CASE WHEN phrase_match THEN 'True' ELSE 'False' END, chr(10) ORDER BY rank) AS context FROM ranked r JOIN cols USING (tbl) GROUP BY id)
+SELECT case_id AS chat_id, 0 AS pos, 'system' AS role, length(s) AS chars FROM prompted
+UNION ALL SELECT case_id, 1, 'user', length(u) + coalesce(2 + length(context), 0) FROM prompted p LEFT JOIN ctx c ON c.id = p.id"""
+
+# --- sources, files, manifests ---------------------------------------------------------------------------------------------------------------
+
+ORACLES["case_sources"] = f"""
+SELECT b AS benchmark, 'sql' AS mode, d AS dialect, question, 'SELECT ' || question_id AS gold_sql, 'retail' AS db_id, '' AS evidence
+FROM {oracle_input(workload.QUESTIONS)}, (VALUES ('bird-mini-dev', 'sqlite'), ('defog-sql-eval', 'postgres')) s(b, d)"""
+ORACLES["public_cases"] = f"""
+SELECT 'q' || question_id AS case_id, 'bird-mini-dev' AS benchmark, 'sql' AS mode, 'sqlite' AS dialect, question, CASE WHEN question_id % 4 = 0 THEN '' ELSE 'retail' END AS db_id, '' AS db_path,
+  CASE WHEN question_id % 3 = 0 THEN 'see customer ' || question_id ELSE '' END AS evidence FROM {oracle_input(workload.QUESTIONS)}"""
+ORACLES["limited_cases"] = """
+SELECT benchmark, case_id, mode, dialect, question FROM (
+  SELECT b AS benchmark, CAST(conv_id * 1000 + turn AS VARCHAR) AS case_id, m AS mode, d AS dialect, text AS question, row_number() OVER (PARTITION BY b ORDER BY conv_id * 1000 + turn) AS place
+  FROM conversations JOIN (VALUES (0, 'bird-mini-dev', 'sql', 'sqlite'), (1, 'kaggledbqa', 'sql', 'sqlite'), (2, 'defog-sql-eval', 'sql', 'postgres'), (3, 'spider2-dbt', 'agentic_dbt', 'duckdb')) s(i, b, m, d)
+    ON (conv_id * 1000 + turn) % 4 = i WHERE role = 'user') WHERE place <= 25"""
+ORACLES["canonical_names"] = """
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'bird-mini-dev' WHEN 1 THEN 'spider2-dbt' WHEN 2 THEN 'all' WHEN 3 THEN 'defog-sql-eval' WHEN 4 THEN 'kaggledbqa' END AS benchmark FROM events"""
+ORACLES["safe_case_ids"] = "SELECT page_id, left(trim(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), 140) AS safe_id FROM pages"
+ORACLES["safe_id_collisions"] = """
+SELECT 'web' AS benchmark, safe_id, count(*) AS cases FROM (
+  SELECT left(trim(regexp_replace(array_to_string(string_split(url, '/')[1:3], '/'), '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), 140) AS safe_id FROM pages) GROUP BY safe_id HAVING count(*) > 1"""
+ORACLES["task_texts"] = f"""
+WITH f AS (SELECT 't' || conv_id AS task, CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN 'README.md' WHEN turn = 1 AND conv_id % 3 = 1 THEN 'instruction.txt'
+    WHEN turn % 2 = 0 THEN 'n' || turn || '.md' ELSE 'n' || turn || '.txt' END AS name, CASE WHEN conv_id % 6 = 0 AND turn = 0 THEN '' ELSE {_strip('text')} END AS text FROM conversations),
+k AS (SELECT *, CASE WHEN name = 'README.md' THEN 0 WHEN name = 'instruction.txt' THEN 2 WHEN name LIKE '%.md' THEN 3 ELSE 4 END AS kind FROM f WHERE text <> '')
+SELECT task, string_agg('# ' || name || chr(10) || left(text, 6000), chr(10) || chr(10) ORDER BY name) AS question FROM k
+WHERE kind = (SELECT min(kind) FROM k o WHERE o.task = k.task) GROUP BY task"""
+ORACLES["picked_databases"] = """
+SELECT 'db' || c_custkey AS db_id, CASE WHEN c_custkey % 2 = 0 THEN 'databases/db' || c_custkey || '/db' || c_custkey || '.sqlite' WHEN c_custkey % 3 = 0 THEN 'databases/db' || c_custkey || '.db'
+  WHEN c_custkey % 5 = 0 THEN 'dev_databases/db' || c_custkey || '/sqlite/db' || c_custkey || '.sqlite' WHEN c_custkey % 7 <> 0 THEN 'a-b/db' || c_custkey || '.db' END AS db_path FROM customer"""
+ORACLES["artifact_completeness"] = """
+WITH e AS (SELECT o_orderpriority AS source, 'set/' || o_orderkey || '.duckdb' AS path FROM orders),
+l AS (SELECT 'set/' || l_orderkey || '.duckdb' AS path, count(*) AS bytes FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey),
+j AS (SELECT source, e.path, bytes, row_number() OVER (PARTITION BY source, bytes IS NULL ORDER BY e.path) AS place FROM e LEFT JOIN l ON e.path = l.path)
+SELECT source, count(*) AS expected_files, count(bytes) AS found_files, coalesce(sum(bytes), 0)::BIGINT AS bytes, count(*) FILTER (bytes IS NULL) AS missing_count,
+  coalesce(string_agg(path, ', ' ORDER BY path) FILTER (bytes IS NULL AND place <= 20), '') AS missing FROM j GROUP BY source"""
+ORACLES["snapshot_totals"] = f"""
+SELECT string_split(path, '/')[1] AS source, count(*) AS files, sum(bytes)::BIGINT AS bytes, count(*) FILTER (path LIKE '%.md' OR path LIKE '%.sh') AS required_files,
+  count(*) FILTER (path LIKE '%.md' OR path LIKE '%.sh') >= 60 AS complete FROM {oracle_input(workload.FILES)} GROUP BY 1"""
+ORACLES["file_digests"] = """
+SELECT 'web/' || page_id AS path, page_id % 9 <> 4 AS "exists", CASE WHEN page_id % 9 <> 4 THEN strlen(html) ELSE 0 END AS bytes, CASE WHEN page_id % 9 <> 4 THEN sha256(html) END AS sha256,
+  page_id % 9 <> 4 AND html <> '' AS not_empty, page_id % 9 <> 4 AND html <> '' AND (page_id % 3 <> 1 OR strlen(html) = 17) AS valid FROM pages"""
+ORACLES["latest_manifest"] = """
+SELECT 'set' || user_id AS name, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, event_id AS setup_at FROM events e
+WHERE event_id = (SELECT max(event_id) FROM events o WHERE o.user_id = e.user_id)"""
+ORACLES["run_index"] = "SELECT event_type AS benchmark, 'generic-sql' AS method, count(*) AS entries, count(DISTINCT user_id) AS models FROM events GROUP BY event_type"

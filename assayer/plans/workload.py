@@ -171,7 +171,7 @@ FROM {events} e
 LEAK_PROMPTS = """
 SELECT conv_id * 1000 + turn AS case_id, 'run' || CAST(conv_id % 20 AS STRING) AS run_id,
   'Question about ' || role || chr(10) ||
-  CASE WHEN conv_id % 5 = 0 THEN '  ' || upper(text) || ' ;' ELSE substr(text, 1, CAST(FLOOR(length(text) / 2.0) AS INT)) END || chr(10) || 'Answer now.' AS prompt
+  CASE WHEN conv_id % 5 = 0 THEN '  ' || replace(text, ' ', '   ') || ' ;' ELSE substr(text, 1, CAST(FLOOR(length(text) / 2.0) AS INT)) END || chr(10) || 'Answer now.' AS prompt
 FROM {conversations} WHERE role = 'assistant'
 """
 LEAK_GOLD = """
