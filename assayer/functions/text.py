@@ -31,13 +31,20 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# fixed value: every white-space character
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    """Remove Unicode white space at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Remove white space at both ends; looks at the ends only."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+$", "")
+    return F.rtrim(text, F.lit(WHITE_SPACE))
 
 
 def normalize(text: Column) -> Column:
@@ -173,7 +180,7 @@ def required_grain(text: Column) -> Column:
 def _grain(q: Column) -> Column:
     def after(pattern: str) -> Column:
         return F.filter(
-            F.transform(F.regexp_extract_all(q, F.lit(pattern), F.lit(1)), F.trim), lambda g: g != ""
+            F.transform(F.regexp_extract_all(q, F.lit(pattern), F.lit(1)), lambda g: F.trim(g)), lambda g: g != ""
         )
 
     each = after(r"for each ([a-z0-9 ]{2,80}?)(?: where| with| ordered| and|$)")
@@ -227,5 +234,4 @@ def _checked_plan(raw: Column) -> Column:
 
 def normalize_sql(sql: Column) -> Column:
     """Lower case, outer blanks and then outer semicolons removed, inner white space as one blank."""
-    bare = F.regexp_replace(strip(sql), "^;+|;+$", "")
-    return F.regexp_replace(F.lower(bare), f"{SPACE}+", " ")
+    return F.regexp_replace(F.lower(F.btrim(strip(sql), F.lit(";"))), f"{SPACE}+", " ")

@@ -24,25 +24,25 @@ def keyed_leaks(prompts: DataFrame, gold: DataFrame) -> DataFrame:
     usable = gold.select("case_id", normalize_sql(F.col("gold_text")).alias("gold_norm")).filter(
         F.length("gold_norm") >= MIN_GOLD_CHARS
     )
-    return prompts.join(usable, "case_id").filter(F.contains(normalize_sql(F.col("prompt")), F.col("gold_norm"))).drop("gold_norm")
+    held = F.contains(F.coalesce(normalize_sql(F.col("prompt")), F.lit("")), F.col("gold_norm"))
+    return prompts.join(usable, "case_id").filter(held).drop("gold_norm")
 
 
-def _shingles(text_norm: Column) -> Column:
-    """Hash keys of a normalised text: every run of three words, and every 8-gram of its long words."""
-    return bound(F.split(text_norm, " "), _keys_of_words)
-
-
-def _keys_of_words(text_words: Column) -> Column:
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(text_words) - (SHINGLE_WORDS - 1)),
-        lambda i: F.xxhash64(*[F.get(text_words, i + (offset - 1)) for offset in range(SHINGLE_WORDS)]),
-    )
-    grams = F.flatten(
-        F.transform(F.filter(text_words, lambda w: F.length(w) >= LONG_WORD_CHARS), lambda w: _grams(w))
-    )
-    return F.array_distinct(
-        F.concat(F.when(F.size(text_words) >= SHINGLE_WORDS, runs).otherwise(F.array().cast("array<bigint>")), grams)
-    )
+def _text_keys(texts: DataFrame, *carried: str, grams: bool) -> DataFrame:
+    """Hash keys of normalised texts, one row each: every run of three words and, where asked for, every 8-gram of
+    the long words. Plain zipping and exploding, which compiles into the scan; a key may repeat within a text.
+    """
+    split = texts.select(*carried, F.split("text_norm", " ").alias("words"))
+    later = lambda n: F.slice("words", F.lit(n), F.size("words"))
+    runs = split.select(*carried, F.inline(F.arrays_zip("words", later(2), later(3))).alias("w1", "w2", "w3"))
+    keys = runs.filter("w3 IS NOT NULL").select(*carried, F.xxhash64("w1", "w2", "w3").alias("key"))
+    if grams:
+        long_words = split.select(*carried, F.explode("words").alias("word")).filter(F.length("word") >= LONG_WORD_CHARS)
+        starts = F.sequence(F.lit(1), F.length("word") - (GRAM_CHARS - 1))
+        placed = long_words.select(*carried, "word", F.explode(starts).alias("start"))
+        piece = F.col("word").substr(F.col("start"), F.lit(GRAM_CHARS))
+        keys = keys.unionByName(placed.select(*carried, F.xxhash64(piece).alias("key")))
+    return keys
 
 
 def _grams(word: Column) -> Column:
@@ -86,17 +86,20 @@ def corpus_leaks(texts: DataFrame, passages: DataFrame, broadcast_chars: int = B
         .filter(F.length("passage_norm") >= MIN_GOLD_CHARS)
         .withColumn("anchors", _inner_shingles(F.col("passage_norm")))
     )
-    size = usable.agg(F.coalesce(F.sum(F.length("passage_norm")), F.lit(0)).alias("chars")).first()["chars"]
-    normalized = texts.select("text_id", normalize_sql(F.col("text")).alias("text_norm"))
-    if size <= broadcast_chars:
-        anchored = usable.select(
-            "passage_id", "passage_norm", F.array_max("anchors")["key"].alias("key")
-        )
-        keyed = normalized.select("text_id", "text_norm", F.explode(_shingles(F.col("text_norm"))).alias("key"))
+    few_words = F.size(F.split("passage_norm", " ")) < SHINGLE_WORDS + 2
+    size = usable.agg(
+        F.coalesce(F.sum(F.length("passage_norm")), F.lit(0)).alias("chars"),
+        F.coalesce(F.bool_or(few_words), F.lit(False)).alias("grams"),
+    ).first()
+    # never NULL, or a filter on that would work the text out twice
+    normalized = texts.select("text_id", F.coalesce(normalize_sql(F.col("text")), F.lit("")).alias("text_norm"))
+    if size["chars"] <= broadcast_chars:
+        anchored = usable.select("passage_id", "passage_norm", F.array_max("anchors")["key"].alias("key"))
+        keyed = _text_keys(normalized, "text_id", "text_norm", grams=size["grams"])
         # size checked above
         found = keyed.join(F.broadcast(anchored), "key").filter(F.contains("text_norm", "passage_norm"))
-        return found.select("text_id", "passage_id")
-    keyed = normalized.select("text_id", F.explode(_shingles(F.col("text_norm"))).alias("key"))
+        return found.select("text_id", "passage_id").distinct()
+    keyed = _text_keys(normalized, "text_id", grams=size["grams"])
     wanted = usable.select("passage_id", F.explode("anchors.key").alias("key")).distinct()
     # the texts' keys are by far the wider side, whatever their size before the explode
     counts = keyed.join(wanted.select("key").distinct().hint("merge"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("texts"))

@@ -38,3 +38,12 @@ def join_index(keyed: DataFrame, index: DataFrame, on: list[str], max_rows: int
     """
     small = index.limit(max_rows + 1).count() <= max_rows
     return keyed.join(F.broadcast(index) if small else index.hint("merge"), on)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Spread compact rows over all tasks by key before they are widened.
+
+    A small file can hold rows that explode a hundredfold; moving them first is cheap, shares the work, and the
+    groupings by this key that follow need no further shuffle.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

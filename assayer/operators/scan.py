@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.lines import file_name, resolve, split_lines, suffix
-from assayer.functions.text import strip, text_array
+from assayer.functions.text import bound, strip, text_array
 from assayer.operators.ranking import top_rows, top_rows_of_few_keys
 from assayer.rules import scanning as rules
 
 # every secret or injection pattern needs one of these; lines and whole texts without any are dropped first
-_TEXT_HINT = r"(?iu)sk-|hf_|key|token|secret|password|ignore|prompt|message|follow|jailbreak"
-_SHELL_HINT = r"(?iu)curl|wget|eval|sudo|rm|chmod|echo"
+_TEXT_HINT = "sk- hf_ key token secret password ignore prompt message follow jailbreak".split()
+_SHELL_HINT = "curl wget eval sudo rm chmod echo".split()
 
 FINDING = ["path", "line", "rule", "severity"]
 
@@ -28,6 +28,11 @@ def _contains_any(text: Column, marks: list[str]) -> Column:
     return found
 
 
+def _hinted(text: Column, hints: list[str]) -> Column:
+    """Whether any hint occurs, in any case; plain searches in one folded copy of the text."""
+    return bound(F.lower(F.upper(text)), lambda folded: _contains_any(folded, hints))
+
+
 def _rule(name: str, severity: str, matched: Column) -> Column:
     return F.when(matched, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity")))
 
@@ -76,13 +81,13 @@ def _hits(files: DataFrame, hint: Column, line_hint, line_rules) -> DataFrame:
 def text_findings(files: DataFrame, max_bytes: int = rules.AUDIT_BYTES) -> DataFrame:
     """Secrets and prompt injections in lines of text files up to a size."""
     gate = suffix(F.col("path")).isin(rules.TEXT_SUFFIXES) & (F.col("bytes") <= max_bytes)
-    return _hits(files, gate & F.col("text").rlike(_TEXT_HINT), lambda c: c.rlike(_TEXT_HINT), _audit_text_rules)
+    return _hits(files, gate & _hinted(F.col("text"), _TEXT_HINT), lambda c: _hinted(c, _TEXT_HINT), _audit_text_rules)
 
 
 def shell_findings(files: DataFrame) -> DataFrame:
     """Unsafe commands in lines of ``.sh`` files."""
     gate = suffix(F.col("path")) == ".sh"
-    return _hits(files, gate & F.col("text").rlike(_SHELL_HINT), lambda c: c.rlike(_SHELL_HINT), _shell_rules)
+    return _hits(files, gate & _hinted(F.col("text"), _SHELL_HINT), lambda c: _hinted(c, _SHELL_HINT), _shell_rules)
 
 
 def dependency_findings(files: DataFrame) -> DataFrame:
@@ -134,11 +139,11 @@ def setup_findings(files: DataFrame) -> DataFrame:
         ~F.array_contains(F.split("path", "/"), ".git") & (F.col("bytes") <= rules.SETUP_BYTES)
     )
     shell = suffix(F.col("path")).isin(rules.SETUP_SHELL_SUFFIXES)
-    secrets = _hits(kept, F.col("text").rlike(_TEXT_HINT), lambda c: c.rlike(_TEXT_HINT), _setup_text_rules)
+    secrets = _hits(kept, _hinted(F.col("text"), _TEXT_HINT), lambda c: _hinted(c, _TEXT_HINT), _setup_text_rules)
     commands = _hits(
         kept,
-        shell & F.col("text").rlike(_SHELL_HINT),
-        lambda c: c.rlike(_SHELL_HINT),
+        shell & _hinted(F.col("text"), _SHELL_HINT),
+        lambda c: _hinted(c, _SHELL_HINT),
         lambda c: _shell_rules(c, rules.SETUP_SHELL_RULES),
     )
     return secrets.unionByName(commands)

@@ -452,7 +452,8 @@ _CELLS = " UNION ALL ".join(
     for t, columns in workload.EXAMPLE_COLUMNS.items() for c in columns
 )
 _EXAMPLES = f"""cells AS (SELECT DISTINCT * FROM ({_CELLS})),
-hashed AS (SELECT *, ('0x' || substr(md5(v), 1, 15))::BIGINT AS h FROM cells),
+hashed AS (SELECT *, coalesce(((TRY_CAST(CASE WHEN regexp_full_match(v, '-?[0-9]{{1,18}}') THEN v END AS BIGINT) % 2147483647 + 2147483647) % 2147483647) * 48271 % 2147483647,
+  translate(substr(md5(v), 1, 15), 'abcdef', '012345')::BIGINT % 2147483647) AS h FROM cells),
 examples AS MATERIALIZED (SELECT c.tbl, c.idx, c.col, h % 8 AS pos, v FROM hashed JOIN catalog c USING (tbl, col) QUALIFY row_number() OVER (PARTITION BY tbl, col, h % 8 ORDER BY h) = 1)"""
 ORACLES["example_values"] = f'WITH {_CATALOG}, {_EXAMPLES} SELECT tbl AS "table", idx AS col_idx, pos, v AS value FROM examples'
 _NAMES = f"""names AS MATERIALIZED (

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.session import materialize
-from assayer.sources.catalog import catalog_of, sampled_values
+from assayer.sources.catalog import catalog_of, portable_text_hash, sampled_values
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -203,8 +203,15 @@ EXAMPLE_COLUMNS = {
 }
 
 
+_OPENED: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its footer is read once per application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    if key not in _OPENED:
+        _OPENED[key] = spark.read.parquet(key[1])
+    return _OPENED[key]
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str, **inputs: DataFrame) -> DataFrame:
@@ -229,7 +236,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled values of every example column, over the whole tables; a small table that linking reads many times."""
     sources = {name: (table(spark, sf_dir, name), columns) for name, columns in EXAMPLE_COLUMNS.items()}
-    return materialize(sampled_values(sources), "examples")
+    return materialize(sampled_values(sources, hashing=portable_text_hash), "examples")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

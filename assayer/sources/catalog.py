@@ -6,9 +6,10 @@ cells of example rows and ``col`` for values listed per column.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,7 +59,19 @@ def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return catalog.select("table", "col_idx", "column", "type"), examples
 
 
-def sampled_values(sources: dict[str, tuple[DataFrame, list[str]]], per_column: int = 8) -> DataFrame:
+def text_hash(text: Column) -> Column:
+    """A non-negative hash of a text."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+
+
+def portable_text_hash(text: Column) -> Column:
+    """A slower hash that other engines can work out too: the first digits of the MD5 sum, letters read as 0 to 5."""
+    return F.translate(F.substring(F.md5(text), 1, 15), "abcdef", "012345").cast("bigint")
+
+
+def sampled_values(
+    sources: dict[str, tuple[DataFrame, list[str]]], per_column: int = 8, hashing: Callable[[Column], Column] = text_hash
+) -> DataFrame:
     """Up to ``per_column`` distinct values of each listed column, as ``col`` examples: table name to (frame, columns).
 
     Values are dealt into ``per_column`` buckets by hash and the smallest hash of each bucket stays. The pick depends on
@@ -67,20 +80,38 @@ def sampled_values(sources: dict[str, tuple[DataFrame, list[str]]], per_column:
     tables share them.
     """
 
-    def cells(name: str, frame: DataFrame, columns: list[str]) -> DataFrame:
-        index = {c: i for i, c in enumerate(frame.columns)}
-        pairs = [F.struct(F.lit(index[c]).alias("col_idx"), F.col(c).cast("string").alias("value")) for c in columns]
-        return frame.select(F.lit(name).alias("table"), F.inline(F.array(*pairs)))
-
-    united = reduce(DataFrame.unionByName, [cells(name, *source) for name, source in sources.items()])
-    hashed = united.filter("value IS NOT NULL").withColumn(
-        "hash", F.conv(F.substring(F.md5("value"), 1, 15), 16, 10).cast("bigint")
-    )
-    dealt = hashed.withColumn("bucket", (F.col("hash") % per_column).cast("int"))
-    keys = ["table", "col_idx", "bucket"]
-    picked = dealt.groupBy(keys).agg(F.min("hash").alias("hash"))
-    kept = dealt.join(picked, [*keys, "hash"], "left_semi").select(*keys, "value").distinct()
-    return kept.select("table", "col_idx", F.lit("col").alias("kind"), F.col("bucket").alias("pos"), "value")
+    def cells(name: str, frame: DataFrame, columns: list[str], with_value: bool) -> DataFrame:
+        at = {c: frame.columns.index(c) for c in columns}
+        hashes = [F.coalesce(_value_hash(F.col(c), frame.schema[c].dataType, hashing), F.lit(-1)).alias(f"h{at[c]}") for c in columns]
+        texts = [F.col(c).cast("string").alias(f"v{at[c]}") for c in columns] if with_value else []
+        names = ", ".join(f"(h{i}, v{i}) AS `{i}`" if with_value else f"h{i} AS `{i}`" for i in at.values())
+        shape = "(hash, value)" if with_value else "hash"
+        found = frame.sparkSession.sql(
+            f"SELECT * FROM {{cells}} UNPIVOT ({shape} FOR col_idx IN ({names}))", cells=frame.select(*hashes, *texts)
+        )
+        return found.filter("hash >= 0").withColumns({"table": F.lit(name), "col_idx": F.col("col_idx").cast("int")})
+
+    def united(with_value: bool) -> DataFrame:
+        return reduce(DataFrame.unionByName, [cells(name, *source, with_value) for name, source in sources.items()])
+
+    keys = ["table", "col_idx"]
+    bucket = (F.col("hash") % per_column).cast("int")
+    picked = united(False).groupBy(*keys, bucket.alias("bucket")).agg(F.min("hash").alias("hash")).drop("bucket")
+    kept = united(True).join(picked, [*keys, "hash"], "left_semi").select(*keys, bucket.alias("pos"), "value").distinct()
+    return kept.select("table", "col_idx", F.lit("col").alias("kind"), "pos", "value")
+
+
+_PRIME, _FACTOR = 2147483647, 48271
+
+
+def _value_hash(value: Column, dtype: T.DataType, hashing: Callable[[Column], Column]) -> Column:
+    """A small hash of a value by its text: whole numbers by arithmetic, also where they are stored as text."""
+    number = lambda v: F.pmod(F.pmod(v, F.lit(_PRIME)) * _FACTOR, F.lit(_PRIME))
+    if isinstance(dtype, T.IntegralType):
+        return number(value.cast("bigint"))
+    text = value.cast("string")
+    # a failing cast is slow, so only digits are cast
+    return F.when(text.rlike(r"^-?[0-9]{1,18}$"), number(text.try_cast("bigint"))).otherwise(hashing(text) % _PRIME)
 
 
 def flatten_examples(examples: DataFrame, max_values: int = 80) -> DataFrame:
