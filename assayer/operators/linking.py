@@ -108,7 +108,7 @@ def question_keys(questions: DataFrame) -> DataFrame:
 
 def table_scores(questions: DataFrame, catalog: DataFrame, examples: DataFrame) -> DataFrame:
     """Relevance of every table with any evidence: ``(question_id, table, score)``."""
-    questions = spread(questions, "question_id")
+    questions = spread(questions)
     index = table_index(catalog, examples)
     direct = join_index(question_keys(questions), index, ["kind", "key"]).select("question_id", "table", "weight")
     plurals = plural_index(catalog)
@@ -245,7 +245,7 @@ def schema_search(questions: DataFrame, catalog: DataFrame, top_k: int = 8) -> D
     Names count as plain substrings of the lower-cased question. Pairs are found by shared words or by the first four
     characters of a name; each is then scored in full.
     """
-    questions = spread(questions, "question_id")
+    questions = spread(questions)
     lower = F.lower("question")
     spoken = lambda name: F.replace(F.lower(name), F.lit("_"), F.lit(" "))
     profile = catalog.groupBy("table").agg(

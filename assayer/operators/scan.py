@@ -14,6 +14,7 @@ from assayer.rules import scanning as rules
 _TEXT_HINT = "sk- hf_ key token secret password ignore prompt message follow jailbreak".split()
 _SHELL_HINT = "curl wget eval sudo rm chmod echo".split()
 
+_RULES = "array<struct<rule:string,severity:string>>"
 FINDING = ["path", "line", "rule", "severity"]
 
 
@@ -90,16 +91,17 @@ def shell_findings(files: DataFrame) -> DataFrame:
     return _hits(files, gate & _hinted(F.col("text"), _SHELL_HINT), lambda c: _hinted(c, _SHELL_HINT), _shell_rules)
 
 
+def _is_direct(content: Column) -> Column:
+    line = strip(content)
+    return ~line.startswith("#") & _contains_any(line, rules.DIRECT_DEPENDENCY_MARKS)
+
+
 def dependency_findings(files: DataFrame) -> DataFrame:
     """Lines of requirements files that fetch a dependency directly."""
     gate = file_name(F.col("path")).startswith("requirements") & (suffix(F.col("path")) == ".txt")
 
-    def direct(content: Column) -> Column:
-        line = strip(content)
-        return ~line.startswith("#") & _contains_any(line, rules.DIRECT_DEPENDENCY_MARKS)
-
     marked = _contains_any(F.col("text"), rules.DIRECT_DEPENDENCY_MARKS)
-    return _hits(files, gate & marked, direct, lambda c: [_rule("direct_dependency", "high", F.lit(True))])
+    return _hits(files, gate & marked, _is_direct, lambda c: [_rule("direct_dependency", "high", F.lit(True))])
 
 
 def listed_dependencies(findings: DataFrame, per_file: int = 20) -> DataFrame:
@@ -123,14 +125,34 @@ def lifecycle_findings(files: DataFrame) -> DataFrame:
 
 
 def audit_findings(files: DataFrame, max_text_bytes: int = rules.AUDIT_BYTES) -> DataFrame:
-    """All findings of the input audit, uncapped: ``files(path, text, bytes)``. No shuffle."""
+    """All findings of the input audit, uncapped: ``files(path, text, bytes)``. No shuffle.
+
+    One pass for all line rules: a file's name decides which of them its lines meet. A second one for packages.
+    """
     kept = files.filter(~is_skipped(F.col("path")))
-    return (
-        lifecycle_findings(kept)
-        .unionByName(dependency_findings(kept))
-        .unionByName(shell_findings(kept))
-        .unionByName(text_findings(kept, max_text_bytes))
+    name, ending = file_name(F.col("path")), suffix(F.col("path"))
+    text = F.col("text")
+    classed = kept.select(
+        "path",
+        "text",
+        (ending.isin(rules.TEXT_SUFFIXES) & (F.col("bytes") <= max_text_bytes) & _hinted(text, _TEXT_HINT)).alias("is_text"),
+        ((ending == ".sh") & _hinted(text, _SHELL_HINT)).alias("is_shell"),
+        (name.startswith("requirements") & (ending == ".txt") & _contains_any(text, rules.DIRECT_DEPENDENCY_MARKS)).alias("is_list"),
+    )
+    lines = classed.filter("is_text OR is_shell OR is_list").select(
+        "path", "is_text", "is_shell", "is_list", F.posexplode(split_lines(text)).alias("at", "content")
+    )
+    content = F.col("content")
+    chosen = lambda when, found: F.when(when, F.array(*found)).otherwise(F.array().cast(_RULES))
+    found = F.concat(
+        chosen(F.col("is_text") & _hinted(content, _TEXT_HINT), _audit_text_rules(content)),
+        chosen(F.col("is_shell") & _hinted(content, _SHELL_HINT), _shell_rules(content)),
+        chosen(F.col("is_list"), [_rule("direct_dependency", "high", _is_direct(content))]),
+    )
+    by_line = lines.select(
+        "path", (F.col("at") + 1).cast("bigint").alias("line"), F.inline(F.filter(found, lambda r: r.isNotNull()))
     )
+    return by_line.select(FINDING).unionByName(lifecycle_findings(kept))
 
 
 def setup_findings(files: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from assayer.functions import sqltext, text
 from assayer.operators import cost, evaluate, joins, leak, linking, plan, prompts, provenance, report, scan, slots, verify
 from assayer.plans import suite, workload
 from assayer.rules import retail
-from assayer.session import work_folder
+from assayer.session import guard, work_folder
 from assayer.sources import artifacts, cases, catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +20,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(guard(spark), sf_dir)
+
+    QUERIES[function.__name__] = guarded
+    return guarded
 
 
 def _joined(items, separator: str = ", "):
