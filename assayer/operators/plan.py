@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayer.functions import text
 from assayer.operators.joins import column_profiles, join_candidates
 from assayer.operators.linking import distractor_warnings, table_candidates
+from assayer.operators.provenance import prompt_set_digest
 from assayer.operators.ranking import top_rows
 from assayer.operators.slots import blueprints, join_map, slot_map
 from assayer.session import materialize
@@ -71,6 +72,17 @@ def build_plans(
     return plans.withColumns({name: empty(name) for name in lists})
 
 
+def plan_audit(plans: DataFrame, dataset: str, pos: str) -> DataFrame:
+    """One row: how many plans, by which planner, and the digest of all of them in order of ``pos`` (from 0)."""
+    body = F.to_json(F.struct(*[c for c in plans.columns if c != pos]))
+    hashed = plans.select(
+        F.lit(dataset).alias("dataset"), F.col(pos).alias("pos"), F.col("question_id").alias("case_id"), F.sha2(body, 256).alias("prompt_sha256")
+    )
+    totals = plans.agg(F.count("*").alias("items"), F.max("planner").alias("planner")).withColumn("dataset", F.lit(dataset))
+    digest = prompt_set_digest(hashed, "dataset").withColumnRenamed("prompt_set_sha256", "plans_sha256")
+    return totals.join(digest, "dataset")
+
+
 def _has_direct(evidence: Column) -> Column:
     return F.exists(evidence, lambda e: F.contains(e, F.lit("direct")) | F.contains(e, F.lit("plural")))
 
@@ -217,8 +229,15 @@ def plan_context(plans: DataFrame, max_tables: int = 8, max_joins: int = 8) -> D
             lit("Recommended structure:"),
         ),
         F.coalesce(numbered, none),
+        _lines(there & (F.size(b["contexts"]) > 0), lit("Blueprint contexts:")),
+        F.coalesce(b["contexts"], none),
         _lines(there, lit("Blueprint grain guardrails:")),
         F.coalesce(F.transform(b["guardrails"], lambda g: F.concat(lit("- "), g)), none),
+        _lines(
+            there & (F.size(b["skeleton"]) > 0),
+            lit("Blueprint SQL skeleton hint; fill expressions, aliases, and selected columns from the slot map:"),
+        ),
+        F.coalesce(F.transform(b["skeleton"], lambda s: F.concat(lit("  "), s)), none),
         F.array(lit("Candidate tables with matched columns:")),
         table_lines,
         _lines(filled("join_candidates"), lit("Candidate join/key evidence:")),

@@ -143,6 +143,18 @@ def join_map(questions: DataFrame, slots: DataFrame, rules: list[dict]) -> DataF
     return top_rows(rows.withColumn("pair", pair), ["question_id", "pair"], [F.col("place")], 1).drop("pair")
 
 
+# fixed values: parts of a context's description, in order, with their separators
+_CONTEXT_PARTS = [("tables", "tables", ", "), ("joins", "joins", "; "), ("filters", "filters", "; "), ("outputs", "outputs", ", "), ("group_by", "group by", ", ")]
+
+
+def _context_lines(rule: dict) -> list[str]:
+    lines = []
+    for context in rule.get("contexts", []):
+        lines.append(f"- {context['name']}: {context['purpose']}")
+        lines += [f"  {label}: {between.join(context[key])}" for key, label, between in _CONTEXT_PARTS if context.get(key)]
+    return lines
+
+
 def blueprints(questions: DataFrame, slots: DataFrame, rules: list[dict]) -> DataFrame:
     """The first blueprint that applies to each question, by number and pattern."""
     chosen = F.array(
@@ -155,7 +167,9 @@ def blueprints(questions: DataFrame, slots: DataFrame, rules: list[dict]) -> Dat
                     F.lit("high").alias("confidence"),
                     F.lit(rule["reason"]).alias("reason"),
                     text_array(rule["structure"]).alias("structure"),
+                    text_array(_context_lines(rule)).alias("contexts"),
                     text_array(rule["guardrails"]).alias("guardrails"),
+                    text_array(rule.get("skeleton", [])).alias("skeleton"),
                 ),
             )
             for number, rule in enumerate(rules)

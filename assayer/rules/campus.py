@@ -80,6 +80,9 @@ JOIN_RULES = [
      "role": "department_context_join", "confidence": "medium", "reason": "department-level context of subject codes"},
 ]
 
+_MATHEMATICS = ["SIS_DEPARTMENT.IS_DEGREE_GRANTING = 'Y'", "SIS_DEPARTMENT.DEPARTMENT_NAME = 'Mathematics'"]
+_OFFER_JOIN = "SIS_DEPARTMENT.DEPARTMENT_CODE = SUBJECT_OFFERED_SUMMARY.OFFER_DEPT_CODE"
+
 # --- fixed values: blueprints, first match wins -------------------------------------------------------------------
 BLUEPRINT_RULES = [
     {"pattern": "multi_context_cte", "tables": ["SUBJECT_OFFERED_SUMMARY", "SIS_DEPARTMENT", "SIS_SUBJECT_CODE"],
@@ -88,6 +91,22 @@ BLUEPRINT_RULES = [
                    "Count offered subjects by department.", "Join the contexts on the department.",
                    "Keep one row per offered subject."],
      "guardrails": ["The final grain is the offered subject.", "Join the subject-code context by school code alone."],
+     "contexts": [
+         {"name": "subject_code_context", "purpose": "subject codes with school and the school's average budget code",
+          "tables": ["SIS_DEPARTMENT", "SIS_SUBJECT_CODE"], "joins": ["SIS_DEPARTMENT.SCHOOL_CODE = SIS_SUBJECT_CODE.SCHOOL_CODE"],
+          "filters": _MATHEMATICS,
+          "outputs": ["SIS_SUBJECT_CODE.SUBJECT_CODE", "SIS_SUBJECT_CODE.SUBJECT_CODE_DESC", "SIS_DEPARTMENT.DEPARTMENT_NAME",
+                      "SIS_SUBJECT_CODE.SCHOOL_NAME", "AVG(SIS_DEPARTMENT.DEPT_BUDGET_CODE) OVER (PARTITION BY school)"]},
+         {"name": "offered_subject_context", "purpose": "one row per subject the department offers",
+          "tables": ["SUBJECT_OFFERED_SUMMARY", "SIS_DEPARTMENT"], "joins": [_OFFER_JOIN], "filters": _MATHEMATICS,
+          "outputs": ["SUBJECT_OFFERED_SUMMARY.SUBJECT_TITLE", "SUBJECT_OFFERED_SUMMARY.TOTAL_UNITS", "SIS_DEPARTMENT.DEPARTMENT_CODE"]},
+         {"name": "dept_subject_counts", "purpose": "offered subjects counted by department",
+          "tables": ["SUBJECT_OFFERED_SUMMARY", "SIS_DEPARTMENT"], "joins": [_OFFER_JOIN], "filters": _MATHEMATICS,
+          "outputs": ["COUNT(SUBJECT_OFFERED_SUMMARY.SUBJECT_OFFERED_SUMMARY_KEY)", "SIS_DEPARTMENT.DEPARTMENT_CODE"],
+          "group_by": ["SIS_DEPARTMENT.DEPARTMENT_CODE"]},
+     ],
+     "skeleton": ["WITH subject_code_context AS (...), offered_subject_context AS (...), dept_subject_counts AS (...)",
+                  "SELECT ... FROM the three contexts joined on the department"],
      "needs_contexts": True, "needs_grouped_count": True, "detail_table": "SUBJECT_OFFERED_SUMMARY",
      "detail_columns": ["SUBJECT_TITLE", "TOTAL_UNITS"], "window_column": "DEPT_BUDGET_CODE",
      "window_grain": ["SCHOOL_NAME", "SCHOOL_CODE"],

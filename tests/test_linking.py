@@ -94,7 +94,11 @@ def test_campus_plan_and_verification(spark):
     assert p["blueprint"]["pattern"] == "multi_context_cte"
     context = plan.plan_context(plans).first()["context"]
     assert "Required slot map:" in context and "Query blueprint: multi_context_cte" in context
+    assert "- dept_subject_counts: offered subjects counted by department" in context
+    assert "  group by: SIS_DEPARTMENT.DEPARTMENT_CODE" in context
     assert context.endswith("keep the grain consistent.")
+    audit = plan.plan_audit(plans.withColumn("pos", F.lit(0)), "campus", "pos").first()
+    assert audit["items"] == 1 and len(audit["plans_sha256"]) == 64
     sqls = spark.createDataFrame(
         [
             (0, 0, "", None),
