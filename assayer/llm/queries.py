@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import mixing, packing, quality_rules, token_counts, token_files
+from assayer.llm import mixing, ngram_join, packing, quality_rules, token_counts, token_files
 from assayer.llm.common import read_table, work_folder
 
 #: The end id of files without index, the vocabulary's own mark.
 FLAT_END = 49407
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and tokens of flat files written from all documents."""
     docs = read_table(spark, sf_dir, "documents")
@@ -38,5 +42,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op5_token_counts, op6_quality_rules, op7_token_files, op8_packing, op10_mixing)
+    for f in (op2_ngram_join, op5_token_counts, op6_quality_rules, op7_token_files, op8_packing, op10_mixing)
 }

@@ -58,7 +58,9 @@ def token_counts(files: DataFrame, end: int, dtype: str = "<u2", block: int = BL
     blocks = files.where("size > 0").select(
         "file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {block}"))).alias("block")
     )
-    spread = blocks.repartition("file", "block")
+    # tasks by the number of blocks: without it, small rows would be put together
+    tasks = max(1, (blocks.count() + 1) // 2)
+    spread = blocks.repartition(tasks, "file", "block")
 
     def search(batches):
         for batch in batches:
@@ -114,4 +116,4 @@ def token_counts(files: DataFrame, end: int, dtype: str = "<u2", block: int = BL
                         _DOCS,
                     )
 
-    return stitched.repartition("file", "block").mapInArrow(tell, _DOCS_SQL)
+    return stitched.repartition(tasks, "file", "block").mapInArrow(tell, _DOCS_SQL)

@@ -87,7 +87,8 @@ def read_token_files(files: DataFrame, dtype: str = "<u2") -> DataFrame:
                         _ROWS,
                     )
 
-    return files.repartition("part").mapInArrow(read, _ROWS_SQL)
+    # one task per file: without the number, small rows would be put together
+    return files.repartitionByRange(max(1, files.count()), "part").mapInArrow(read, _ROWS_SQL)
 
 
 __all__ = ["END_ID", "read_token_files", "write_token_files"]
