@@ -212,11 +212,10 @@ def linked_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
         F.count("*").alias("size"), F.min(F.struct("rare", "rep", F.col("n").alias("m"), F.col("pos").alias("mpos"))).alias("lead")
     )
     blocks = materialize(blocks.join(sizes.where("size > 1"), "token"), "ngram-blocks")
-    segments = materialize(_segments(narrow, blocks, order, words), "ngram-fragments")
-
     allowed = _pair_filter(percent)
     first = blocks.where("rep <> lead.rep").selectExpr("rep AS a", "lead.rep AS b", "n", "lead.m AS m", "pos", "lead.mpos AS mpos")
-    links = _links(first.where(allowed), segments, percent)
+    overlaps = lambda pairs: _links(pairs.where(allowed), narrow, order, words, percent)
+    links = overlaps(first)
     step = 0
     roots = components(links, "ngram-components")
     top = blocks.agg(F.max("size")).first()[0] or 0
@@ -233,7 +232,7 @@ def linked_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
             "token", "rep AS b", "n AS m", "pos AS mpos", "root AS broot"
         )
         pairs = at_work.select("token", F.col("rep").alias("a"), "n", "pos", "root").join(leads, "token")
-        more = _links(pairs.where("root <> broot").where(allowed).select("a", "b", "n", "m", "pos", "mpos"), segments, percent)
+        more = overlaps(pairs.where("root <> broot").drop("root", "broot", "token"))
         step += 1
         if more.isEmpty():
             if at_work.where(F.col("size") > LEADERS * 4 ** (step - 1)).isEmpty():
@@ -247,23 +246,23 @@ def linked_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     )
 
 
-def _segments(docs: DataFrame, blocks: DataFrame, order, words: int) -> DataFrame:
-    """Sets of the documents in blocks, cut by fragment.
+def _segments(docs: DataFrame, wanted: DataFrame, order, words: int) -> DataFrame:
+    """Sets of the documents ``wanted(rep)``, cut by fragment.
 
     A filter of fixed size says whose sets may be needed; a few too many do no harm.
     """
-    spots = blocks.select("rep").distinct().select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("bit"))
+    spots = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("bit"))
     bytes_ = spots.groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
     rows = bytes_.toPandas()
     filled = np.zeros(FILTER_BITS // 32, np.uint32)
     filled[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
-    wanted = docs.sparkSession.sparkContext.broadcast(filled)
+    needed = docs.sparkSession.sparkContext.broadcast(filled)
     schema = pa.schema([("rep", pa.int64()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))])
 
     def cut(batches):
         for batch in batches:
             bit = batch.column(2).to_numpy()
-            need = (wanted.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
+            need = (needed.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
             for k in np.flatnonzero(need):
                 own = shingles(batch.column(1)[int(k)].as_py(), words)
                 ranked, fragment, _ = order.value(own)
@@ -279,20 +278,22 @@ def _segments(docs: DataFrame, blocks: DataFrame, order, words: int) -> DataFram
                 )
 
     keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
-    return keyed.mapInArrow(cut, "rep long, fragment int, part array<long>").dropDuplicates(["rep", "fragment"])
+    return keyed.mapInArrow(cut, "rep long, fragment int, part array<long>")
 
 
-def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, order, words: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` that reach the similarity, of candidates ``(a, b, n, m, ...)`` with their set sizes."""
-    once = pairs.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n") + F.col("m")).alias("both")
-    ).distinct()
+    sized = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n") + F.col("m")).alias("both"))
+    once = materialize(sized.distinct(), "ngram-pairs")
+    segments = _segments(docs, once.select("a").union(once.select("b")).toDF("rep"), order, words)
     left = segments.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("part_a"))
     right = segments.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("part_b"))
     partial = once.join(left, "a").join(right, ["b", "fragment"]).select(
-        "a", "b", "both", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("overlap")
+        "a", "b", "both", "fragment", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("overlap")
     )
-    summed = partial.groupBy("a", "b", "both").agg(F.sum("overlap").alias("overlap"))
+    # repeated rows count a fragment more than once
+    counted = partial.groupBy("a", "b", "both", "fragment").agg(F.max("overlap").alias("overlap"))
+    summed = counted.groupBy("a", "b", "both").agg(F.sum("overlap").alias("overlap"))
     return materialize(summed.where(f"100 * overlap >= {percent} * (both - overlap)").select("a", "b"), "ngram-links")
 
 
