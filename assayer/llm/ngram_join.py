@@ -46,6 +46,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(total)
 
 
+def _spread(own: np.ndarray) -> bytes:
+    """How many n-grams stand in each of 256 narrow fragments, 255 at most."""
+    return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     """The most frequent n-grams by rising count: those that stand twice within many groups of documents.
 
@@ -136,7 +141,7 @@ def linked_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     order = spark.sparkContext.broadcast(_Order(_frequent(narrow, words)))
 
     sig_schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("rare", pa.float64()), ("prefix", pa.binary())]
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("rare", pa.float64()), ("prefix", pa.binary()), ("spread", pa.binary())]
     )
 
     def sign(batches):
@@ -147,18 +152,18 @@ def linked_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
                 n = len(own)
                 ranked, _, few = order.value(own)
                 keep = n - (percent * n + 99) // 100 + 1 if n else 0
-                row = (doc, n, xxhash.xxh3_128_digest(own.tobytes()), few / n if n else 0.0, ranked[:keep].tobytes())
+                row = (doc, n, xxhash.xxh3_128_digest(own.tobytes()), few / n if n else 0.0, ranked[:keep].tobytes(), _spread(own))
                 for name, value in zip(rows, row, strict=True):
                     rows[name].append(value)
             yield flatfiles.table(rows, sig_schema)
 
-    signed = materialize(narrow.mapInArrow(sign, "doc_id long, n long, set binary, rare double, prefix binary"), "ngram-sets")
+    signed = materialize(narrow.mapInArrow(sign, "doc_id long, n long, set binary, rare double, prefix binary, spread binary"), "ngram-sets")
     classes = signed.where("doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", "n", "set").join(classes, "set", "left").select("doc_id", "n", "rep")
     members = materialize(members, "ngram-classes")
     reps = members.where("doc_id = rep AND n > 0").select("rep").distinct()
     prefixes = signed.where("n > 0").withColumnRenamed("doc_id", "rep").join(reps, "rep", "left_semi")
-    prefixes = prefixes.dropDuplicates(["rep", "set"]).drop("set")
+    prefixes = prefixes.dropDuplicates(["rep", "set"]).drop("set", "spread")
 
     total = signed.agg(F.sum(F.length("prefix"))).first()[0] or 0
     n_buckets = int(total // 8 // BUCKET) + 1
@@ -213,8 +218,9 @@ def linked_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     )
     blocks = materialize(blocks.join(sizes.where("size > 1"), "token"), "ngram-blocks")
     allowed = _pair_filter(percent)
+    spreads = signed.where("n > 0").select(F.col("doc_id").alias("rep"), "spread")
     first = blocks.where("rep <> lead.rep").selectExpr("rep AS a", "lead.rep AS b", "n", "lead.m AS m", "pos", "lead.mpos AS mpos")
-    overlaps = lambda pairs: _links(pairs.where(allowed), narrow, order, words, percent)
+    overlaps = lambda pairs: _links(pairs.where(allowed), narrow, spreads, order, words, percent)
     links = overlaps(first)
     step = 0
     roots = components(links, "ngram-components")
@@ -281,11 +287,28 @@ def _segments(docs: DataFrame, wanted: DataFrame, order, words: int) -> DataFram
     return keyed.mapInArrow(cut, "rep long, fragment int, part array<long>")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, order, words: int, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` that reach the similarity, of candidates ``(a, b, n, m, ...)`` with their set sizes."""
+def _links(pairs: DataFrame, docs: DataFrame, spreads: DataFrame, order, words: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` that reach the similarity, of candidates ``(a, b, n, m, ...)`` with their set sizes.
+
+    The numbers of n-grams in narrow fragments go first: what they differ by is at most the symmetric difference, and
+    few pairs pass that are not linked. Only these meet with their sets.
+    """
+
+    def close(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("spread_a", "spread_b"))
+            apart = np.abs(a.astype(np.int16) - b).sum(axis=1, dtype=np.int64)
+            both = batch.column("both").to_numpy()
+            # intersection = (both - symmetric difference) / 2
+            yield batch.filter(pa.array((100 + percent) * (both - apart) >= 2 * percent * both)).select(["a", "b", "both"])
+
     sized = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n") + F.col("m")).alias("both"))
-    once = materialize(sized.distinct(), "ngram-pairs")
-    segments = _segments(docs, once.select("a").union(once.select("b")).toDF("rep"), order, words)
+    described = sized.distinct().join(spreads.toDF("a", "spread_a"), "a").join(spreads.toDF("b", "spread_b"), "b")
+    once = materialize(described.mapInArrow(close, "a long, b long, both long").distinct(), "ngram-pairs")
+    if once.isEmpty():
+        return once.select("a", "b")
+    segments = _segments(docs, once.select("a").union(once.select("b")).toDF("rep").distinct(), order, words)
+    segments = materialize(segments, "ngram-fragments")
     left = segments.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("part_a"))
     right = segments.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("part_b"))
     partial = once.join(left, "a").join(right, ["b", "fragment"]).select(
