@@ -51,3 +51,7 @@ def id_type(largest: int) -> str:
 
 def table(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def table_of(columns: dict, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches([table(columns, schema)])

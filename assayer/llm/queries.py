@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import mixing, ngram_join, packing, quality_rules, token_counts, token_files
+from assayer.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, token_counts, token_files
 from assayer.llm.common import read_table, work_folder
 
 #: The end id of files without index, the vocabulary's own mark.
 FLAT_END = 49407
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_documents(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -42,5 +50,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_ngram_join, op5_token_counts, op6_quality_rules, op7_token_files, op8_packing, op10_mixing)
+    for f in (
+        op1_line_dedup,
+        op2_ngram_join,
+        op5_token_counts,
+        op6_quality_rules,
+        op7_token_files,
+        op8_packing,
+        op9_embedding_dedup,
+        op10_mixing,
+    )
 }
