@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, token_counts, token_files
+from assayer.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, token_counts, token_files, toxicity
 from assayer.llm.common import read_table, work_folder
 
 #: The end id of files without index, the vocabulary's own mark.
@@ -19,6 +19,16 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = toxicity.classify(docs, read_table(spark, sf_dir, "labels"))
+    return rated.drop("text").withColumnRenamed("rejected", "toxic")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and tokens of flat files written from all documents."""
     docs = read_table(spark, sf_dir, "documents")
@@ -53,6 +63,8 @@ QUERIES = {
     for f in (
         op1_line_dedup,
         op2_ngram_join,
+        op3_toxicity,
+        op4_pii,
         op5_token_counts,
         op6_quality_rules,
         op7_token_files,
