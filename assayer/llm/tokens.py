@@ -9,7 +9,7 @@ import numpy as np
 
 #: Words kept per worker (about 200 bytes each); the table is emptied when full, so memory is bounded whatever the
 #: corpus holds.
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 700_000
 #: The id that ends a document.
 END_ID = 0
 

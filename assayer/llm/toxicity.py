@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the models are fitted on, at most, chosen by hash of their id.
-SAMPLE = 8_000
+SAMPLE = 6_000
 FOLDS = 5
 #: Features kept per category, those that tell its classes apart best.
 FEATURES = 4_096
