@@ -158,7 +158,7 @@ def linked_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
             yield flatfiles.table(rows, sig_schema)
 
     signed = materialize(narrow.mapInArrow(sign, "doc_id long, n long, set binary, rare double, prefix binary, spread binary"), "ngram-sets")
-    classes = signed.where("doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("rep"))
+    classes = signed.where("doc_id IS NOT NULL AND n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
     members = signed.select("doc_id", "n", "set").join(classes, "set", "left").select("doc_id", "n", "rep")
     members = materialize(members, "ngram-classes")
     reps = members.where("doc_id = rep AND n > 0").select("rep").distinct()

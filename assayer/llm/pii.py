@@ -13,7 +13,7 @@ LOCAL = "A-Za-z0-9._%+-"
 KINDS = {
     "email": rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A text without this has no match of the kind.
@@ -35,16 +35,22 @@ def _with_spans(docs: DataFrame, kind: str, pattern: str, hint: str | None) -> D
     docs = docs.withColumn("_found", F.when(there, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(none))
     gaps = F.when(F.size("_found") > 0, F.transform(F.split("_text", pattern, -1), F.length)).otherwise(F.array().cast("array<int>"))
     docs = docs.withColumn("_gaps", gaps).withColumn("_sizes", F.transform("_found", F.length))
-    # ends of all matches: running sums of gaps and lengths
+    # ends of all matches: running sums of gaps and lengths, in blocks, since each sum copies the array before it
+    docs = docs.withColumn("_steps", F.expr("transform(_sizes, (n, i) -> n + _gaps[i])"))
     docs = docs.withColumn(
-        "_ends",
-        F.expr(
-            "CASE WHEN size(_found) > 0 THEN aggregate(sequence(0, size(_found) - 1, 1), CAST(array() AS array<int>), (a, i) -> "
-            "concat(a, array(coalesce(try_element_at(a, -1), 0) + _gaps[i] + _sizes[i]))) ELSE CAST(array() AS array<int>) END"
-        ),
+        "_blocks",
+        F.expr("CASE WHEN size(_steps) > 0 THEN transform(sequence(0, (size(_steps) - 1) div 128), b -> slice(_steps, int(b * 128 + 1), 128)) "
+               "ELSE CAST(array() AS array<array<int>>) END"),
+    )
+    sums = "array(element_at(a, -1) + x)"
+    docs = docs.withColumn(
+        "_bases", F.expr(f"aggregate(transform(_blocks, b -> aggregate(b, 0, (a, x) -> a + x)), array(0), (a, x) -> concat(a, {sums}))")
+    )
+    docs = docs.withColumn(
+        "_ends", F.expr(f"flatten(transform(_blocks, (b, k) -> slice(aggregate(b, array(_bases[k]), (a, x) -> concat(a, {sums})), 2, 128)))")
     )
     places = F.expr("transform(_found, (m, i) -> struct(_ends[i] - _sizes[i] AS s, _ends[i] AS e, m))")
-    return docs.withColumn(f"_{kind}", places).drop("_found", "_gaps", "_sizes", "_ends")
+    return docs.withColumn(f"_{kind}", places).drop("_found", "_gaps", "_sizes", "_steps", "_blocks", "_bases", "_ends")
 
 
 _DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
