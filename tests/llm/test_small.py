@@ -124,7 +124,7 @@ def test_token_files_round_trip(docs, none, spark):
 def test_token_counts_across_blocks(docs, none, spark):
     files = token_counts.write_flat(docs, work_folder(spark, "f"), 49407)
     want = sorted(len(x) for x in encode_all("word_bpe_49k.json", [r[1] for r in rows()], 49407, literal=True))
-    for block in (7, 1 << 22):
+    for block in (2999, 1 << 22):
         got = token_counts.token_counts(files, 49407, block=block).collect()
         assert sorted(r.n_tokens for r in got) == want and all(r.finished for r in got)
         assert sorted(r.document for r in got) == list(range(len(want)))
