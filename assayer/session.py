@@ -44,6 +44,8 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/assayer/{purpose}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
     return tempfile.mkdtemp(prefix=f"assayer-{purpose}-")
 
 
