@@ -34,7 +34,7 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
     Rounds of large-star and small-star steps: each node tells its larger neighbours, then its smaller ones, of the
     smallest node it knows. A round only regroups edges, so their number does not grow, and a hub needs no special
     care: neighbours meet the minimum of their group by a join, never as a list. Each round is written to the shared
-    folder; a round that changes no edge is the last.
+    folder; the rounds end when the edges are stars.
     """
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
         # node, other: large-star groups both directions, small-star only the smaller neighbours
@@ -51,16 +51,19 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
         told = met.select(F.col("other").alias("a"), F.col("m").alias("b"))
         return told.union(least.select(F.col("node").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
-    def total(pairs: DataFrame):
-        return tuple(pairs.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
+    def settled(pairs: DataFrame) -> bool:
+        # every node with a smaller one has that one only, and that one has no smaller one
+        ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            pairs.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        counted = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return counted.where("up > 1 OR up = 1 AND down = 1").count() == 0
 
     at = materialize(edges.where("a <> b").select("a", "b").distinct(), purpose)
-    mark = total(at)
-    while mark[0]:
+    done = at.isEmpty()
+    while not done:
         at = materialize(stars(stars(at, True), False), purpose)
-        before, mark = mark, total(at)
-        if mark == before:
-            break
+        done = settled(at)
     tied = at.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # a root has no edge to a smaller node, so it stands for itself
     return tied.union(tied.select(F.col("root").alias("node"), "root").distinct())

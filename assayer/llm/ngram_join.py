@@ -19,8 +19,9 @@ FREQUENT_COUNT = 8
 FRAGMENTS = 8
 #: Prefix entries that are searched for shared n-grams together, about.
 BUCKET = 400_000
-#: Documents of a block that lead in the first full round; each further round has four times as many.
-LEADERS = 16
+#: Documents of a block that lead in the first full round, and how many times as many have led after each further one.
+LEADERS = 32
+GROWTH = 8
 #: Slots of the filter that says which documents' sets are needed: bits, fixed.
 FILTER_BITS = 1 << 26
 
@@ -128,7 +129,8 @@ def linked_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
        prefixes to buckets.
     3. In each block the document with the fewest rare n-grams meets the others; what stays unlinked meets random
        leaders of growing number, until all pairs of different components have met. Members of one component never
-       meet, so a group of copies costs about its size.
+       meet, so a group of copies costs about its size. Each round links the components of the round before, so only
+       its own links are joined.
     4. The order is cut into fragments. A pair's overlap is counted in each fragment alone and summed. Links give
        components.
 
@@ -221,35 +223,37 @@ def linked_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> Data
     spreads = signed.where("n > 0").select(F.col("doc_id").alias("rep"), "spread")
     first = blocks.where("rep <> lead.rep").selectExpr("rep AS a", "lead.rep AS b", "n", "lead.m AS m", "pos", "lead.mpos AS mpos")
     overlaps = lambda pairs: _links(pairs.where(allowed), narrow, spreads, order, words, percent)
-    links = overlaps(first)
-    step = 0
-    roots = components(links, "ngram-components")
-    top = blocks.agg(F.max("size")).first()[0] or 0
-    while top and LEADERS * 4 ** (step - 1) < top:
-        # blocks that still hold several components, and of those the members not yet met by all
-        held = blocks.drop("lead", "rare").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "root", F.coalesce("root", "rep")
-        )
-        mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        at_work = materialize(held.join(mixed, "token", "left_semi"), "ngram-open")
-        share = F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
-        before = LEADERS * 4 ** (step - 1) if step else 0
-        leads = at_work.where((share >= before) & (share < LEADERS * 4**step)).selectExpr(
+    # each step moves representatives, or what earlier steps moved them to, to smaller ones
+    moves = [components(overlaps(first.selectExpr("*", "a AS root", "b AS broot")), "ngram-components")]
+    still = _moved(blocks.drop("lead", "rare").withColumn("root", F.col("rep")), moves[-1])
+    share = F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
+    met = 0
+    while True:
+        # blocks that still hold several components; smaller ones have met whole
+        still = still.where(F.col("size") > max(met, 2))
+        mixed = still.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+        still = materialize(still.join(mixed, "token", "left_semi"), "ngram-open")
+        if still.isEmpty():
+            break
+        before, met = met, met * GROWTH or LEADERS
+        leads = still.where((share >= before) & (share < met)).selectExpr(
             "token", "rep AS b", "n AS m", "pos AS mpos", "root AS broot"
         )
-        pairs = at_work.select("token", F.col("rep").alias("a"), "n", "pos", "root").join(leads, "token")
-        more = overlaps(pairs.where("root <> broot").drop("root", "broot", "token"))
-        step += 1
-        if more.isEmpty():
-            if at_work.where(F.col("size") > LEADERS * 4 ** (step - 1)).isEmpty():
-                break
-            continue
-        links = materialize(links.union(more), "ngram-links")
-        roots = components(links, "ngram-components")
-    return (
-        members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
-    )
+        pairs = still.select("token", F.col("rep").alias("a"), "n", "pos", "root").join(leads, "token")
+        more = overlaps(pairs.where("root <> broot"))
+        if not more.isEmpty():
+            moves.append(components(more, "ngram-components"))
+            still = _moved(still, moves[-1])
+    found = members.withColumn("root", F.coalesce("rep", "doc_id"))
+    for step in moves:
+        found = _moved(found, step)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
+
+
+def _moved(held: DataFrame, step: DataFrame) -> DataFrame:
+    """``held`` with its ``root`` moved on by ``step(node, root)``."""
+    to = step.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return held.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, order, words: int) -> DataFrame:
@@ -288,7 +292,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, order, words: int) -> DataFram
 
 
 def _links(pairs: DataFrame, docs: DataFrame, spreads: DataFrame, order, words: int, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` that reach the similarity, of candidates ``(a, b, n, m, ...)`` with their set sizes.
+    """Roots ``(a, b)`` of the pairs that reach the similarity, of candidates ``(a, b, n, m, root, broot, ...)``.
 
     The numbers of n-grams in narrow fragments go first: what they differ by is at most the symmetric difference, and
     few pairs pass that are not linked. Only these meet with their sets.
@@ -300,24 +304,32 @@ def _links(pairs: DataFrame, docs: DataFrame, spreads: DataFrame, order, words:
             apart = np.abs(a.astype(np.int16) - b).sum(axis=1, dtype=np.int64)
             both = batch.column("both").to_numpy()
             # intersection = (both - symmetric difference) / 2
-            yield batch.filter(pa.array((100 + percent) * (both - apart) >= 2 * percent * both)).select(["a", "b", "both"])
-
-    sized = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n") + F.col("m")).alias("both"))
+            yield batch.filter(pa.array((100 + percent) * (both - apart) >= 2 * percent * both)).select(["a", "b", "both", "low", "high"])
+
+    sized = pairs.select(
+        F.least("a", "b").alias("a"),
+        F.greatest("a", "b").alias("b"),
+        (F.col("n") + F.col("m")).alias("both"),
+        F.least("root", "broot").alias("low"),
+        F.greatest("root", "broot").alias("high"),
+    )
     described = sized.distinct().join(spreads.toDF("a", "spread_a"), "a").join(spreads.toDF("b", "spread_b"), "b")
-    once = materialize(described.mapInArrow(close, "a long, b long, both long").distinct(), "ngram-pairs")
+    once = materialize(described.mapInArrow(close, "a long, b long, both long, low long, high long").distinct(), "ngram-pairs")
     if once.isEmpty():
-        return once.select("a", "b")
+        return once.select(F.col("low").alias("a"), F.col("high").alias("b"))
     segments = _segments(docs, once.select("a").union(once.select("b")).toDF("rep").distinct(), order, words)
     segments = materialize(segments, "ngram-fragments")
     left = segments.select(F.col("rep").alias("a"), "fragment", F.col("part").alias("part_a"))
     right = segments.select(F.col("rep").alias("b"), "fragment", F.col("part").alias("part_b"))
     partial = once.join(left, "a").join(right, ["b", "fragment"]).select(
-        "a", "b", "both", "fragment", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("overlap")
+        "a", "b", "both", "low", "high", "fragment", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("overlap")
     )
     # repeated rows count a fragment more than once
-    counted = partial.groupBy("a", "b", "both", "fragment").agg(F.max("overlap").alias("overlap"))
-    summed = counted.groupBy("a", "b", "both").agg(F.sum("overlap").alias("overlap"))
-    return materialize(summed.where(f"100 * overlap >= {percent} * (both - overlap)").select("a", "b"), "ngram-links")
+    pair = ["a", "b", "both", "low", "high"]
+    counted = partial.groupBy(*pair, "fragment").agg(F.max("overlap").alias("overlap"))
+    summed = counted.groupBy(*pair).agg(F.sum("overlap").alias("overlap"))
+    linked = summed.where(f"100 * overlap >= {percent} * (both - overlap)")
+    return materialize(linked.select(F.col("low").alias("a"), F.col("high").alias("b")).distinct(), "ngram-links")
 
 
 __all__ = ["linked_documents", "shingles"]
