@@ -79,9 +79,9 @@ def _hits(files: DataFrame, hint: Column, line_hint, line_rules) -> DataFrame:
     ).select(FINDING)
 
 
-def text_findings(files: DataFrame, max_bytes: int = rules.AUDIT_BYTES) -> DataFrame:
-    """Secrets and prompt injections in lines of text files up to a size."""
-    gate = suffix(F.col("path")).isin(rules.TEXT_SUFFIXES) & (F.col("bytes") <= max_bytes)
+def text_findings(files: DataFrame) -> DataFrame:
+    """Secrets and prompt injections in lines of text files of any size."""
+    gate = suffix(F.col("path")).isin(rules.TEXT_SUFFIXES)
     return _hits(files, gate & _hinted(F.col("text"), _TEXT_HINT), lambda c: _hinted(c, _TEXT_HINT), _audit_text_rules)
 
 
@@ -124,8 +124,8 @@ def lifecycle_findings(files: DataFrame) -> DataFrame:
     return packages.select("path", F.lit(None).cast("bigint").alias("line"), F.inline(found)).select(FINDING)
 
 
-def audit_findings(files: DataFrame, max_text_bytes: int = rules.AUDIT_BYTES) -> DataFrame:
-    """All findings of the input audit, uncapped: ``files(path, text, bytes)``. No shuffle.
+def audit_findings(files: DataFrame) -> DataFrame:
+    """All findings of the input audit, uncapped: ``files(path, text)``. No shuffle.
 
     One pass for all line rules: a file's name decides which of them its lines meet. A second one for packages.
     """
@@ -135,7 +135,7 @@ def audit_findings(files: DataFrame, max_text_bytes: int = rules.AUDIT_BYTES) ->
     classed = kept.select(
         "path",
         "text",
-        (ending.isin(rules.TEXT_SUFFIXES) & (F.col("bytes") <= max_text_bytes) & _hinted(text, _TEXT_HINT)).alias("is_text"),
+        (ending.isin(rules.TEXT_SUFFIXES) & _hinted(text, _TEXT_HINT)).alias("is_text"),
         ((ending == ".sh") & _hinted(text, _SHELL_HINT)).alias("is_shell"),
         (name.startswith("requirements") & (ending == ".txt") & _contains_any(text, rules.DIRECT_DEPENDENCY_MARKS)).alias("is_list"),
     )
@@ -156,10 +156,8 @@ def audit_findings(files: DataFrame, max_text_bytes: int = rules.AUDIT_BYTES) ->
 
 
 def setup_findings(files: DataFrame) -> DataFrame:
-    """All findings of the scan at setup time: every file up to its size limit, fewer rules."""
-    kept = files.filter(
-        ~F.array_contains(F.split("path", "/"), ".git") & (F.col("bytes") <= rules.SETUP_BYTES)
-    )
+    """All findings of the scan at setup time: every file whole, fewer rules."""
+    kept = files.filter(~F.array_contains(F.split("path", "/"), ".git"))
     shell = suffix(F.col("path")).isin(rules.SETUP_SHELL_SUFFIXES)
     secrets = _hits(kept, _hinted(F.col("text"), _TEXT_HINT), lambda c: _hinted(c, _TEXT_HINT), _setup_text_rules)
     commands = _hits(

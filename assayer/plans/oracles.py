@@ -62,11 +62,11 @@ def _suite_details() -> str:
         "c05": [f"SELECT c_custkey, round(c_acctbal + {d}, 8) FROM customer" for d in ("0", "0.000000001::DOUBLE", "0.000001::DOUBLE")],
         "c07": ["SELECT r_name FROM region WHERE r_regionkey < 0"] * 2 + ["SELECT max(r_name) FROM region WHERE r_regionkey < 0"],
     }
-    failing = {("c08", 0), ("c08", 1), ("c10", 0), ("c10", 1), ("c11", 0), ("c11", 1)}
+    failing = {("c08", 0), ("c08", 1), ("c10", 0), ("c10", 1), ("c11", 0), ("c11", 1), ("c17", 1)}
     rows = []
     for case, mode, found, gold, *preds in suite.SUITE:
         for i, model in enumerate(suite.MODELS):
-            pred = preds[i]
+            pred = preds[i] or ""  # an absent prediction counts as a blank one
             reason = (
                 "agentic benchmark; use benchmark-native evaluator" if mode != "sql"
                 else "local sqlite database not found" if not found
@@ -282,7 +282,7 @@ def _rule_rows(rules: list[tuple], where: str) -> str:
     )
 
 
-_TEXT_WHERE = f"NOT skipped AND suffix IN {_in(scanning.TEXT_SUFFIXES)} AND bytes <= 1000000"
+_TEXT_WHERE = f"NOT skipped AND suffix IN {_in(scanning.TEXT_SUFFIXES)}"
 _ANY_MARK = "(" + " OR ".join(f"contains({_strip('content')}, '{m}')" for m in scanning.DIRECT_DEPENDENCY_MARKS) + ")"
 _FINDINGS = f"""{_FILES},
 text_found AS ({_rule_rows(_TEXT_RULES, _TEXT_WHERE)}),
@@ -298,7 +298,7 @@ found AS (SELECT * FROM text_found UNION ALL SELECT * FROM shell_found UNION ALL
 _BLOCKS = f"(severity = 'critical' OR rule IN {_in(scanning.BLOCKING_RULES)})"
 
 # scan_secrets, scan_injection and scan_shell take every file: paths to leave out are a matter of the whole audit
-_ALL_TEXT = f"suffix IN {_in(scanning.TEXT_SUFFIXES)} AND bytes <= 1000000"
+_ALL_TEXT = f"suffix IN {_in(scanning.TEXT_SUFFIXES)}"
 ORACLES["scan_secrets"] = f"WITH {_FILES} SELECT * FROM ({_rule_rows(_TEXT_RULES[:3], _ALL_TEXT)})"
 ORACLES["scan_injection"] = f"WITH {_FILES} SELECT * FROM ({_rule_rows(_TEXT_RULES[3:], _ALL_TEXT)})"
 _SH_ONLY = "suffix = '.sh'"
@@ -317,7 +317,7 @@ _SETUP_RULES = [
     ("generic_secret_assignment", "critical",
      f"{_generic('xxx|example|placeholder')} AND NOT {_placeholder(scanning.PLACEHOLDER_MARKS_SETUP, _WORD + SPACE + '*=' + SPACE + '*')}".replace(", 2)", ", 2)")),
 ]
-_SETUP_WHERE = "NOT in_git AND bytes <= 2000000"
+_SETUP_WHERE = "NOT in_git"
 ORACLES["setup_scan"] = f"""WITH {_FILES}
 SELECT *, severity IN ('critical', 'high') AS blocks FROM ({_rule_rows(_SETUP_RULES, _SETUP_WHERE)}
   UNION ALL {_rule_rows([r for r in _SHELL_RULES if r[0] in scanning.SETUP_SHELL_RULES], _SETUP_WHERE + " AND suffix IN ('.sh', '.bash', '.zsh')")})"""

@@ -71,8 +71,6 @@ TEXT_SUFFIXES = ".csv .json .jsonl .md .txt .sql .yml .yaml .toml .ini .cfg .py
 SCRIPT_SUFFIXES = ".sh .bash .zsh .py .ps1 .bat .cmd .js .ts".split()
 SCRIPT_NAMES = ["setup.py", "Dockerfile", "Makefile", "package.json", "pyproject.toml"]
 SKIPPED_FOLDERS = [".git", "__pycache__", ".cache", ".huggingface"]
-AUDIT_BYTES = 1_000_000
-SETUP_BYTES = 2_000_000
 
 # --- fixed values: rules that block whatever their severity -----------------------------------------------------
 BLOCKING_RULES = [
