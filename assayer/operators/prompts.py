@@ -1,8 +1,8 @@
 """Prompt datasets: build, extend and flatten chat prompts.
 
 Chats are long rows ``messages(chat_id, pos, role, content)``. A chat's length is not bounded, so no step gathers one:
-first and last positions come from aggregates, edits are expressions on single messages, and flattened text comes in
-parts of a fixed number of messages.
+first and last positions come from aggregates, edits are expressions on single messages, and digests read text in parts
+of a fixed number of messages. Only ``flatten_chats`` builds whole texts, as its result is one text per chat.
 """
 
 from __future__ import annotations
@@ -70,11 +70,8 @@ def prompt_text(prompt: Column) -> Column:
     return F.array_join(F.transform(prompt, lambda m: message_text(m["role"], m["content"])), BLANK_LINE)
 
 
-def flatten_chats(messages: DataFrame) -> DataFrame:
-    """Chats as text: ``(chat_id, part, text)``.
-
-    A part holds the messages of 256 positions; a longer chat is its parts in order, joined by a blank line.
-    """
+def chat_parts(messages: DataFrame) -> DataFrame:
+    """Chats as text in parts of 256 positions: ``(chat_id, part, text)``. A chat is its parts joined by a blank line."""
     line = F.struct("pos", message_text(F.col("role"), F.col("content")).alias("text"))
     return (
         messages.groupBy("chat_id", F.floor(F.col("pos") / PART_MESSAGES).alias("part"))
@@ -82,6 +79,12 @@ def flatten_chats(messages: DataFrame) -> DataFrame:
     )
 
 
+def flatten_chats(messages: DataFrame) -> DataFrame:
+    """Chats as text, one row each whatever their length: ``(chat_id, text)``."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "text")))["text"]
+    return chat_parts(messages).groupBy("chat_id").agg(F.array_join(parts, BLANK_LINE).alias("text"))
+
+
 def _edges(messages: DataFrame) -> DataFrame:
     at = lambda role: F.when(F.col("role") == role, F.col("pos"))
     return messages.groupBy("chat_id").agg(

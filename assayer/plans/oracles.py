@@ -765,7 +765,7 @@ ORACLES["case_prompts"] = f"WITH {_CASES} SELECT case_id, length(body) AS prompt
 ORACLES["set_digest"] = f"""WITH {_CASES}
 SELECT id % 7 AS run_id, sha256(string_agg(case_id || ':' || sha256(body), chr(10) ORDER BY id)) AS prompt_set_sha256 FROM prompted GROUP BY id % 7"""
 _FLAT = "string_agg(upper(role) || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)"
-ORACLES["chat_flatten"] = f"SELECT conv_id AS chat_id, 0 AS part, {_FLAT} AS text FROM conversations GROUP BY conv_id"
+ORACLES["chat_flatten"] = f"SELECT conv_id AS chat_id, {_FLAT} AS text FROM conversations GROUP BY conv_id"
 ORACLES["prompt_digest"] = f"SELECT conv_id AS chat_id, sha256({_FLAT}) AS digest, length({_FLAT}) AS prompt_chars FROM conversations GROUP BY conv_id"
 _WIDE = " | ".join(f"w{i}" for i in range(1, 41))
 _BLOCKS_CTE = f"""blocks AS (SELECT conv_id, turn, role, role = 'user' AND conv_id % 2 = 0 AS blocked,

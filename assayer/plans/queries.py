@@ -678,7 +678,7 @@ def chat_flatten(spark, sf_dir):
 
 @query
 def prompt_digest(spark, sf_dir):
-    parts = prompts.flatten_chats(workload.messages(spark, sf_dir))
+    parts = prompts.chat_parts(workload.messages(spark, sf_dir))
     return provenance.chat_digest(parts).join(provenance.chat_sizes(parts), "chat_id")
 
 

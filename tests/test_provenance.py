@@ -17,9 +17,10 @@ def test_long_keys_stream_to_the_same_digest(spark):
 
 def test_chat_parts_join_to_the_whole(spark):
     chat = spark.range(700).select(F.lit("c").alias("chat_id"), F.col("id").alias("pos"), F.lit("user").alias("role"), F.concat(F.lit("m"), "id").alias("content"))
-    parts = prompts.flatten_chats(chat)
+    parts = prompts.chat_parts(chat)
     whole = "\n\n".join(f"USER:\nm{i}" for i in range(700))
     assert "\n\n".join(r["text"] for r in parts.orderBy("part").collect()) == whole
+    assert [r["text"] for r in prompts.flatten_chats(chat).collect()] == [whole]
     assert provenance.chat_digest(parts).first()["digest"] == hashlib.sha256(whole.encode()).hexdigest()
     assert provenance.chat_sizes(parts).first()["prompt_chars"] == len(whole)
 
