@@ -158,12 +158,13 @@ def classify_runs(runs: DataFrame, findings: DataFrame) -> DataFrame:
 def rankable(report: DataFrame) -> DataFrame:
     """Rows fit for a leaderboard, with the group they may be compared in.
 
-    Diagnostic and ineligible rows are out; raw, tool-assisted and agentic rows, and pilot and full runs, never share
-    a group.
+    Diagnostic and ineligible rows are out; raw, tool-assisted, bounded-agent and agentic rows, and pilot and full
+    runs, never share a group.
     """
     kind = (
         F.when(F.col("mode") == "agentic_dbt", "agentic")
         .when(F.col("fairness_classification") == "fair_with_tools", "tool-assisted")
+        .when(F.startswith("track", F.lit("bounded-agent")), "bounded-agent")
         .otherwise("raw")
     )
     fit = F.coalesce("score_eligible", F.lit(False)) & (F.col("fairness_classification") != "diagnostic_contaminated")

@@ -81,13 +81,13 @@ def _hits(files: DataFrame, hint: Column, line_hint, line_rules) -> DataFrame:
 
 def text_findings(files: DataFrame) -> DataFrame:
     """Secrets and prompt injections in lines of text files of any size."""
-    gate = suffix(F.col("path")).isin(rules.TEXT_SUFFIXES)
+    gate = ~is_skipped(F.col("path")) & suffix(F.col("path")).isin(rules.TEXT_SUFFIXES)
     return _hits(files, gate & _hinted(F.col("text"), _TEXT_HINT), lambda c: _hinted(c, _TEXT_HINT), _audit_text_rules)
 
 
 def shell_findings(files: DataFrame) -> DataFrame:
     """Unsafe commands in lines of ``.sh`` files."""
-    gate = suffix(F.col("path")) == ".sh"
+    gate = ~is_skipped(F.col("path")) & (suffix(F.col("path")) == ".sh")
     return _hits(files, gate & _hinted(F.col("text"), _SHELL_HINT), lambda c: _hinted(c, _SHELL_HINT), _shell_rules)
 
 
@@ -98,8 +98,7 @@ def _is_direct(content: Column) -> Column:
 
 def dependency_findings(files: DataFrame) -> DataFrame:
     """Lines of requirements files that fetch a dependency directly."""
-    gate = file_name(F.col("path")).startswith("requirements") & (suffix(F.col("path")) == ".txt")
-
+    gate = ~is_skipped(F.col("path")) & file_name(F.col("path")).startswith("requirements") & (suffix(F.col("path")) == ".txt")
     marked = _contains_any(F.col("text"), rules.DIRECT_DEPENDENCY_MARKS)
     return _hits(files, gate & marked, _is_direct, lambda c: [_rule("direct_dependency", "high", F.lit(True))])
 
@@ -113,7 +112,7 @@ def listed_dependencies(findings: DataFrame, per_file: int = 20) -> DataFrame:
 def lifecycle_findings(files: DataFrame) -> DataFrame:
     """Package scripts that run on install or publish; unreadable package files."""
     text = F.col("text")
-    packages = files.filter(file_name(F.col("path")) == "package.json")
+    packages = files.filter(~is_skipped(F.col("path")) & (file_name(F.col("path")) == "package.json"))
     keys = F.coalesce(F.json_object_keys(F.get_json_object(text, "$.scripts")), text_array([]))
     hooks = F.transform(
         F.array_sort(F.array_intersect(keys, text_array(rules.LIFECYCLE_KEYS))),

@@ -147,9 +147,10 @@ def verify(sqls: DataFrame, plans: DataFrame, catalog: DataFrame, blueprint_rule
     """Findings and score per query: ``sqls(sql_id, question_id, sql, preview_rows)``, plans of ``build_plans``.
 
     ``preview_rows`` is the row count of a trial run, or NULL. Plans are unique per question; a question that holds
-    most queries is split by the adaptive join.
+    most queries is split by the adaptive join. A query whose question has no plan stays; checks against a plan then
+    find nothing.
     """
-    row = sql_features(sqls, catalog).join(plans, "question_id")
+    row = sql_features(sqls, catalog).join(plans, "question_id", "left")
     sql = F.col("sql")
     blank = strip(sql) == ""
     none = F.array().cast(NO_FINDINGS)

@@ -172,7 +172,8 @@ SELECT label, model, exact_matches, estimated_cost_usd FROM (
 ORACLES["scope_coverage"] = f"WITH {_REPORT} SELECT * FROM coverage"
 ORACLES["rankable_runs"] = f"""WITH {_REPORT}
 SELECT r.run_id, r.benchmark, r.track, c.scope, c.not_evaluated, r.exact_matches,
-  CASE WHEN r.mode = 'agentic_dbt' THEN 'agentic' WHEN fairness_classification = 'fair_with_tools' THEN 'tool-assisted' ELSE 'raw' END AS result_class
+  CASE WHEN r.mode = 'agentic_dbt' THEN 'agentic' WHEN fairness_classification = 'fair_with_tools' THEN 'tool-assisted'
+    WHEN starts_with(r.track, 'bounded-agent') THEN 'bounded-agent' ELSE 'raw' END AS result_class
 FROM report r JOIN coverage c ON r.run_id = c.run_id
 WHERE score_eligible AND fairness_classification <> 'diagnostic_contaminated' AND scope = 'full'"""
 ORACLES["fairness_classification"] = f"WITH {_AUDITS} SELECT * FROM audits"
@@ -297,11 +298,9 @@ package_found AS (
 found AS (SELECT * FROM text_found UNION ALL SELECT * FROM shell_found UNION ALL SELECT * FROM direct_found UNION ALL SELECT * FROM package_found)"""
 _BLOCKS = f"(severity = 'critical' OR rule IN {_in(scanning.BLOCKING_RULES)})"
 
-# scan_secrets, scan_injection and scan_shell take every file: paths to leave out are a matter of the whole audit
-_ALL_TEXT = f"suffix IN {_in(scanning.TEXT_SUFFIXES)}"
-ORACLES["scan_secrets"] = f"WITH {_FILES} SELECT * FROM ({_rule_rows(_TEXT_RULES[:3], _ALL_TEXT)})"
-ORACLES["scan_injection"] = f"WITH {_FILES} SELECT * FROM ({_rule_rows(_TEXT_RULES[3:], _ALL_TEXT)})"
-_SH_ONLY = "suffix = '.sh'"
+ORACLES["scan_secrets"] = f"WITH {_FILES} SELECT * FROM ({_rule_rows(_TEXT_RULES[:3], _TEXT_WHERE)})"
+ORACLES["scan_injection"] = f"WITH {_FILES} SELECT * FROM ({_rule_rows(_TEXT_RULES[3:], _TEXT_WHERE)})"
+_SH_ONLY = "NOT skipped AND suffix = '.sh'"
 ORACLES["scan_shell"] = f"WITH {_FILES} SELECT * FROM ({_rule_rows(_SHELL_RULES, _SH_ONLY)})"
 ORACLES["dependency_lines"] = f"""WITH {_FINDINGS}
 SELECT path, line FROM direct_found QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 20"""
@@ -454,7 +453,7 @@ _CELLS = " UNION ALL ".join(
 _EXAMPLES = f"""cells AS (SELECT DISTINCT * FROM ({_CELLS})),
 hashed AS (SELECT *, coalesce(((TRY_CAST(CASE WHEN regexp_full_match(v, '-?[0-9]{{1,18}}') THEN v END AS BIGINT) % 2147483647 + 2147483647) % 2147483647) * 48271 % 2147483647,
   translate(substr(md5(v), 1, 15), 'abcdef', '012345')::BIGINT % 2147483647) AS h FROM cells),
-examples AS MATERIALIZED (SELECT c.tbl, c.idx, c.col, h % 8 AS pos, v FROM hashed JOIN catalog c USING (tbl, col) QUALIFY row_number() OVER (PARTITION BY tbl, col, h % 8 ORDER BY h) = 1)"""
+examples AS MATERIALIZED (SELECT c.tbl, c.idx, c.col, h % 8 AS pos, v FROM hashed JOIN catalog c USING (tbl, col) QUALIFY row_number() OVER (PARTITION BY tbl, col, h % 8 ORDER BY h, v) = 1)"""
 ORACLES["example_values"] = f'WITH {_CATALOG}, {_EXAMPLES} SELECT tbl AS "table", idx AS col_idx, pos, v AS value FROM examples'
 _NAMES = f"""names AS MATERIALIZED (
   SELECT tbl || '#' || idx AS id, tbl, idx, col AS name, {_norm("replace(col, '_', ' ')")} AS phrase FROM catalog

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from assayer.operators import evaluate
 from assayer.sources import artifacts, cases, catalog
 
@@ -99,6 +101,12 @@ def test_sampled_values_agree_across_tables(spark):
     assert len(pick("a", 0)) == 8 and pick("a", 0) == pick("b", 1) and pick("a", 2) <= {"0", "1", "2"}
 
 
+def test_sampled_values_are_unique_when_hashes_collide(spark):
+    texts = spark.range(4000).selectExpr("concat('t', id) AS s")
+    found = catalog.sampled_values({"a": (texts, ["s"])}, hashing=lambda text: F.length(text)).collect()
+    assert len(found) == len({r["pos"] for r in found}) <= 8
+
+
 def test_manifest_failure_and_restriction(spark):
     sources = spark.createDataFrame([("s", "git", "b/s/repo"), ("s", "url", "b/s/x.zip")], "name string, type string, path string")
     listing = spark.createDataFrame([("b/s/repo/a", 1), ("b/s/repo/c/d", 2), ("b/s/repo2", 9)], "path string, bytes bigint")
