@@ -1,3 +1,42 @@
 """DuckDB SQL of those queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+#: The smallest node reachable from each of ``nodes(id)`` by ``edges(a, b)``, which holds both directions.
+_REACHED = """reached(id, root) AS (
+  SELECT id, id FROM nodes
+  UNION
+  SELECT r.id, e.b FROM reached r JOIN edges e ON r.root = e.a),
+roots AS (SELECT id, min(root) AS root FROM reached GROUP BY id)"""
+
+ORACLES: dict[str, str] = {
+    "op2_ngram_join": rf"""WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+grams AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS gram
+  FROM texts, range(1, greatest(len(words) - 3, 1) + 1) t(i) WHERE len(words) > 0),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS MATERIALIZED (
+  SELECT s.a, s.b FROM shared s JOIN sizes x ON s.a = x.doc_id JOIN sizes y ON s.b = y.doc_id
+  WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edges AS MATERIALIZED (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+nodes AS (SELECT DISTINCT a AS id FROM edges),
+{_REACHED}
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN roots r ON d.doc_id = r.id""",
+    "op9_embedding_dedup": f"""WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+linked AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+  ON a.label = b.label AND a.vec_id < b.vec_id AND CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.98 ELSE false END),
+edges AS MATERIALIZED (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+nodes AS (SELECT DISTINCT a AS id FROM edges),
+{_REACHED},
+degrees AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(r.root, e.vec_id) AS component_id, e.vec_id = coalesce(r.root, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN roots r ON e.vec_id = r.id LEFT JOIN degrees d ON e.vec_id = d.id""",
+}

@@ -5,11 +5,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from assayer.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, token_counts, token_files, toxicity
 from assayer.llm.common import components, work_folder
+from assayer.llm.oracles import ORACLES
 from assayer.llm.tokens import Encoder, encode_all, vocabulary
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -37,6 +39,13 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def by_sql(name, **tables):
+    con = duckdb.connect()
+    for table, df in tables.items():
+        con.register(table, df.toArrow())
+    return sorted(con.execute(ORACLES[name]).fetchall())
+
+
 def test_ngram_join_matches_brute_force(docs, none):
     sets = {}
     for i, t, *_ in rows():
@@ -52,6 +61,7 @@ def test_ngram_join_matches_brute_force(docs, none):
     assert len(got) == len(rows())
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), root[i]) for i, s in sets.items()}
     assert ngram_join.linked_documents(none).count() == 0
+    assert by_sql("op2_ngram_join", documents=docs) == sorted(map(tuple, got))
 
 
 def test_line_dedup_keeps_the_first_of_each_passage(docs, none):
@@ -155,6 +165,7 @@ def test_vectors(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table).collect()}
     assert got == {i: (0, i) for i in range(12)} | {0: (2, 0), 1: (2, 0), 2: (2, 0)}
     assert embedding_dedup.near_duplicates(table.where("false")).count() == 0
+    assert by_sql("op9_embedding_dedup", embeddings=table) == sorted((i, n, c, i == c) for i, (n, c) in got.items())
 
 
 def test_toxicity_on_held_out_rows(spark):
