@@ -1,93 +1,100 @@
-"""Removal of repeated passages by content-defined chunks of lines."""
+"""Removal of repeated passages by runs of whole lines."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import WORD, materialize
+from assayer.llm.common import SEPARATORS, WORD, materialize
 
-#: One place in so many ends a chunk.
-DIVISOR = 3
-#: A line of so many words is a chunk of its own and counts as a passage.
+#: A line of so many words counts as a passage of its own.
 LONG_LINE = 25
-#: Fewest words of a chunk that is removed when it repeats.
+#: Fewest words of a passage that is removed when it repeats.
 MIN_WORDS = 10
 
 
-def _chunks(text: Column) -> Column:
-    """Array of ``(first, lines)`` of a text: where each chunk starts and the text of its lines.
+def with_windows(docs: DataFrame, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> DataFrame:
+    """Add ``_windows``, an array of ``(first, n_lines, hash)``: all shortest runs of lines of a text that count.
 
-    A line's hash is its checksum; the rolling hash of a place is taken over the hashes of the last two lines. A chunk
-    ends where that is divisible, and around long lines, so boundaries depend on at most two lines nearby and fall on
-    the same places of a passage wherever it stands.
+    A run counts with at least ``min_words`` words in two lines and more, or in one of ``long_line`` words. From each
+    line with words the shortest such run that begins there is taken, and the shortest that ends there. What is shortest
+    follows from the run's own lines, so a copy has the same runs wherever it stands; and of a longer run that counts,
+    the shortest run from its first line and those that end behind cover every line with words. Of a line without words,
+    only one next to a single line belongs to a run that begins or ends with it.
     """
-    return F.expr(
-        f"""transform(
-          filter(transform(_ends, (e, k) -> struct(CASE WHEN k = 0 THEN 0 ELSE get(_ends, k - 1) + 1 END AS first, e AS last)),
-                 x -> x.last >= x.first),
-          x -> struct(x.first AS first, x.last - x.first + 1 AS n_lines, slice(_lines, x.first + 1, x.last - x.first + 1) AS lines))"""
-    )
+    most = max(long_line, min_words)
+    space, word = SEPARATORS.replace("]+", "]*+"), WORD.replace("]+", "]++")
+    # counts end where more words make no difference
+    n_words = lambda x: F.when(x.rlike(rf"\A{space}(?:{word}{space}){{{most}}}"), most).otherwise(F.regexp_count(x, F.lit(WORD)))
+    cut = docs.withColumn("_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
+    cut = cut.withColumns({"_words": F.transform("_lines", n_words), "_hashes": F.transform("_lines", lambda x: F.xxhash64(x))})
+    cut = cut.withColumn("_at", F.expr("filter(transform(_words, (w, i) -> CASE WHEN w > 0 THEN i END), i -> i IS NOT NULL)"))
 
+    def ends(near: str, beside: str) -> str:
+        # each line with words adds one at least
+        return f"""transform(_at, (p, k) -> CASE
+            WHEN _words[p] >= {most} THEN p
+            WHEN _words[p] >= {min_words} THEN {beside}
+            ELSE aggregate({near}, struct(_words[p] AS n, CAST(NULL AS int) AS e),
+                (a, q) -> CASE WHEN a.n >= {min_words} THEN a ELSE struct(a.n + _words[q] AS n, q AS e) END,
+                a -> CASE WHEN a.n >= {min_words} THEN a.e END) END)"""
 
-def with_chunks(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
-    lines = docs.withColumn("_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
-    hashed = lines.withColumns(
-        {
-            "_hashes": F.transform("_lines", lambda x: F.crc32(x.cast("binary"))),
-            "_long": F.transform("_lines", lambda x: F.regexp_count(x, F.lit(WORD)) >= long_line),
-        }
+    ahead = ends(f"slice(_at, k + 2, {min_words})", "CASE WHEN p + 1 < size(_words) THEN p + 1 END")
+    behind = ends(f"reverse(slice(_at, greatest(k - {min_words}, 0) + 1, least(k, {min_words})))", "CASE WHEN p > 0 THEN p - 1 END")
+    cut = cut.withColumns({"_ahead": F.expr(ahead), "_behind": F.expr(behind)})
+    # both ends in one number: distinct numbers are found by hash
+    both = F.expr(
+        "filter(array_distinct(concat(transform(_at, (p, k) -> shiftleft(bigint(p), 32) + _ahead[k]), "
+        "transform(_at, (p, k) -> shiftleft(bigint(_behind[k]), 32) + p))), w -> w IS NOT NULL)"
     )
-    ends = F.expr(
-        f"""filter(transform(_hashes, (h, i) -> CASE WHEN i + 1 = size(_hashes) OR get(_long, i) OR get(_long, i + 1)
-            OR (coalesce(get(_hashes, i - 1), 0L) * 31 + h) % {divisor} = 0 THEN i END), e -> e IS NOT NULL)"""
+    cut = cut.withColumn("_both", both).withColumn(
+        "_places", F.expr("transform(_both, w -> struct(int(shiftright(w, 32)) AS first, int(w & 4294967295L) - int(shiftright(w, 32)) + 1 AS n_lines))")
     )
-    return hashed.withColumn("_ends", ends).withColumn("_chunks", _chunks(F.col("text"))).drop("_hashes", "_long", "_ends")
+    windows = F.expr("transform(_places, x -> struct(x.first AS first, x.n_lines AS n_lines, xxhash64(slice(_hashes, x.first + 1, x.n_lines)) AS hash))")
+    return cut.withColumn("_windows", windows).drop("_lines", "_words", "_hashes", "_at", "_ahead", "_behind", "_both", "_places")
 
 
-def remove_repeated(
-    docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE, min_words: int = MIN_WORDS
-) -> DataFrame:
+def remove_repeated(docs: DataFrame, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs(doc_id, text, ...)``, with passages removed from ``text`` that stand elsewhere before.
 
-    Chunks of two lines and more, or of one long line, with at least ``min_words`` words count. Of equal chunks the one
-    with the smallest (doc_id, line) stays; every other is removed, with its line end, if its bytes are equal to that
-    one's. ``removed_lines`` counts the lines taken out. First only hashes are counted, then only chunks with a hash
-    that repeats move with their text, and each meets the first of its kind alone, so a passage of a third of all
-    documents is compared row by row.
+    Every run of lines counts that has at least ``min_words`` words in two lines and more, or is one line of
+    ``long_line`` words. Of equal runs the one with the smallest (doc_id, line) stays; every other is removed, with its
+    line ends, if its bytes are equal to that one's. So the first of equal lines always stays, and a longer passage goes
+    whole, from its first line with words to its last, whatever stands around it. ``removed_lines`` counts the lines
+    taken out.
+
+    Only the shortest runs that count are looked at (see ``with_windows``): their hashes are counted, then those that
+    repeat get their text, and each meets the first of its kind alone, so a passage of a third of all documents is
+    compared row by row.
 
     A null text stays null; a text whose lines all go is empty; equal rows have the same place and keep the same
-    chunks; rows with a null doc_id come first and keep their text. An empty table gives no rows; an input column named
-    ``removed_lines`` is replaced.
+    passages; rows with a null doc_id come first and keep their text. An empty table gives no rows; an input column
+    named ``removed_lines`` is replaced.
     """
-    # the scan is cut into chunks anew each time: cheaper than to keep a second copy of the texts
-    cut = with_chunks(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), divisor, long_line)
-    # every text has a chunk; a plain explode would add a filter on the size of the array, which works it out once more
-    each = cut.select("doc_id", F.explode_outer("_chunks").alias("c")).select(
-        "doc_id", F.col("c.first").alias("first"), F.col("c.n_lines").alias("n_lines"), F.array_join("c.lines", "\n").alias("lines")
-    )
-    n_words = F.regexp_count("lines", F.lit(WORD))
-    passages = each.where((n_words >= min_words) & ((F.col("n_lines") > 1) | (n_words >= long_line))).withColumn(
-        "hash", F.xxhash64("lines")
-    )
-    repeated = (
-        passages.groupBy("hash")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first")).alias("origin"))
-        .where("n > 1")
-        .select("hash", "origin")
-    )
-    held = materialize(passages.join(materialize(repeated, "chunk-hashes"), "hash"), "chunks")
+    narrow = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    cut = with_windows(narrow, long_line, min_words)
+    # a plain explode would add a filter on the size of the array, which works it out once more
+    each = cut.select("doc_id", F.explode_outer("_windows").alias("w")).where("w IS NOT NULL").select("doc_id", "w.*")
+    windows = materialize(each, "line-runs")
+    repeated = windows.groupBy("hash").count().where("count > 1").select("hash")
+    held = materialize(windows.join(repeated, "hash"), "repeated-runs")
+    origins = held.groupBy("hash").agg(F.min(F.struct("doc_id", "first")).alias("origin"))
     at_origin = (F.col("doc_id") == F.col("origin.doc_id")) & (F.col("first") == F.col("origin.first"))
-    origins = held.where(at_origin).groupBy("hash").agg(F.min("lines").alias("kept_lines"))
-    gone = held.where(~at_origin).join(origins, "hash").where("lines = kept_lines")
+    placed = held.join(origins, "hash").select("doc_id", F.struct("first", "n_lines", "hash", at_origin.alias("at_origin")).alias("w"))
     # a document has a bounded number of lines
+    asked = placed.groupBy("doc_id").agg(F.collect_set("w").alias("_asked"))
+    texts = narrow.join(asked, "doc_id").withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    texts = texts.withColumn("_asked", F.expr("transform(_asked, w -> struct(w.first AS first, w.n_lines AS n_lines, w.hash AS hash, w.at_origin AS at_origin, array_join(slice(_lines, w.first + 1, w.n_lines), '\n') AS lines))"))
+    texts = materialize(texts.select("doc_id", F.explode_outer("_asked").alias("w")).select("doc_id", "w.*"), "run-texts")
+    kept = texts.where("at_origin").groupBy("hash").agg(F.min("lines").alias("kept_lines"))
+    gone = texts.where("NOT at_origin").join(kept, "hash").where("lines = kept_lines")
     per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n_lines")).alias("_gone"))
     joined = docs.drop("removed_lines").join(per_doc, "doc_id", "left").withColumn("_lines", F.split("text", "\n"))
-    # the removed line numbers, in order, then the lines that are none of them
-    joined = joined.withColumn("_out", F.expr("flatten(transform(_gone, g -> sequence(g.first, g.first + g.n_lines - 1)))"))
-    kept = F.expr(
+    # the removed line numbers, each once, then the lines that are none of them
+    joined = joined.withColumn("_out", F.expr("array_distinct(flatten(transform(_gone, g -> sequence(g.first, g.first + g.n_lines - 1))))"))
+    left = F.expr(
         "CASE WHEN _gone IS NULL THEN text ELSE array_join(transform(array_except(sequence(0, size(_lines) - 1), _out), "
         "i -> _lines[i]), '\n') END"
     )
     removed = F.when(F.col("_out").isNull(), 0).otherwise(F.size("_out")).cast("long")
-    return joined.select(*(kept.alias(c) if c == "text" else c for c in docs.columns if c != "removed_lines"), removed.alias("removed_lines"))
+    return joined.select(*(left.alias(c) if c == "text" else c for c in docs.columns if c != "removed_lines"), removed.alias("removed_lines"))

@@ -75,6 +75,38 @@ def test_line_dedup_keeps_the_first_of_each_passage(docs, none):
     assert line_dedup.remove_repeated(none).count() == 0
 
 
+def test_line_dedup_removes_every_repeated_run(spark):
+    plain, counts = [], [(3, 18), (3, 24), (4, 18), (5, 12), (10, 12), (15, 8), (15, 4), (2, 26), (1, 60)]
+    word = (f"v{i}" for i in range(10**6))
+    line = lambda n: " ".join(next(word) for _ in range(n))
+    for lines, n in counts * 6:
+        passage = [line(n) for _ in range(lines)]
+        plain += [[line(12), *passage, line(12)], [line(12), line(12), *passage, "", line(12)]]
+    edge = [line(6), line(1), "", "", line(6)]  # only as a whole over ten words
+    single, pair = line(24), [line(9), line(9)]
+    plain += [edge, [line(3), *edge, line(3)], edge[:2] + [line(6)], [single], ["", line(3), single], [single, ""], [line(4), single, "", line(4)]]
+    plain += [pair * 4, [""] * 50 + pair, ["é\u00a0" + line(30), " ".join("ab")] * 2, [line(1)] * 30, [" \t"] * 40]
+    words = [[len(re.findall(WORDS, x)) for x in t] for t in plain]
+    seen, want = set(), []
+    for t, n in zip(plain, words, strict=True):
+        out = set()
+        for a in range(len(t)):
+            runs = [(a, b) for b in range(a, len(t)) if sum(n[a : b + 1]) >= 10 and (b > a or n[a] >= 25)]
+            for a, b in runs:  # noqa: B020, PLW2901
+                key = tuple(t[a : b + 1])
+                out |= set(range(a, b + 1)) if key in seen else set()
+                seen.add(key)
+        want.append([x for k, x in enumerate(t) if k not in out and n[k]])
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(plain)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.remove_repeated(docs).collect()}
+    for i, t in enumerate(plain):
+        lines = got[i].text.split("\n")
+        assert [x for x in lines if re.search(WORDS, x)] == want[i]
+        assert got[i].removed_lines == len(t) - (len(lines) if got[i].text or got[i].removed_lines < len(t) else 0)
+    for k in range(0, 2 * len(counts) * 6, 2):
+        assert len(want[k]) == len(plain[k]) and len(want[k + 1]) == 3
+
+
 def test_personal_data(docs, none):
     got = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
     r = got[16]
