@@ -65,15 +65,21 @@ _VALID = {
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_<kind>`` and ``base``, an array of ``(kind, s, e)``, of whole texts, with candidates ``_cand``."""
+    """``doc_id``, ``n_<kind>`` and ``base``, an array of ``(kind, s, e)``, of whole texts, with candidates ``_cand``.
+
+    ``_rejected`` has the places ``(s, e)`` of what a pattern matched and its test did not accept.
+    """
     spans = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     for kind, pattern in KINDS.items():
         spans = _with_spans(spans, kind, pattern, HINTS[kind])
-        spans = spans.withColumn(f"_{kind}", F.expr(f"filter(_{kind}, x -> {_VALID[kind]})"))
+        spans = spans.withColumn(f"_{kind}", F.expr(f"transform(_{kind}, x -> struct(x.s AS s, x.e AS e, {_VALID[kind]} AS valid))"))
+    rejected = F.concat(*(F.expr(f"transform(filter(_{k}, x -> NOT x.valid), x -> struct(x.s AS s, x.e AS e))") for k in KINDS))
+    spans = spans.withColumn("_rejected", rejected)
+    spans = spans.withColumns({f"_{k}": F.expr(f"filter(_{k}, x -> x.valid)") for k in KINDS})
     spans = _with_spans(spans, "cand", CANDIDATE, None)
     every = F.concat(*(F.expr(f"transform(_{k}, x -> struct('{k}' AS kind, x.s AS s, x.e AS e))") for k in KINDS))
     counts = {f"n_{k}": F.size(f"_{k}").cast("long") for k in KINDS}
-    return spans.withColumns({**counts, "base": every}).select("doc_id", *counts, "base", "_cand")
+    return spans.withColumns({**counts, "base": every}).select("doc_id", *counts, "base", "_rejected", "_cand")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -84,13 +90,14 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
        lexical pattern. Candidates inside base spans are the seeds, with confidence 1.
     3. In rounds, a pattern scores the mean confidence of its different instances, and an instance gets one minus the
        product of what its patterns leave open. Patterns with fewer than three different seeds score nothing.
-    4. Candidates with a letter that reach the confidence and touch no base span become spans of kind ``found``.
+    4. Candidates that reach the confidence and touch no base span become spans of kind ``found``, except numbers without
+       a letter that touch a match which the test of its kind rejected.
 
     Returns ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found``. A null text is an empty one; repeated
     rows give repeated rows; an empty table gives none; other columns are left out.
     """
     base = materialize(base_spans(docs), "personal-data")
-    each = base.where(F.size("_cand") > 0).select("doc_id", "base", F.explode_outer("_cand").alias("c"))
+    each = base.where(F.size("_cand") > 0).select("doc_id", "base", "_rejected", F.explode_outer("_cand").alias("c"))
     value = F.regexp_extract("c.m", VALUE, 0)
     cand = each.select(
         "doc_id",
@@ -99,8 +106,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         value.alias("value"),
         F.lower(F.regexp_replace(F.regexp_replace("c.m", VALUE, ""), r"\s+", " ")).alias("pattern"),
         "base",
+        "_rejected",
     ).where("value <> ''")
-    cand = cand.withColumn("touches", F.expr("exists(base, x -> x.s < e AND s < x.e)")).drop("base")
+    cand = cand.withColumn("touches", F.expr("exists(base, x -> x.s < e AND s < x.e)"))
+    refused = F.expr("NOT touches AND NOT value RLIKE '[A-Za-z]' AND exists(_rejected, x -> x.s < e AND s < x.e)")
+    cand = cand.withColumn("refused", refused).drop("base", "_rejected")
     cand = materialize(cand, "candidates")
     # the graph: each pattern and instance once, however often they meet
     graph = materialize(cand.groupBy("pattern", "value").agg(F.max("touches").alias("seed")), "pattern-graph")
@@ -118,13 +128,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             "pattern-graph",
         )
     sure = scored.where(F.col("confidence") >= CONFIDENCE).select("pattern", "value").distinct()
-    # what is digits and signs alone is for the kinds above to decide
-    lettered = cand.where(~F.col("touches") & F.col("value").rlike("[A-Za-z]"))
-    found = lettered.join(sure, ["pattern", "value"]).groupBy("doc_id").agg(
+    found = cand.where("NOT touches AND NOT refused").join(sure, ["pattern", "value"]).groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct(F.lit("found").alias("kind"), "s", "e"))).alias("more")
     )
     named = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
-    out = base.drop("_cand").join(found, "doc_id", "left")
+    out = base.drop("_cand", "_rejected").join(found, "doc_id", "left")
     more = F.coalesce("more", F.array().cast("array<struct<kind:string,s:int,e:int>>"))
     return out.select(
         "doc_id",

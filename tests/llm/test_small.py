@@ -116,6 +116,18 @@ def test_personal_data(docs, none):
     assert got[0].spans == "" and pii.find_personal_data(none).count() == 0
 
 
+def test_personal_data_finds_unseen_identifiers(spark):
+    texts = [f"phone: +1555123400{k}" for k in range(10)] + [f"ssn: u{k}@mail.co" for k in range(10)]
+    unseen = {20: "555-123-4567", 21: "x5551234", 22: "123-45-6789", 23: "AB-1234567"}
+    texts += ["phone: 555-123-4567", "phone: x5551234", "ssn: 123-45-6789", "ssn: AB-1234567", "phone: 4111111111111112", "phone: +123456", "ssn: 300.10.10.10", "page: 555-123-4568"]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        at = text.index(": ") + 2
+        assert got[i].n_found == (i in unseen)
+        if i >= 20:
+            assert got[i].spans == (f"found:{at}:{len(text)}" if i in unseen else "")
+
+
 def test_host_rules(docs, none):
     got = {r.doc_id: r for r in quality_rules.host_rules(docs).collect()}
     for i, t, *_ in rows():
