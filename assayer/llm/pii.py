@@ -20,8 +20,10 @@ KINDS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 #: An unknown identifier: what stands before it, and a run with a digit.
-CANDIDATE = r"(?<![A-Za-z])[A-Za-z]{1,24}(?:[\t\x20]*[=:]+[\t\x20]*[\"']?|[\t\x20])[A-Za-z0-9@.+-]{0,40}[0-9][A-Za-z0-9@.+-]{5,60}"
-VALUE = r"[A-Za-z0-9@.+-]{0,40}[0-9][A-Za-z0-9@.+-]{5,60}\z"
+RUN = "A-Za-z0-9@.+-"
+CANDIDATE = rf"(?<![A-Za-z])[A-Za-z]++(?:[\t\x20]*[=:]+[\t\x20]*[\"']?|[\t\x20])(?=[A-Za-z@.+-]*+[0-9])(?=[{RUN}]{{6}})[{RUN}]++"
+VALUE = rf"(?<![{RUN}])[{RUN}]++\z"
+#: Rounds of scoring from one set of known instances.
 ROUNDS = 3
 #: Fewest different seeds of a pattern, and the confidence that an instance needs.
 SUPPORT = 3
@@ -89,7 +91,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     2. A candidate is a run of at least six characters with a digit, behind a word; the word and what joins them are its
        lexical pattern. Candidates inside base spans are the seeds, with confidence 1.
     3. In rounds, a pattern scores the mean confidence of its different instances, and an instance gets one minus the
-       product of what its patterns leave open. Patterns with fewer than three different seeds score nothing.
+       product of what its patterns leave open. Patterns with fewer than three different seeds score nothing. Instances
+       that then reach the confidence are seeds of the next rounds, until none newly reaches it. Rounds from one set of
+       seeds are bounded: without end, the mean of every pattern with a seed would go to one.
     4. Candidates that reach the confidence and touch no base span become spans of kind ``found``, except numbers without
        a letter that touch a match which the test of its kind rejected.
 
@@ -113,20 +117,29 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     cand = cand.withColumn("refused", refused).drop("base", "_rejected")
     cand = materialize(cand, "candidates")
     # the graph: each pattern and instance once, however often they meet
-    graph = materialize(cand.groupBy("pattern", "value").agg(F.max("touches").alias("seed")), "pattern-graph")
-    scored = graph.withColumn("confidence", F.col("seed").cast("double"))
-    for _ in range(ROUNDS):
-        patterns = scored.groupBy("pattern").agg(
-            F.sum(F.col("seed").cast("long")).alias("seeds"), F.avg("confidence").alias("score")
-        )
-        patterns = patterns.select("pattern", F.when(F.col("seeds") >= SUPPORT, F.col("score")).otherwise(0.0).alias("score"))
-        met = graph.join(patterns, "pattern")
-        open_ = F.exp(F.sum(F.log(1 - F.least("score", F.lit(1 - 1e-9)))))
-        instances = met.groupBy("value").agg((1 - open_).alias("reached"), F.max("seed").alias("known"))
-        scored = materialize(
-            graph.join(instances, "value").select("pattern", "value", "seed", F.when(F.col("known"), 1.0).otherwise(F.col("reached")).alias("confidence")),
-            "pattern-graph",
-        )
+    graph = materialize(
+        cand.groupBy("pattern", "value").agg(F.max("touches").alias("seed"), F.min("refused").alias("refused")), "pattern-graph"
+    )
+    more_seeds = True
+    while more_seeds:
+        scored = graph.withColumn("confidence", F.col("seed").cast("double"))
+        for _ in range(ROUNDS):
+            patterns = scored.groupBy("pattern").agg(
+                F.sum(F.col("seed").cast("long")).alias("seeds"), F.avg("confidence").alias("score")
+            )
+            patterns = patterns.select("pattern", F.when(F.col("seeds") >= SUPPORT, F.col("score")).otherwise(0.0).alias("score"))
+            met = graph.join(patterns, "pattern")
+            open_ = F.exp(F.sum(F.log(1 - F.least("score", F.lit(1 - 1e-9)))))
+            instances = met.groupBy("value").agg((1 - open_).alias("reached"), F.max("seed").alias("known"))
+            scored = materialize(
+                graph.join(instances, "value").select(
+                    "pattern", "value", "seed", "refused", F.when(F.col("known"), 1.0).otherwise(F.col("reached")).alias("confidence")
+                ),
+                "pattern-graph",
+            )
+        passed = ~F.col("seed") & ~F.col("refused") & (F.col("confidence") >= CONFIDENCE)
+        more_seeds = not scored.where(passed).isEmpty()
+        graph = scored.select("pattern", "value", (F.col("seed") | passed).alias("seed"), "refused")
     sure = scored.where(F.col("confidence") >= CONFIDENCE).select("pattern", "value").distinct()
     found = cand.where("NOT touches AND NOT refused").join(sure, ["pattern", "value"]).groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct(F.lit("found").alias("kind"), "s", "e"))).alias("more")
