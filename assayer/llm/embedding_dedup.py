@@ -94,22 +94,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = S
     radius and what the codes lose; the others get their cosine. Each block tells every vector its number of links
     and a smallest linked vector, never pairs, so groups of copies cost their size.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do those of another
-    dimension than the most common one; they get 0 links and their own id. Repeated rows count as links of each other.
-    An empty table gives no rows; other columns are left out.
+    Vectors of each dimension have an index of their own and link among themselves. Vectors that are null, empty, zero,
+    or hold null or non-finite components link with nothing; they get 0 links and their own id. Repeated rows count as
+    links of each other. An empty table gives no rows; other columns are left out.
     """
-    spark = vectors.sparkSession
     sound = (F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).__and__(
         F.expr("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)")
     )
     narrow = vectors.select("vec_id", "embedding", "label")
     valid = narrow.where(F.coalesce(sound, F.lit(False)))
-    dims = valid.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    alone = narrow.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if dims is None:
-        return alone
-    dim = dims["dim"]
-    valid = valid.where(F.size("embedding") == dim)
+    dims = valid.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").collect()
+    out = narrow.where(~F.coalesce(sound, F.lit(False))).select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
+    )
+    for row in dims:
+        out = _linked(valid.where(F.size("embedding") == row["dim"]), row["dim"], threshold, sample).union(out)
+    return out
+
+
+def _linked(valid: DataFrame, dim: int, threshold: float, sample: int) -> DataFrame:
+    """The result for sound vectors of one dimension."""
+    spark = valid.sparkSession
     reps = materialize(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
     n_lists = max(1, min(256, int(reps.count() ** 0.5) // 8))
     fitted = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()
@@ -129,10 +134,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = S
             more = flatfiles.table({"list": lists, "codes": [c.tobytes() for c in codes], "lost": lost, "probes": probes}, coded_schema)
             yield pa.RecordBatch.from_arrays([*batch.columns, *more.columns], names=[*batch.schema.names, *coded_schema.names])
 
-    element = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    element = "float" if dict(valid.dtypes)["embedding"] == "array<float>" else "double"
     coded = reps.select("rep", "label", "copies", F.col("embedding").cast(f"array<{element}>").alias("embedding")).mapInArrow(
         code,
-        f"rep long, label {dict(vectors.dtypes)['label']}, copies long, embedding array<{element}>, list int, codes binary, lost double, probes array<int>",
+        f"rep long, label {dict(valid.dtypes)['label']}, copies long, embedding array<{element}>, list int, codes binary, lost double, probes array<int>",
     )
     coded = materialize(coded, "vector-codes")
     there = coded.groupBy("label", "list").agg(F.count("*").alias("nd"))
@@ -201,8 +206,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = S
     tied = valid.join(known, ["label", "embedding"]).select(
         "vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id")
     )
-    tied = tied.withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    unsound = narrow.where(~F.coalesce(sound & (F.size("embedding") == dim), F.lit(False))).select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-    )
-    return tied.union(unsound)
+    return tied.withColumn("kept", F.col("vec_id") == F.col("component_id"))

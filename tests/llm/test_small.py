@@ -230,6 +230,16 @@ def test_vectors(spark):
     assert by_sql("op9_embedding_dedup", embeddings=table) == sorted((i, n, c, i == c) for i, (n, c) in got.items())
 
 
+def test_vectors_of_every_dimension(spark):
+    data = [(i, [1.0, 0.0], 1) for i in range(3)] + [(3, [1.0], 1), (4, [2.0], 1), (5, [-1.0], 1), (6, [1.0], 2)]
+    data += [(7, [0.0, 1.0, 0.0], 1), (8, [0.0, 1.0, 0.01], 1), (9, [0.0, 0.0, 0.0], 1)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table).collect()}
+    want = {i: (2, 0) for i in range(3)} | {3: (1, 3), 4: (1, 3), 7: (1, 7), 8: (1, 7)}
+    assert got == {i: (0, i) for i in range(10)} | want
+    assert by_sql("op9_embedding_dedup", embeddings=table) == sorted((i, n, c, i == c) for i, (n, c) in got.items())
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
