@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import embedding_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, token_counts, token_files, toxicity
+from assayer.llm import (
+    centroids,
+    embedding_dedup,
+    fingerprints,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    quality_rules,
+    runs,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from assayer.llm.common import read_table, work_folder
 
 #: The end id of files without index, the vocabulary's own mark.
@@ -58,6 +72,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(read_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,5 +97,8 @@ QUERIES = {
         op8_packing,
         op9_embedding_dedup,
         op10_mixing,
+        op11_fingerprints,
+        op12_runs,
+        op13_centroids,
     )
 }
