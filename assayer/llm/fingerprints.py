@@ -11,7 +11,7 @@ from assayer.llm.common import materialize
 
 #: A piece ends behind a line end, or behind a blank after one of these characters, and has 64 characters at most.
 #: What follows an edit is therefore cut as before, wherever the edit moved it to.
-PIECE = r"(?s).{0,62}?(?:\n|[densty.,:;!?] )|.{1,64}"
+PIECE = r"(?s).{0,62}?(?:\n|[.,:;!?] )|.{1,64}"
 #: Hex digits of a piece's digest that a fingerprint keeps.
 LEAF = 8
 

@@ -16,7 +16,7 @@ texts AS MATERIALIZED (
   UNION ALL SELECT a.pos, a.doc_id, 'edited', left(a.t, length(a.t) - length(a.t) // 4) || left(b.t, length(a.t) // 4)
   FROM docs a JOIN docs b ON b.pos = a.pos % a.n + 1),
 cut AS MATERIALIZED (
-  SELECT pos, kind, t, regexp_extract_all(t, '(?s).{0,62}?(?:\n|[densty.,:;!?] )|.{1,64}') AS p FROM texts),
+  SELECT pos, kind, t, regexp_extract_all(t, '(?s).{0,62}?(?:\n|[.,:;!?] )|.{1,64}') AS p FROM texts),
 hashed AS (SELECT pos, kind, t, p, list_transform(p, lambda x: {'h': sha256(x), 'e': ends_with(x, chr(10))}) AS h FROM cut),
 marked AS MATERIALIZED (
   SELECT pos, kind, t, p, list_transform(h, lambda x: x.h[:8]) AS leaves, list_transform(h, lambda x: {'h': x.h, 'm':
