@@ -132,9 +132,12 @@ def difference(a: Column, b: Column) -> Column:
 
 def _numbered(leaves: Column) -> Column:
     """Equal entries told apart by a number, so that sets of them count repeats."""
-    runs = F.regexp_extract_all(F.array_join(F.array_sort(leaves), ""), F.lit(rf"([0-9a-f]{{{LEAF}}})\1*"), F.lit(0))
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(leaves), ""), F.lit(rf"([0-9a-f]{{{LEAF}}})\1*"), F.lit(0))
     times = lambda run: F.sequence(F.lit(1), (F.length(run) / LEAF).cast("int"))
-    return F.flatten(F.transform(runs, lambda run: F.transform(times(run), lambda i: F.concat(F.left(run, F.lit(LEAF)), i.cast("string")))))
+    each = lambda run: F.transform(times(run), lambda i: F.concat(F.left(run, F.lit(LEAF)), i.cast("string")))
+    single = lambda run: F.length(run) == LEAF
+    repeated = F.flatten(F.transform(F.filter(runs, lambda run: ~single(run)), each))
+    return F.concat(F.transform(F.filter(runs, single), lambda run: F.concat(run, F.lit("1"))), repeated)
 
 
 def likeness(found: Column) -> Column:
@@ -162,20 +165,22 @@ def edit_place(text: Column, found: Column) -> Column:
     ))
 
 
+#: What tells documents apart and orders them: whether there is an id, the id, a hash of the text.
+KEY = ["named", "id", "print"]
+
+
 def _before(keys: DataFrame) -> DataFrame:
-    """Each of the distinct ``keys(doc_id, print, n)`` with the one before it, ascending; the first follows the last.
+    """Each of the distinct keys with the key and size ``n`` before it, ascending; the first follows the last.
 
     Narrow rows are sorted by ranges; the last key of each range, one row a range, leads over to the next range.
     """
-    ranged = materialize(keys.repartitionByRange("doc_id", "print").withColumn("range", F.spark_partition_id()), "order")
-    key = F.struct("doc_id", "print", "n")
+    ranged = materialize(keys.repartitionByRange(*KEY).withColumn("range", F.spark_partition_id()), "order")
+    key = F.struct(*KEY, "n")
     tails = ranged.groupBy("range").agg(F.max(key).alias("tail"))
     over = Window.orderBy("range")
     tails = tails.select("range", F.coalesce(F.lag("tail").over(over), F.max("tail").over(Window.partitionBy())).alias("tail"))
-    inside = ranged.withColumn("before", F.lag(key).over(Window.partitionBy("range").orderBy("doc_id", "print")))
-    return inside.join(tails, "range").select(
-        F.col("doc_id").alias("key_id"), F.col("print").alias("key_print"), F.coalesce("before", "tail").alias("before")
-    )
+    inside = ranged.withColumn("before", F.lag(key).over(Window.partitionBy("range").orderBy(*KEY)))
+    return inside.join(tails, "range").select(*KEY, F.coalesce("before", "tail").alias("before"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -188,21 +193,22 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     Texts are shuffled once, by document: the next document sends its start and its fingerprint to the one before it.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
-    keys = texts.groupBy("doc_id", "print").agg(F.max(F.length("text")).alias("n"))
+    # a null id is a number of its own kind, so that plain keys join and group alike
+    texts = docs.select(
+        F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("print", F.xxhash64("text"))
+    keys = texts.groupBy(KEY).agg(F.max(F.length("text")).alias("n"))
     before = _before(materialize(keys, "keys"))
-    same = lambda other_id, other_print: F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col("print") == F.col(other_print))
-    sent = texts.join(before, same("key_id", "key_print")).select(
-        F.col("before.doc_id").alias("to_id"),
-        F.col("before.print").alias("to_print"),
+    sent = texts.join(before, KEY).select(
+        *[F.col(f"before.{name}").alias(name) for name in KEY],
         F.left("text", F.floor(F.col("before.n") / 4).cast("int")).alias("start"),
         fingerprint(F.col("text")).alias("next_fingerprint"),
     )
     # rows of one document send the same
-    sent = sent.groupBy("to_id", "to_print").agg(F.first("start").alias("start"), F.first("next_fingerprint").alias("next_fingerprint"))
+    sent = sent.groupBy(KEY).agg(F.first("start").alias("start"), F.first("next_fingerprint").alias("next_fingerprint"))
     n = F.length("text")
-    met = texts.join(sent, same("to_id", "to_print")).select(
-        "doc_id",
+    met = texts.join(sent, KEY).select(
+        F.when(F.col("named"), F.col("id")).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         "text",
         F.concat(F.left("text", n - F.floor(n / 4).cast("int")), "start").alias("edited"),
