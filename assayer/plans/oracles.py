@@ -89,9 +89,27 @@ def _suite_details() -> str:
                 f"{bool(reason)} AS skipped, {text} AS skip_reason, {same} AS exact_match, {gold_failed and not reason} AS gold_failed, "
                 f"{pred_failed and not reason} AS pred_failed, {size(g, gold_failed)} AS gold_row_count, {size(p, pred_failed)} AS pred_row_count"
             )
+    rows.append(f"SELECT * FROM ({_GROWN_DETAILS})")
     return "\nUNION ALL ".join(rows)
 
 
+# per ten suppliers: rows of the gold query, of its narrower form, and whether both are the same
+_GROWN_DETAILS = """
+WITH blocks AS (SELECT DISTINCT floor((s_suppkey - 1) / 10.0)::BIGINT AS b FROM supplier),
+gold AS (SELECT b, l_returnflag AS f, count(*) AS n FROM blocks JOIN lineitem ON l_suppkey BETWEEN 10 * b + 1 AND 10 * b + 10 GROUP BY ALL),
+narrow AS (SELECT b, l_returnflag AS f, count(*) AS n FROM blocks JOIN lineitem ON l_suppkey BETWEEN 10 * b + 1 AND 10 * b + 10 AND l_quantity > 25 GROUP BY ALL),
+unlike AS (SELECT DISTINCT b FROM ((FROM gold EXCEPT ALL FROM narrow) UNION ALL (FROM narrow EXCEPT ALL FROM gold))),
+sizes AS (
+  SELECT b, (SELECT count(*) FROM gold g WHERE g.b = k.b) AS gold_rows, (SELECT count(*) FROM narrow w WHERE w.b = k.b) AS narrow_rows,
+    b IN (SELECT b FROM unlike) AS differs FROM blocks k),
+answers AS (
+  SELECT b, 'alpha' AS model, true AS given, false AS failed, gold_rows, CASE WHEN b % 4 = 1 THEN narrow_rows ELSE gold_rows END AS pred_rows,
+    CASE b % 4 WHEN 1 THEN NOT differs WHEN 2 THEN gold_rows = 0 ELSE true END AS same FROM sizes
+  UNION ALL
+  SELECT b, 'beta', b % 3 <> 2, b % 3 <> 0, gold_rows, CASE WHEN b % 3 = 0 THEN gold_rows ELSE 0 END, b % 3 = 0 FROM sizes)
+SELECT 's' || b AS case_id, model, given AS has_prediction, false AS dangerous_sql, false AS skipped, NULL AS skip_reason, same AS exact_match,
+  false AS gold_failed, failed AS pred_failed, gold_rows AS gold_row_count, pred_rows AS pred_row_count FROM answers
+"""
 ORACLES["eval_details"] = _suite_details()
 ORACLES["exec_accuracy_summary"] = f"""
 SELECT model, count(*) AS total_cases, count(*) FILTER (NOT skipped AND NOT gold_failed) AS total_evaluated,
@@ -102,6 +120,17 @@ SELECT model, count(*) AS total_cases, count(*) FILTER (NOT skipped AND NOT gold
 FROM ({_suite_details()}) GROUP BY model
 """
 
+ORACLES["run_case_filter"] = f"""
+WITH calls AS (SELECT * FROM {oracle_input(workload.CASE_RUNS)}),
+listed AS (SELECT DISTINCT run_id, benchmark, case_id FROM calls WHERE track = 'raw' AND status = 'ok'),
+kept AS (
+  SELECT run_id, benchmark, case_id FROM listed
+  UNION ALL
+  SELECT r.run_id, r.benchmark, c.case_id FROM (SELECT DISTINCT run_id, benchmark FROM calls) r JOIN calls c ON r.benchmark = c.benchmark
+  WHERE r.run_id NOT IN (SELECT run_id FROM listed))
+SELECT run_id, benchmark, count(*) AS cases, min(case_id) AS first_case, max(case_id) AS last_case FROM kept GROUP BY run_id, benchmark
+"""
+
 # --- cost, reports, matrix -------------------------------------------------------------------------------------
 
 _COSTED = f"""costed AS (

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import sqltext, text
-from assayer.operators import cost, evaluate, joins, leak, linking, plan, prompts, provenance, report, scan, slots, verify
+from assayer.operators import cost, evaluate, joins, leak, linking, plan, prompts, provenance, report, scan, slots, suites, verify
 from assayer.plans import suite, workload
 from assayer.rules import retail
 from assayer.session import guard, work_folder
@@ -59,11 +59,17 @@ def bag_compare_diff(spark, sf_dir):
 
 
 def _suite_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
-        workload.table(spark, sf_dir, name).createOrReplaceTempView(name)
-    suite_cases = spark.createDataFrame(suite.case_rows(), suite.CASE_SCHEMA)
-    predictions = spark.createDataFrame(suite.prediction_rows(), suite.PREDICTION_SCHEMA)
-    return evaluate.evaluate_suite(spark, suite_cases, predictions)
+    def tables(session: SparkSession) -> None:
+        for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+            session.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+
+    grown = workload.derive(spark, sf_dir, suite.GROWING)
+    about = [F.lit("db_main").alias("db_id"), F.lit("sql").alias("mode"), F.lit("duckdb").alias("dialect")]
+    more_cases = grown.select("case_id", *about, "gold_sql", F.lit(True).alias("db_found"))
+    more = [grown.select("case_id", F.lit(m).alias("model"), F.col(m).alias("pred_sql")).where("pred_sql IS NOT NULL") for m in suite.MODELS]
+    suite_cases = spark.createDataFrame(suite.case_rows(), suite.CASE_SCHEMA).unionByName(more_cases)
+    predictions = spark.createDataFrame(suite.prediction_rows(), suite.PREDICTION_SCHEMA).unionByName(more[0]).unionByName(more[1])
+    return evaluate.evaluate_suite(spark, suite_cases, predictions, prepare=tables, seconds=3600)
 
 
 @query
@@ -84,6 +90,18 @@ def exec_accuracy_summary(spark, sf_dir):
     )
 
 
+@query
+def run_case_filter(spark, sf_dir):
+    """Cases per run: runs of the plain track list the cases they answered, the others take all of their benchmark."""
+    calls = workload.case_runs(spark, sf_dir).select("case_id", "benchmark", "run_id", "track", "status")
+    answered = F.array_sort(F.collect_set(F.when(F.expr("track = 'raw' AND status = 'ok'"), F.col("case_id"))))
+    runs = calls.groupBy("run_id", "benchmark").agg(answered.alias("case_ids"))
+    kept = suites.run_cases(calls.select("case_id", "benchmark"), runs)
+    return kept.groupBy("run_id", "benchmark").agg(
+        F.count("*").alias("cases"), F.min("case_id").alias("first_case"), F.max("case_id").alias("last_case")
+    )
+
+
 # --- cost, reports, matrix -----------------------------------------------------------------------------------
 
 
