@@ -77,6 +77,28 @@ def roll_up_models(report: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def roll_up_levels(report: DataFrame, *keys: str) -> DataFrame:
+    """``roll_up_models`` at every level of the keys at once, with the number of runs.
+
+    ``level`` has a bit per key, the first one highest, that is set where the row adds up over that key: 0 is the finest
+    level, all bits set the grand total. Keys added up over are null; a null key of a run keeps its bit unset.
+    """
+    totals = report.rollup(*keys).agg(
+        F.grouping_id(*keys).alias("level"),
+        F.count("*").alias("runs"),
+        F.sum("exact_matches").alias("exact_matches"),
+        F.sum("total_evaluated").alias("total_evaluated"),
+        F.sum("prediction_error_count").alias("prediction_error_count"),
+        F.sum("estimated_cost_usd").alias("estimated_cost_usd"),
+    )
+    return totals.withColumns(
+        {
+            "execution_accuracy_pct": F.try_divide(F.col("exact_matches"), F.col("total_evaluated")) * 100,
+            "cost_per_exact_match_usd": cost_per_exact(F.col("estimated_cost_usd"), F.col("exact_matches")),
+        }
+    )
+
+
 def dataset_winners(report: DataFrame) -> DataFrame:
     """All rows that share the highest number of exact matches of their benchmark."""
     best = report.groupBy("benchmark").agg(F.max("exact_matches").alias("best"))

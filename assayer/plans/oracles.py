@@ -95,9 +95,9 @@ def _suite_details() -> str:
 
 # per ten suppliers: rows of the gold query, of its narrower form, and whether both are the same
 _GROWN_DETAILS = """
-WITH blocks AS (SELECT DISTINCT floor((s_suppkey - 1) / 10.0)::BIGINT AS b FROM supplier),
-gold AS (SELECT b, l_returnflag AS f, count(*) AS n FROM blocks JOIN lineitem ON l_suppkey BETWEEN 10 * b + 1 AND 10 * b + 10 GROUP BY ALL),
-narrow AS (SELECT b, l_returnflag AS f, count(*) AS n FROM blocks JOIN lineitem ON l_suppkey BETWEEN 10 * b + 1 AND 10 * b + 10 AND l_quantity > 25 GROUP BY ALL),
+WITH blocks AS (SELECT DISTINCT floor(s_suppkey / 10.0)::BIGINT AS b FROM supplier),
+gold AS (SELECT b, l_returnflag AS f, count(*) AS n FROM blocks JOIN lineitem ON l_suppkey BETWEEN 10 * b AND 10 * b + 9 GROUP BY ALL),
+narrow AS (SELECT b, l_returnflag AS f, count(*) AS n FROM blocks JOIN lineitem ON l_suppkey BETWEEN 10 * b AND 10 * b + 9 AND l_quantity > 25 GROUP BY ALL),
 unlike AS (SELECT DISTINCT b FROM ((FROM gold EXCEPT ALL FROM narrow) UNION ALL (FROM narrow EXCEPT ALL FROM gold))),
 sizes AS (
   SELECT b, (SELECT count(*) FROM gold g WHERE g.b = k.b) AS gold_rows, (SELECT count(*) FROM narrow w WHERE w.b = k.b) AS narrow_rows,
@@ -189,6 +189,13 @@ ORACLES["model_leaderboard"] = f"""WITH {_REPORT}
 SELECT model, exact_matches, total_evaluated, prediction_error_count, round(estimated_cost_usd, 6) AS estimated_cost_usd,
   CASE WHEN total_evaluated > 0 THEN round(exact_matches * 100.0 / total_evaluated, 6) END AS execution_accuracy_pct,
   CASE WHEN exact_matches > 0 THEN round(estimated_cost_usd / exact_matches, 6) END AS cost_per_exact_match_usd FROM models"""
+ORACLES["model_rollup"] = f"""WITH {_REPORT},
+r AS (
+  SELECT model, benchmark, GROUPING(model, benchmark) AS level, count(*) AS runs, sum(exact_matches)::BIGINT AS exact_matches, sum(total_evaluated)::BIGINT AS total_evaluated,
+    sum(prediction_error_count)::BIGINT AS prediction_error_count, sum(estimated_cost_usd) AS cost FROM report GROUP BY ROLLUP (model, benchmark))
+SELECT model, benchmark, level, runs, exact_matches, total_evaluated, prediction_error_count, round(cost, 6) AS estimated_cost_usd,
+  CASE WHEN total_evaluated > 0 THEN round(exact_matches * 100.0 / total_evaluated, 6) END AS execution_accuracy_pct,
+  CASE WHEN exact_matches > 0 THEN round(cost / exact_matches, 6) END AS cost_per_exact_match_usd FROM r"""
 ORACLES["dataset_winners"] = f"""WITH {_REPORT}
 SELECT benchmark, run_id, exact_matches, prediction_error_count FROM report r
 WHERE NOT EXISTS (SELECT 1 FROM report o WHERE o.benchmark = r.benchmark AND o.exact_matches > r.exact_matches) AND exact_matches IS NOT NULL"""
@@ -408,6 +415,17 @@ _FOUND = f"""found AS MATERIALIZED (
     UNION ALL SELECT id, unnest(regexp_extract_all(txt, '\\b[A-Z][A-Za-z0-9_&/-]{{2,}}\\b')) FROM asked))"""
 ORACLES["question_values"] = f"""WITH {_QUESTIONS}, {_FOUND}
 SELECT a.id AS question_id, coalesce(string_agg(v, '|' ORDER BY v), '') AS found_values FROM asked a LEFT JOIN found f ON a.id = f.id GROUP BY a.id"""
+_CELLS = " UNION ALL ".join(
+    f"SELECT '{t}' AS tab, '{c}' AS col, {_norm(f'{c}::VARCHAR')} AS key, count(*) AS n FROM {t} GROUP BY ALL"
+    for t, columns in workload.EXAMPLE_COLUMNS.items() for c in columns
+)
+_HITS = f"""{_QUESTIONS}, {_FOUND}, cells AS (SELECT tab, col, key, sum(n)::BIGINT AS n FROM ({_CELLS}) WHERE key <> '' GROUP BY ALL),
+wanted AS (SELECT DISTINCT id, {_norm('v')} AS key FROM found)"""
+ORACLES["value_hits"] = f"""WITH {_HITS}
+SELECT w.id AS question_id, w.key, c.tab AS "table", c.col AS "column", c.n AS "rows" FROM wanted w JOIN cells c ON w.key = c.key"""
+ORACLES["value_scores"] = f"""WITH {_HITS}
+SELECT w.id AS question_id, c.tab AS "table", count(DISTINCT w.key) AS "values", round(count(DISTINCT w.key) * {vocab.EXAMPLE_VALUE_WEIGHT}, 3) AS score
+FROM wanted w JOIN cells c ON w.key = c.key GROUP BY ALL"""
 
 
 def _operation_rows() -> str:
@@ -840,6 +858,9 @@ SELECT benchmark, case_id, mode, dialect, question FROM (
 ORACLES["canonical_names"] = """
 SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'bird-mini-dev' WHEN 1 THEN 'spider2-dbt' WHEN 2 THEN 'all' WHEN 3 THEN 'defog-sql-eval' WHEN 4 THEN 'kaggledbqa' END AS benchmark FROM events"""
 ORACLES["safe_case_ids"] = "SELECT page_id, left(trim(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), 140) AS safe_id FROM pages"
+ORACLES["long_case_ids"] = """
+SELECT 'bird-mini-dev' AS benchmark, left(html, 300) AS case_id, left(trim(regexp_replace(left(html, 300), '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), 140) AS safe_id,
+  count(*) AS pages, sum(length(url))::BIGINT AS predicted_chars FROM pages GROUP BY left(html, 300)"""
 ORACLES["safe_id_collisions"] = """
 SELECT 'web' AS benchmark, safe_id, count(*) AS cases FROM (
   SELECT left(trim(regexp_replace(array_to_string(string_split(url, '/')[1:3], '/'), '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), 140) AS safe_id FROM pages) GROUP BY safe_id HAVING count(*) > 1"""
@@ -847,7 +868,8 @@ ORACLES["task_texts"] = f"""
 WITH f AS (SELECT 't' || conv_id AS task, CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN 'README.md' WHEN turn = 1 AND conv_id % 3 = 1 THEN 'instruction.txt'
     WHEN turn % 2 = 0 THEN 'n' || turn || '.md' ELSE 'n' || turn || '.txt' END AS name, CASE WHEN conv_id % 6 = 0 AND turn = 0 THEN '' ELSE {_strip('text')} END AS text FROM conversations),
 k AS (SELECT *, CASE WHEN name = 'README.md' THEN 0 WHEN name = 'instruction.txt' THEN 2 WHEN name LIKE '%.md' THEN 3 ELSE 4 END AS kind FROM f WHERE text <> '')
-SELECT task, string_agg('# ' || name || chr(10) || left(text, 6000), chr(10) || chr(10) ORDER BY name) AS question FROM k
+SELECT task, string_agg('# ' || name || chr(10) || text, chr(10) || chr(10) ORDER BY name) AS question,
+  string_agg('# ' || name || chr(10) || left(text, 6000), chr(10) || chr(10) ORDER BY name) AS shortened, sum(greatest(length(text) - 6000, 0))::BIGINT AS chars_cut FROM k
 WHERE kind = (SELECT min(kind) FROM k o WHERE o.task = k.task) GROUP BY task"""
 ORACLES["picked_databases"] = """
 SELECT 'db' || c_custkey AS db_id, CASE WHEN c_custkey % 2 = 0 THEN 'databases/db' || c_custkey || '/db' || c_custkey || '.sqlite' WHEN c_custkey % 3 = 0 THEN 'databases/db' || c_custkey || '.db'
@@ -867,4 +889,22 @@ SELECT 'web/' || page_id AS path, page_id % 9 <> 4 AS "exists", CASE WHEN page_i
 ORACLES["latest_manifest"] = """
 SELECT 'set' || user_id AS name, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, event_id AS setup_at FROM events e
 WHERE event_id = (SELECT max(event_id) FROM events o WHERE o.user_id = e.user_id)"""
+ORACLES["upserted_manifest"] = """
+WITH first AS (SELECT user_id, max(event_id) AS setup_at FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
+second AS (SELECT user_id, max(event_id) AS setup_at FROM events WHERE event_id % 2 = 1 AND event_type <> 'error' GROUP BY user_id),
+broken AS (SELECT user_id, max(event_id) AS setup_at FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT 'set' || coalesce(b.user_id, s.user_id, f.user_id) AS name, CASE WHEN b.user_id IS NOT NULL THEN 'failed' WHEN s.user_id IS NOT NULL THEN 'ready' ELSE 'ok' END AS status,
+  coalesce(b.setup_at, s.setup_at, f.setup_at) AS setup_at, CASE WHEN b.user_id IS NOT NULL THEN 'boom ' || b.user_id END AS error,
+  CASE WHEN b.user_id IS NOT NULL THEN (SELECT count(*) FROM events e WHERE e.user_id = b.user_id AND e.event_type = 'click') END AS files
+FROM first f FULL JOIN second s ON f.user_id = s.user_id FULL JOIN broken b ON coalesce(f.user_id, s.user_id) = b.user_id"""
+ORACLES["raw_case_texts"] = """
+SELECT lang AS run_id, 'case' || doc_id AS case_id, text || CASE WHEN doc_id % 7 = 0 THEN chr(65533) || 'x' ELSE '' END || chr(10) AS text,
+  strlen(text) + 1 + CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END AS bytes, doc_id % 7 = 0 AS repaired, doc_id % 5 <> 0 AS found
+FROM documents WHERE doc_id % 5 <> 0
+UNION ALL SELECT lang, 'case' || doc_id, NULL, NULL, NULL, false FROM documents WHERE doc_id % 5 = 0"""
+ORACLES["gold_lines"] = """
+WITH lines AS (SELECT event_id AS line, user_id, event_id % 10 AS kind FROM events)
+SELECT 'task' || user_id AS instance_id, 'gold' || max(line) AS gold, (SELECT count(*) FROM lines WHERE kind = 3) AS broken_lines,
+  (SELECT count(*) FROM lines WHERE kind IN (4, 5)) AS incomplete_lines
+FROM lines WHERE kind NOT IN (3, 4, 5) GROUP BY user_id"""
 ORACLES["run_index"] = "SELECT event_type AS benchmark, 'generic-sql' AS method, count(*) AS entries, count(DISTINCT user_id) AS models FROM events GROUP BY event_type"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import sqltext, text
-from assayer.operators import cost, evaluate, joins, leak, linking, plan, prompts, provenance, report, scan, slots, suites, verify
+from assayer.operators import cost, evaluate, joins, leak, linking, plan, prompts, provenance, report, scan, slots, suites, values, verify
 from assayer.plans import suite, workload
 from assayer.rules import retail
 from assayer.session import guard, work_folder
@@ -184,6 +184,12 @@ def model_leaderboard(spark, sf_dir):
     return _rounded(report.roll_up_models(_report(spark, sf_dir)))
 
 
+@query
+def model_rollup(spark, sf_dir):
+    """Runs added up per model and benchmark, per model, and altogether."""
+    return _rounded(report.roll_up_levels(_report(spark, sf_dir), "model", "benchmark"))
+
+
 @query
 def dataset_winners(spark, sf_dir):
     return report.dataset_winners(_report(spark, sf_dir)).select("benchmark", "run_id", "exact_matches", "prediction_error_count")
@@ -487,6 +493,21 @@ def table_scores(spark, sf_dir):
     return linking.table_scores(*_linking(spark, sf_dir))
 
 
+def _value_sources(spark: SparkSession, sf_dir: str):
+    return {name: (workload.table(spark, sf_dir, name), columns) for name, columns in workload.EXAMPLE_COLUMNS.items()}
+
+
+@query
+def value_hits(spark, sf_dir):
+    found = values.value_hits(workload.questions(spark, sf_dir), _value_sources(spark, sf_dir))
+    return found.select("question_id", "key", "table", "column", "rows")
+
+
+@query
+def value_scores(spark, sf_dir):
+    return values.value_scores(workload.questions(spark, sf_dir), _value_sources(spark, sf_dir))
+
+
 @query
 def table_topk(spark, sf_dir):
     found = linking.table_candidates(*_linking(spark, sf_dir), top_k=5)
@@ -803,6 +824,20 @@ def safe_case_ids(spark, sf_dir):
     return pages.select("page_id", cases.safe_case_id(F.col("url")).alias("safe_id"))
 
 
+@query
+def long_case_ids(spark, sf_dir):
+    """Cases keyed by long raw ids, many of them equal in their first 140 characters, joined with predictions by the raw id."""
+    pages = workload.table(spark, sf_dir, "pages").select(F.left("html", F.lit(300)).alias("case_id"), "url")
+    rows = pages.select("case_id").distinct().withColumn("pos", F.lit(0))
+    return (
+        cases.normalize_cases(rows, "bird-mini-dev")
+        .select("benchmark", "case_id", "safe_id")
+        .join(pages, "case_id")
+        .groupBy("benchmark", "case_id", "safe_id")
+        .agg(F.count("*").alias("pages"), F.sum(F.length("url")).alias("predicted_chars"))
+    )
+
+
 @query
 def safe_id_collisions(spark, sf_dir):
     pages = workload.table(spark, sf_dir, "pages").select(
@@ -883,6 +918,57 @@ def latest_manifest(spark, sf_dir):
     return artifacts.latest_manifest(records)
 
 
+@query
+def upserted_manifest(spark, sf_dir):
+    """Two rounds of setups and one of failures, each put in place of the records of its names."""
+    path = work_folder(spark, "manifest")
+    events = workload.table(spark, sf_dir, "events")
+    name = F.concat(F.lit("set"), F.col("user_id").cast("string")).alias("name")
+    record = lambda rows, status: rows.select(name, F.lit(status).alias("status"), F.col("event_id").alias("setup_at"))
+    artifacts.upsert_manifest(record(events.where("event_id % 2 = 0"), "ok"), path)
+    artifacts.upsert_manifest(record(events.where("event_id % 2 = 1 AND event_type <> 'error'"), "ready"), path)
+    failed = events.where("event_type = 'error'").groupBy("user_id").agg(F.max("event_id").alias("setup_at"))
+    folder = F.concat(F.lit("data/set"), F.col("user_id").cast("string"))
+    errors = failed.select(name, F.concat(F.lit("boom "), F.col("user_id").cast("string")).alias("error"), "setup_at")
+    listing = events.where("event_type = 'click'").select(F.concat(folder, F.lit("/e"), F.col("event_id").cast("string")).alias("path"), F.lit(1).alias("bytes"))
+    sources = failed.select(name, F.lit("git").alias("type"), folder.alias("path"))
+    artifacts.upsert_manifest(artifacts.failure_records(sources, listing, errors), path)
+    return artifacts.read_manifest(spark, path).select("name", "status", "setup_at", "error", F.col("artifacts")[0]["files"].alias("files"))
+
+
+@query
+def raw_case_texts(spark, sf_dir):
+    """A file per document, some with bytes that are no text and some absent, read back per case."""
+    folder = work_folder(spark, "texts")
+    docs = workload.table(spark, sf_dir, "documents")
+    case = F.concat(F.lit("case"), F.col("doc_id").cast("string"))
+    broken = F.when(F.col("doc_id") % 7 == 0, F.expr("CAST(X'FF78' AS STRING)")).otherwise("")
+    files = docs.where("doc_id % 5 <> 0").select(F.col("lang").alias("run"), case.alias("case"), F.concat("text", broken).alias("value"))
+    files.write.partitionBy("run", "case").text(folder)
+    expected = docs.select(F.concat(F.lit("run="), "lang").alias("run_id"), F.concat(F.lit("case="), case).alias("case_id"))
+    read = artifacts.read_case_files(spark, folder, "*.txt", expected)
+    plain = lambda name: F.regexp_replace(name, "^[a-z]+=", "").alias(name)
+    return read.select(plain("run_id"), plain("case_id"), "text", "bytes", "repaired", "found")
+
+
+@query
+def gold_lines(spark, sf_dir):
+    """Gold names of JSON lines written from events, every tenth broken and two in ten incomplete."""
+    folder = work_folder(spark, "gold")
+    key = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
+    gold = lambda value: F.struct(F.struct(value.alias("gold")).alias("parameters"))
+    line = lambda value: F.to_json(F.struct(key("task", "user_id").alias("instance_id"), gold(value).alias("evaluation")))
+    kind = F.col("event_id") % 10
+    value = F.when(kind == 3, "{bad").when(kind == 4, F.to_json(F.struct(key("task", "user_id").alias("instance_id"))))
+    lines = workload.table(spark, sf_dir, "events").select("event_id", value.when(kind == 5, line(F.lit(""))).otherwise(line(key("gold", "event_id"))).alias("value"))
+    lines.orderBy("event_id").select("value").write.text(folder)
+    read = artifacts.read_gold_lines(spark, folder)
+    counts = read.agg(F.count_if(F.expr("state = 'broken'")).alias("broken_lines"), F.count_if(F.expr("state = 'incomplete'")).alias("incomplete_lines"))
+    names = artifacts.read_gold_names(spark, folder)
+    # one row of counts stands beside every name
+    return names.select("*", *[counts.select(c).scalar().alias(c) for c in ("broken_lines", "incomplete_lines")])
+
+
 @query
 def run_index(spark, sf_dir):
     """Index entries appended in two batches and read back as JSON lines."""

@@ -2,7 +2,7 @@
 
 CASE = (
     "case_id string, benchmark string, mode string, dialect string, question string, gold_sql string, db_id string, "
-    "db_path string, schema_text string, evidence string, metadata map<string,string>"
+    "db_path string, schema_text string, evidence string, metadata map<string,string>, safe_id string"
 )
 CASE_COLUMNS = [field.split()[0] for field in CASE.replace("map<string,string>", "map").split(", ")]
 PUBLIC_CASE_COLUMNS = ["case_id", "benchmark", "mode", "dialect", "question", "db_id", "db_path", "evidence"]

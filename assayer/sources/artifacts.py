@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer import schemas
+from assayer.session import materialize
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
@@ -57,19 +60,50 @@ def read_case_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
-def read_gold_names(spark: SparkSession, path: str) -> DataFrame:
-    """Gold database per task of a JSON-lines file; broken and incomplete lines are skipped, later lines win.
+def read_case_files(spark: SparkSession, folder: str, name: str, expected: DataFrame) -> DataFrame:
+    """Texts of ``expected(run_id, case_id)`` from files of any bytes: ``(run_id, case_id, text, bytes, repaired, found)``.
+
+    Bytes that are no UTF-8 become replacement characters, and ``repaired`` says so; a case without file, or with an empty one, has no text.
+    Small files are packed into tasks by their sizes; a file larger than a task's share is read by one task.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
+    text = F.col("content").cast("string")
+    read = raw.select(
+        F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1).alias("run_id"),
+        _parent(F.col("path")).alias("case_id"),
+        F.make_valid_utf8(text).alias("text"),
+        F.col("length").alias("bytes"),
+        (~F.is_valid_utf8(text)).alias("repaired"),
+    )
+    return expected.join(read, ["run_id", "case_id"], "left").withColumn("found", F.col("text").isNotNull())
+
 
-    Lines are numbered by reading order within the file, which one pass over increasing ids keeps.
+def read_gold_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of JSON-lines files: ``(place, instance_id, gold, state)``, state ``used``, ``incomplete`` or ``broken``.
+
+    ``place`` orders lines by file, by where the split that holds them starts, and by their order in the split, so it
+    does not depend on how the files were split. Blank lines are none.
     """
-    rows = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("line"),
-        F.get_json_object("value", "$.instance_id").alias("instance_id"),
-        F.get_json_object("value", "$.evaluation.parameters.gold").alias("gold"),
-        F.try_parse_json("value").isNotNull().alias("valid"),
+    schema = "instance_id string, evaluation struct<parameters:struct<gold:string>>, _broken string"
+    raw = spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
+    gold = F.col("evaluation.parameters.gold")
+    whole = (F.coalesce("instance_id", F.lit("")) != "") & (F.coalesce(gold, F.lit("")) != "")
+    return raw.select(
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("line"),
+        ).alias("place"),
+        "instance_id",
+        gold.alias("gold"),
+        F.when(F.col("_broken").isNotNull(), "broken").when(whole, "used").otherwise("incomplete").alias("state"),
     )
-    usable = rows.filter("valid AND instance_id <> '' AND gold <> ''")
-    return usable.groupBy("instance_id").agg(F.max_by("gold", "line").alias("gold"))
+
+
+def read_gold_names(spark: SparkSession, path: str) -> DataFrame:
+    """Gold database per task of JSON-lines files; broken and incomplete lines are skipped, later lines win."""
+    used = read_gold_lines(spark, path).where("state = 'used'")
+    return used.groupBy("instance_id").agg(F.max_by("gold", "place").alias("gold"))
 
 
 def append_run_index(entries: DataFrame, path: str) -> None:
@@ -88,6 +122,47 @@ def latest_manifest(records: DataFrame) -> DataFrame:
     return records.withColumn("_place", F.row_number().over(latest)).filter("_place = 1").drop("_place")
 
 
+#: One row per set up or failed benchmark.
+MANIFEST = (
+    "name string, status string, setup_at bigint, error string, "
+    "artifacts array<struct<path:string,type:string,exists:boolean,files:bigint,bytes:bigint>>"
+)
+MANIFEST_BUCKETS = 64
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The records of an upserted manifest, one per name."""
+    return spark.read.schema(MANIFEST).parquet(path).select(*_fields(MANIFEST))
+
+
+def _fields(schema: str) -> list[str]:
+    return T.StructType.fromDDL(schema).fieldNames()
+
+
+def upsert_manifest(records: DataFrame, path: str) -> None:
+    """Put records in place of those of the same names; of several with one name the last by ``setup_at`` counts.
+
+    The manifest is kept in buckets of names. Only buckets of the new names are read and written anew, by dynamic
+    partition overwrite; failures are records like others. Columns that records lack are null.
+    """
+    spark = records.sparkSession
+    kinds = T.StructType.fromDDL(MANIFEST)
+    own = [(F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]
+    bucket = F.pmod(F.hash("name"), F.lit(MANIFEST_BUCKETS)).alias("bucket")
+    new = materialize(latest_manifest(records.select(*own)).select("*", bucket), "records")
+    # bucket numbers, of bounded number
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+    try:
+        old = spark.read.schema(f"{MANIFEST}, bucket int").parquet(path).where(F.col("bucket").isin(touched))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = new.limit(0)
+    # written aside first: a bucket is not read while it is replaced
+    merged = materialize(new.unionByName(old.join(new.select("name"), "name", "left_anti")), "manifest")
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def failure_records(spec_sources: DataFrame, listing: DataFrame, errors: DataFrame) -> DataFrame:
     """Failed setup records with the state of each artifact.
 

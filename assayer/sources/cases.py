@@ -21,6 +21,7 @@ DATABASE_NAMES = ["db_name", "db_id", "database", "schema", "database_name"]
 # fixed values: files that describe a task, the first kind with text counts
 TASK_FILES = [r"README\.md", r"question\.txt", r"instruction\.txt", r".*\.md", r".*\.txt"]
 TASK_TEXT_CHARS = 6000
+SAFE_ID_CHARS = 140
 
 
 def canonical_name(name: Column) -> Column:
@@ -31,8 +32,9 @@ def canonical_name(name: Column) -> Column:
 
 
 def safe_case_id(value: Column) -> Column:
+    """An id as a file name, cut to its first characters: cases may share it, so it is a label and no key."""
     cleaned = F.regexp_replace(value, "[^A-Za-z0-9_.-]+", "_")
-    return F.left(F.regexp_replace(cleaned, "^_+|_+$", ""), F.lit(140))
+    return F.left(F.regexp_replace(cleaned, "^_+|_+$", ""), F.lit(SAFE_ID_CHARS))
 
 
 def case_id_collisions(cases: DataFrame) -> DataFrame:
@@ -46,9 +48,12 @@ def benchmarks(spark: SparkSession) -> DataFrame:
 
 
 def normalize_cases(rows: DataFrame, benchmark: str) -> DataFrame:
-    """Rows with ``pos`` and any of the case columns as full cases; what is missing is empty text."""
+    """Rows with ``pos`` and any of the case columns as full cases; what is missing is empty text.
+
+    The raw id stays the case's key, however long; ``safe_id`` is its form as a file name.
+    """
     mode, dialect = next((m, d) for name, _, m, d in vocab.BENCHMARKS if name == benchmark)
-    fixed = {"benchmark": F.lit(benchmark), "mode": F.lit(mode)}
+    fixed = {"benchmark": F.lit(benchmark), "mode": F.lit(mode), "safe_id": safe_case_id(F.col("case_id"))}
 
     def column(name: str) -> Column:
         if name in fixed:
@@ -59,8 +64,7 @@ def normalize_cases(rows: DataFrame, benchmark: str) -> DataFrame:
         default = F.lit(dialect if name == "dialect" else "")
         return F.coalesce(F.col(name), default) if name in rows.columns else default
 
-    safe = safe_case_id(F.col("case_id"))
-    return rows.withColumn("case_id", safe).select("pos", *[column(name).alias(name) for name in CASE_COLUMNS])
+    return rows.select("pos", *[column(name).alias(name) for name in CASE_COLUMNS])
 
 
 def _first_text(*values: Column) -> Column:
@@ -179,25 +183,36 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def task_texts(files: DataFrame) -> DataFrame:
-    """Task descriptions from ``files(task, name, text)``: the first kind of file that has any text, in name order."""
+    """Task descriptions from ``files(task, name, text)``: the first kind of file that has any text, in name order.
+
+    ``question`` holds the texts whole; ``shortened`` holds the first ``TASK_TEXT_CHARS`` characters of each, as prompts
+    of bounded length take them, and ``chars_cut`` how many characters that leaves out.
+    """
     kind = F.coalesce(*[F.when(F.col("name").rlike(f"^{pattern}$"), i) for i, pattern in enumerate(TASK_FILES)])
     usable = files.select("task", "name", strip(F.col("text")).alias("text"), kind.alias("kind")).filter(
         "text <> '' AND kind IS NOT NULL"
     )
     best = usable.groupBy("task").agg(F.min("kind").alias("best"))
     chosen = usable.join(best, "task").filter("kind = best")
-    chunk = F.concat(F.lit("# "), "name", F.lit("\n"), F.left("text", F.lit(TASK_TEXT_CHARS)))
-    return chosen.groupBy("task").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("name", chunk.alias("chunk"))))["chunk"], "\n\n").alias("question")
+    chunk = lambda text: F.concat(F.lit("# "), F.col("name"), F.lit("\n"), text)
+    files_of = F.array_sort(
+        F.collect_list(F.struct("name", chunk(F.col("text")).alias("whole"), chunk(F.left("text", F.lit(TASK_TEXT_CHARS))).alias("short")))
+    )
+    cut = F.sum(F.greatest(F.length("text") - TASK_TEXT_CHARS, F.lit(0)))
+    return chosen.groupBy("task").agg(files_of.alias("files"), cut.alias("chars_cut")).select(
+        "task",
+        F.array_join("files.whole", "\n\n").alias("question"),
+        F.array_join("files.short", "\n\n").alias("shortened"),
+        "chars_cut",
     )
 
 
 def read_task_cases(tasks: DataFrame, files: DataFrame, mirror_files: DataFrame | None = None) -> DataFrame:
     """Agentic cases per task folder: ``tasks(task)``; its own texts, else its mirror's, else a plain sentence."""
-    own = task_texts(files).withColumnRenamed("question", "own")
+    own = task_texts(files).select("task", F.col("question").alias("own"))
     joined = tasks.select("task").distinct().join(own, "task", "left")
     if mirror_files is not None:
-        joined = joined.join(task_texts(mirror_files).withColumnRenamed("question", "mirror"), "task", "left")
+        joined = joined.join(task_texts(mirror_files).select("task", F.col("question").alias("mirror")), "task", "left")
     else:
         joined = joined.withColumn("mirror", F.lit(None).cast("string"))
     databases = (

@@ -60,8 +60,8 @@ def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def text_hash(text: Column) -> Column:
-    """A non-negative hash of a text."""
-    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    """A non-negative hash of a text; NULL has none."""
+    return F.when(text.isNotNull(), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
 
 
 def portable_text_hash(text: Column) -> Column:
