@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 
-#: Words kept per worker (about 200 bytes each); the table is emptied when full, so memory is bounded whatever the
-#: corpus holds.
+#: Words kept per worker (about 200 bytes each). A full table keeps the words met again since the last time, half of it at
+#: most, so common words stay known and memory is bounded whatever the corpus holds.
 MEMO_WORDS = 700_000
 #: The id that ends a document.
 END_ID = 0
@@ -61,6 +62,20 @@ class Encoder:
         self.used = 0
         self.starts = np.zeros(1 << 17, np.int64)
         self.sizes = np.zeros(1 << 17, np.int64)
+        # words met in a later group of texts than their first one
+        self.again = np.zeros(1 << 17, bool)
+
+    def _turn(self) -> None:
+        """Keep the words met again, and forget all others."""
+        keep = np.flatnonzero(self.again[: self.known])[: MEMO_WORDS // 2]
+        names = list(self.memo)
+        sizes, starts = self.sizes[keep], self.starts[keep]
+        real = np.maximum(sizes, 0)
+        ends = np.cumsum(real)
+        ids = self.flat[np.repeat(starts - (ends - real), real) + np.arange(real.sum())]
+        self.forget()
+        self.memo.update((names[i], n) for n, i in enumerate(keep.tolist()))
+        self._append(ids, sizes)
 
     def pieces(self, text: str) -> list[str]:
         if self.glued:  # the first word stands behind a line end of its own, which is dropped again
@@ -71,50 +86,71 @@ class Encoder:
         body = word[1:] if self.glued and word[:1] == "\n" else word
         return self.glued and (not body or body[0].isspace() or body[-1].isspace()) or "\x01" in body
 
-    def _alone(self, stems: list[str]) -> dict[str, np.ndarray]:
-        """Ids of words, all encoded in one text with marks between them."""
-        out = {}
-        if plain := [w for w in stems if w and not (self.glued and w[0] == "\n")]:
+    def _alone(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, all encoded in one text with marks between them: the ids, and each word's start and size in them."""
+        starts, sizes = np.zeros(len(stems), np.int64), np.zeros(len(stems), np.int64)
+        line = np.fromiter((self.glued and w[:1] == "\n" for w in stems), bool, len(stems))
+        empty = np.fromiter((not w for w in stems), bool, len(stems))
+        plain, lines = np.flatnonzero(~line & ~empty), np.flatnonzero(line)
+        parts = [np.zeros(0, np.uint32)]
+        if len(plain):
             lead = " " if self.glued else ""
-            ids = np.array(self.whole(self.between.join([lead + w for w in plain])), np.uint32)
+            ids = np.array(self.whole(self.between.join([lead + stems[i] for i in plain.tolist()])), np.uint32)
             cuts = np.flatnonzero(ids == self.mark)
             assert len(cuts) == len(plain) - 1
-            out |= zip(plain, np.split(np.delete(ids, cuts), cuts - np.arange(len(cuts))), strict=True)
-        if lines := [w for w in stems if self.glued and w[:1] == "\n"]:
-            ids = np.array(self.whole("".join(lines)), np.uint32)
+            edges = np.concatenate([[0], cuts + 1, [len(ids) + 1]])
+            starts[plain], sizes[plain] = edges[:-1], np.diff(edges) - 1
+            parts.append(ids)
+        if len(lines):
+            ids = np.array(self.whole("".join([stems[i] for i in lines.tolist()])), np.uint32)
             cuts = np.flatnonzero(ids == self.mark)
             assert len(cuts) == len(lines)
-            out |= zip(lines, np.split(ids, cuts[1:]), strict=True)
-        return out
+            starts[lines], sizes[lines] = cuts + sum(map(len, parts)), np.diff(np.append(cuts, len(ids)))
+            parts.append(ids)
+        return np.concatenate(parts), starts, sizes
 
     def _learn(self) -> None:
-        """Note the ids of all words met for the first time."""
+        """Note the ids of all words met for the first time; a full stop or comma behind a letter has ids of its own."""
         new, self.memo.new = self.memo.new, []
-        stem = {w: w[:-1] if len(w) > 1 and w[-1] in self.stops and w[-2].isalpha() else w for w in new}
-        odd = {w for w in new if self._odd(w)}
-        fresh = {s for w, s in stem.items() if w not in odd}
-        known = {s: self.memo[s] for s in fresh if s in self.memo}
-        known = {s: self.flat[(a := self.starts[i]) : a + self.sizes[i]] for s, i in known.items() if i < self.known}
-        alone = self._alone(sorted(fresh - known.keys())) | known
-        none = np.zeros(0, np.uint32)
-        parts, sizes = [], []
+        number, known, used = self.memo.get, self.known, self.used
+        fresh: dict[str, int] = {}
+        source, stop = [], []
         for w in new:
-            if w in odd:
-                sizes.append(-1)
+            cut = len(w) > 1 and w[-1] in self.stops and w[-2].isalpha()
+            if self._odd(w):
+                source.append(-1)
+                stop.append("")
                 continue
-            got = alone.get(s := stem[w], none)
-            parts.append(got)
-            if s is not w:
-                parts.append(self.stops[w[-1]])
-            sizes.append(len(got) + (len(self.stops[w[-1]]) if s is not w else 0))
-        ids = np.concatenate([none, *parts]).astype(np.uint32)
-        n, k = self.used + len(ids), self.known + len(new)
+            stem = w[:-1] if cut else w
+            i = number(stem, known)
+            source.append(i if i < known and self.sizes[i] >= 0 else known + fresh.setdefault(stem, len(fresh)))
+            stop.append(w[-1] if cut else "")
+        ids, starts, sizes = self._alone(list(fresh))
+        # a last entry stands for words that are encoded with their whole text
+        starts = np.concatenate([self.starts[:known], used + starts, [0]])
+        sizes = np.concatenate([self.sizes[:known], sizes, [0]])
+        source = np.array(source, np.int64)
+        start, size = starts[source], sizes[source]
+        ends = {c: np.flatnonzero(np.array([x == c for x in stop], bool)) for c in self.stops}
+        whole = size.copy()
+        for c, at in ends.items():
+            whole[at] += len(self.stops[c])
+        after = np.cumsum(whole)
+        into = np.zeros(int(after[-1]), np.uint32)
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        into[np.repeat(after - whole, size) + within] = np.concatenate([self.flat[:used], ids])[np.repeat(start, size) + within]
+        for c, at in ends.items():
+            for k, i in enumerate(self.stops[c]):
+                into[after[at] - len(self.stops[c]) + k] = i
+        self._append(into, np.where(source < 0, -1, whole))
+
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, k = self.used + len(ids), self.known + len(sizes)
         while n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.starts, self.sizes, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.again))
         self.flat[self.used : n] = ids
-        sizes = np.array(sizes, np.int64)
         real = np.maximum(sizes, 0)
         self.sizes[self.known : k] = sizes
         self.starts[self.known : k] = self.used + np.cumsum(real) - real
@@ -123,13 +159,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text, without end ids."""
         if self.known > MEMO_WORDS:
-            self.forget()
+            self._turn()
         split = [self.pieces(t) for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(ps) for ps in split])]).astype(np.int64)
         find = self.memo.__getitem__
-        at = np.fromiter((i for ps in split for i in map(find, ps)), np.int64, int(bounds[-1]))
+        at = np.fromiter(map(find, chain.from_iterable(split)), np.int64, int(bounds[-1]))
+        known = self.known
         if self.memo.new:
             self._learn()
+        self.again[at[at < known]] = True
         sizes = self.sizes[at]
         bad = sizes < 0
         spoilt = np.add.reduceat(bad, bounds[:-1]) > 0 if bad.any() else np.zeros(len(texts), bool)
