@@ -343,7 +343,7 @@ SELECT path, line FROM direct_found QUALIFY row_number() OVER (PARTITION BY path
 ORACLES["lifecycle_scripts"] = f"WITH {_FINDINGS} SELECT path, rule, severity FROM package_found"
 ORACLES["scan_rule_counts"] = f"WITH {_FINDINGS} SELECT rule, severity, count(*) AS findings FROM found GROUP BY rule, severity"
 ORACLES["scan_capped"] = f"""WITH {_FINDINGS}
-SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY rule ORDER BY string_split(path, '/'), line) <= 20"""
+SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY rule ORDER BY string_split(path, '/'), line) <= 100"""
 ORACLES["scan_verdict"] = f"""WITH {_FINDINGS}
 SELECT count(*) AS findings, count(*) FILTER {_BLOCKS.replace('(severity', '(WHERE severity', 1)} AS blocking_findings, bool_or{_BLOCKS} AS blocking FROM found"""
 _SETUP_RULES = [
@@ -373,7 +373,7 @@ ORACLES["archive_findings"] = f"""WITH {_ARCHIVES}
 SELECT path, 'invalid_zip' AS rule, CASE WHEN active_artifact THEN 'high' ELSE 'medium' END AS severity, active_artifact AS blocking FROM archive_rows WHERE NOT valid_zip
 UNION ALL SELECT path, 'zip_slip', 'critical', true FROM archive_rows WHERE zip_slip_members > 0"""
 ORACLES["archive_scripts"] = f"""WITH {_MEMBER}
-SELECT path, member FROM members WHERE {_SCRIPT} QUALIFY row_number() OVER (PARTITION BY path ORDER BY pos) <= 3"""
+SELECT path, member FROM members WHERE {_SCRIPT} QUALIFY row_number() OVER (PARTITION BY path ORDER BY pos) <= 50"""
 
 # --- text features ----------------------------------------------------------------------------------------------------------
 
@@ -535,7 +535,7 @@ matched AS MATERIALIZED (
   FROM top t JOIN name_score s ON s.id = t.id JOIN names n ON n.id = s.nid AND n.tbl = t.tbl AND n.idx >= 0 GROUP BY t.id, t.tbl)"""
 ORACLES["table_topk"] = f"""WITH {_LINK}, {_EVIDENCE}
 SELECT t.id AS question_id, rank, t.tbl AS "table", score, coalesce(listed, '') AS matched_columns, array_to_string(texts, ' | ') AS evidence
-FROM top t JOIN evidence e ON e.id = t.id AND e.tbl = t.tbl LEFT JOIN matched m ON m.id = t.id AND m.tbl = t.tbl WHERE rank <= 5"""
+FROM top t JOIN evidence e ON e.id = t.id AND e.tbl = t.tbl LEFT JOIN matched m ON m.id = t.id AND m.tbl = t.tbl WHERE rank <= 12"""
 _SEARCH = f"""tables AS (SELECT tbl AS id, tbl || ' ' || string_agg(col, ' ' ORDER BY idx) AS txt FROM catalog GROUP BY tbl),
 {_search_rows('q', 'asked')}, {_search_rows('t', 'tables')},
 spoken AS (SELECT tbl, replace(lower(col), '_', ' ') AS phrase, 3 AS points FROM catalog UNION ALL SELECT DISTINCT tbl, replace(lower(tbl), '_', ' '), 8 FROM catalog),
@@ -835,7 +835,7 @@ _SEARCH_HEAD = [
     "When a table name directly matches words in the question, treat it as strong evidence and compare it against broader hierarchy/summary tables before choosing joins.",
 ]
 ORACLES["tool_context"] = f"""WITH {_CASES}, {_QUESTIONS}, {_CATALOG}, {_SEARCH},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tbl) AS rank FROM searched QUALIFY rank <= 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tbl) AS rank FROM searched QUALIFY rank <= 8),
 cols AS (SELECT tbl, string_agg(col, ', ' ORDER BY idx) AS listed FROM catalog GROUP BY tbl),
 ctx AS (SELECT id, {_text(chr(10).join(_SEARCH_HEAD))} || chr(10) || string_agg('Table name: ' || r.tbl || chr(10) || 'Columns: ' || listed || chr(10) || 'Schema search score: ' || score
   || '; direct table-name phrase match: ' || CASE WHEN phrase_match THEN 'True' ELSE 'False' END, chr(10) ORDER BY rank) AS context FROM ranked r JOIN cols USING (tbl) GROUP BY id)

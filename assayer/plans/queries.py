@@ -346,7 +346,7 @@ def scan_rule_counts(spark, sf_dir):
 
 @query
 def scan_capped(spark, sf_dir):
-    return scan.capped_findings(scan.audit_findings(_files(spark, sf_dir)), per_rule=20)
+    return scan.capped_findings(scan.audit_findings(_files(spark, sf_dir)), per_rule=100)
 
 
 @query
@@ -390,7 +390,7 @@ def archive_findings(spark, sf_dir):
 
 @query
 def archive_scripts(spark, sf_dir):
-    return scan.listed_members(workload.derive(spark, sf_dir, workload.MEMBERS), per_archive=3)
+    return scan.listed_members(workload.derive(spark, sf_dir, workload.MEMBERS), per_archive=50)
 
 
 # --- text features -----------------------------------------------------------------------------------------------------
@@ -510,7 +510,7 @@ def value_scores(spark, sf_dir):
 
 @query
 def table_topk(spark, sf_dir):
-    found = linking.table_candidates(*_linking(spark, sf_dir), top_k=5)
+    found = linking.table_candidates(*_linking(spark, sf_dir))
     columns = F.transform("matched_columns", lambda m: F.concat_ws(":", m["column"], F.format_string("%.1f", m["score"])))
     return found.select(
         "question_id", "rank", "table", "score", _joined(columns).alias("matched_columns"), _joined("evidence", " | ").alias("evidence")
@@ -748,7 +748,7 @@ def schema_ledger(spark, sf_dir):
 def tool_context(spark, sf_dir):
     """Schema-search results appended to prompts built from the same questions."""
     built = prompts.prompt_messages(_prompted(spark, sf_dir))
-    found = linking.schema_search(workload.questions(spark, sf_dir), workload.catalog(spark, sf_dir), top_k=2)
+    found = linking.schema_search(workload.questions(spark, sf_dir), workload.catalog(spark, sf_dir))
     contexts = prompts.search_context(found).select(
         F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("chat_id"), "context"
     )
@@ -772,7 +772,7 @@ def case_sources(spark, sf_dir):
         F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.struct("question_id", item.alias("item"))))["item"], ","), F.lit("]")).alias("value")
     )
     arrays.select("value").repartition(4).write.text(f"{folder}/json", lineSep="\n")
-    numbered.select(F.col("question").alias("Prompt"), F.col("sql").alias("Gold"), F.lit("retail").alias("db_name")).coalesce(1).write.csv(
+    numbered.select(F.col("question").alias("Prompt"), F.col("sql").alias("Gold"), F.lit("retail").alias("db_name")).write.csv(
         f"{folder}/csv", header=True, escape='"', quoteAll=True
     )
     lines = spark.read.text(f"{folder}/json").select(F.explode(F.from_json("value", "array<string>")).alias("item"))
