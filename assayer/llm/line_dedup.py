@@ -1,4 +1,4 @@
-"""Removal of repeated passages by runs of whole lines."""
+"""Removal of repeated passages by content-defined chunks of lines."""
 
 from __future__ import annotations
 
@@ -11,16 +11,24 @@ from assayer.llm.common import SEPARATORS, WORD, materialize
 LONG_LINE = 25
 #: Fewest words of a passage that is removed when it repeats.
 MIN_WORDS = 10
+#: A key with more than one in so many of all rows is split; there are fewer such keys than this.
+HEAVY = 4096
 
 
-def with_windows(docs: DataFrame, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> DataFrame:
-    """Add ``_windows``, an array of ``(first, n_lines, hash)``: all shortest runs of lines of a text that count.
+def with_chunks(docs: DataFrame, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> DataFrame:
+    """Add ``_chunks``, an array of ``(place, anchor, hash)``, to ``docs(text, ...)``: the chunks around each boundary.
 
-    A run counts with at least ``min_words`` words in two lines and more, or in one of ``long_line`` words. From each
-    line with words the shortest such run that begins there is taken, and the shortest that ends there. What is shortest
-    follows from the run's own lines, so a copy has the same runs wherever it stands; and of a longer run that counts,
-    the shortest run from its first line and those that end behind cover every line with words. Of a line without words,
-    only one next to a single line belongs to a run that begins or ends with it.
+    Between each two adjacent lines stands a rolling hash: that of the line before, turned by one bit, XOR that of the
+    line behind. A run of lines counts with at least ``min_words`` words in two lines and more, or in one of
+    ``long_line`` words. In each shortest run that counts, from a line with words on or up to one, the place with the
+    least rolling hash is a boundary (its anchor); a long line is its own. So boundaries are local minima, as dense as
+    runs are short; each follows from the run's own lines, so a passage has the same ones wherever it stands; and every
+    repeated run that counts holds one. The chunk is the run around its boundary.
+
+    Of a longer run that counts, the shortest one from its first line and those that end behind cover every line with
+    words, which extends a match line by line to both sides. Of a line without words, only one next to a single line
+    belongs to a run that begins or ends with it. Places between two lines without words are never boundaries.
+    ``place`` holds the first line in its upper and the last line in its lower 32 bits.
     """
     most = max(long_line, min_words)
     space, word = SEPARATORS.replace("]+", "]*+"), WORD.replace("]+", "]++")
@@ -28,6 +36,12 @@ def with_windows(docs: DataFrame, long_line: int = LONG_LINE, min_words: int = M
     n_words = lambda x: F.when(x.rlike(rf"\A{space}(?:{word}{space}){{{most}}}"), most).otherwise(F.regexp_count(x, F.lit(WORD)))
     cut = docs.withColumn("_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
     cut = cut.withColumns({"_words": F.transform("_lines", n_words), "_hashes": F.transform("_lines", lambda x: F.xxhash64(x))})
+    # no boundary is between lines without words: least values pass over nulls
+    rolling = F.expr(
+        "transform(_hashes, (h, i) -> CASE WHEN i + 1 < size(_hashes) AND (_words[i] > 0 OR _words[i + 1] > 0) "
+        "THEN (shiftleft(h, 1) | shiftrightunsigned(h, 63)) ^ _hashes[i + 1] END)"
+    )
+    cut = cut.withColumn("_rolling", rolling)
     cut = cut.withColumn("_at", F.expr("filter(transform(_words, (w, i) -> CASE WHEN w > 0 THEN i END), i -> i IS NOT NULL)"))
 
     def ends(near: str, beside: str) -> str:
@@ -47,54 +61,77 @@ def with_windows(docs: DataFrame, long_line: int = LONG_LINE, min_words: int = M
         "filter(array_distinct(concat(transform(_at, (p, k) -> shiftleft(bigint(p), 32) + _ahead[k]), "
         "transform(_at, (p, k) -> shiftleft(bigint(_behind[k]), 32) + p))), w -> w IS NOT NULL)"
     )
-    cut = cut.withColumn("_both", both).withColumn(
-        "_places", F.expr("transform(_both, w -> struct(int(shiftright(w, 32)) AS first, int(w & 4294967295L) - int(shiftright(w, 32)) + 1 AS n_lines))")
-    )
-    windows = F.expr("transform(_places, x -> struct(x.first AS first, x.n_lines AS n_lines, xxhash64(slice(_hashes, x.first + 1, x.n_lines)) AS hash))")
-    return cut.withColumn("_windows", windows).drop("_lines", "_words", "_hashes", "_at", "_ahead", "_behind", "_both", "_places")
+    first, n_lines = "int(shiftright(w, 32))", "(int(w & 4294967295L) - int(shiftright(w, 32)) + 1)"
+    anchor = f"CASE WHEN {n_lines} = 1 THEN _hashes[{first}] ELSE array_min(slice(_rolling, {first} + 1, {n_lines} - 1)) END"
+    chunks = f"transform(_both, w -> struct(w AS place, {anchor} AS anchor, xxhash64(slice(_hashes, {first} + 1, {n_lines})) AS hash))"
+    cut = cut.withColumn("_both", both).withColumn("_chunks", F.expr(chunks))
+    return cut.drop("_lines", "_words", "_hashes", "_rolling", "_at", "_ahead", "_behind", "_both")
+
+
+def _meet(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of many ``rows`` with ``keyed``, one row per key with its count ``n`` of the ``total`` rows.
+
+    A key with more than one in ``HEAVY`` of all rows is dealt over tasks in proportion to its share: its rows draw a
+    number, its keyed row is copied once per number. There are fewer than ``HEAVY`` such keys and ``2 * HEAVY`` copies, so
+    the list of them can be broadcast.
+    """
+    parts = F.ceil(F.col("n") * HEAVY / F.lit(max(total, 1))).cast("int")
+    heavy = keyed.where(F.col("n") * HEAVY > total).select(key, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(heavy), key, "left")
+    part = F.pmod(F.xxhash64("doc_id", "row", "place"), F.coalesce("_parts", F.lit(1))).cast("int")
+    copies = F.when(F.col("n") * HEAVY > total, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    met = dealt.withColumn("_part", part).drop("_parts").join(keyed.withColumn("_part", F.explode(copies)), [key, "_part"])
+    return met.drop("_part", "n")
 
 
 def remove_repeated(docs: DataFrame, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs(doc_id, text, ...)``, with passages removed from ``text`` that stand elsewhere before.
 
     Every run of lines counts that has at least ``min_words`` words in two lines and more, or is one line of
-    ``long_line`` words. Of equal runs the one with the smallest (doc_id, line) stays; every other is removed, with its
-    line ends, if its bytes are equal to that one's. So the first of equal lines always stays, and a longer passage goes
-    whole, from its first line with words to its last, whatever stands around it. ``removed_lines`` counts the lines
-    taken out.
+    ``long_line`` words. Of equal runs the one with the smallest (doc_id, row, line) stays, where ``row`` is a hash of the
+    text; every other is removed, with its line ends, if its bytes are equal to that one's. So the first of equal lines
+    always stays, and a longer passage goes whole, from its first line with words to its last, whatever stands around
+    it. ``removed_lines`` counts the lines taken out.
 
-    Only the shortest runs that count are looked at (see ``with_windows``): their hashes are counted, then those that
-    repeat get their text, and each meets the first of its kind alone, so a passage of a third of all documents is
-    compared row by row.
+    Boundaries chosen by rolling hashes are counted first (see ``with_chunks``); only chunks around those that repeat go
+    on. Of these, chunks with a hash that repeats get their text, and each meets the first of its kind alone, so a
+    passage of a third of all documents is compared row by row, over many tasks.
 
     A null text stays null; a text whose lines all go is empty; equal rows have the same place and keep the same
-    passages; rows with a null doc_id come first and keep their text. An empty table gives no rows; an input column
-    named ``removed_lines`` is replaced.
+    passages; rows with equal doc_id and other texts are told apart by their texts; rows with a null doc_id keep their
+    text and remove nothing. An empty table gives no rows; an input column named ``removed_lines`` is replaced, all
+    others come back as they are, whatever their names.
     """
     narrow = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    cut = with_windows(narrow, long_line, min_words)
     # a plain explode would add a filter on the size of the array, which works it out once more
-    each = cut.select("doc_id", F.explode_outer("_windows").alias("w")).where("w IS NOT NULL").select("doc_id", "w.*")
-    windows = materialize(each, "line-runs")
-    repeated = windows.groupBy("hash").count().where("count > 1").select("hash")
-    held = materialize(windows.join(repeated, "hash"), "repeated-runs")
-    origins = held.groupBy("hash").agg(F.min(F.struct("doc_id", "first")).alias("origin"))
-    at_origin = (F.col("doc_id") == F.col("origin.doc_id")) & (F.col("first") == F.col("origin.first"))
-    placed = held.join(origins, "hash").select("doc_id", F.struct("first", "n_lines", "hash", at_origin.alias("at_origin")).alias("w"))
+    row = F.xxhash64("text").alias("row")
+    each = with_chunks(narrow, long_line, min_words).select("doc_id", row, F.explode_outer("_chunks").alias("c"))
+    chunks = materialize(each.where("c IS NOT NULL").select("doc_id", "row", "c.*"), "line-chunks")
+    anchors = materialize(chunks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "line-anchors")
+    held = materialize(_meet(chunks, anchors, "anchor", chunks.count()).drop("anchor"), "anchored-chunks")
+    first_of = F.min(F.struct("doc_id", "row", "place")).alias("origin")
+    origins = materialize(held.groupBy("hash").agg(F.count("*").alias("n"), first_of).where("n > 1"), "chunk-origins")
+    n_held = held.count()
+    placed = _meet(held, origins, "hash", n_held).withColumn("at_origin", F.expr("struct(doc_id, row, place) = origin")).drop("origin")
     # a document has a bounded number of lines
-    asked = placed.groupBy("doc_id").agg(F.collect_set("w").alias("_asked"))
-    texts = narrow.join(asked, "doc_id").withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    texts = texts.withColumn("_asked", F.expr("transform(_asked, w -> struct(w.first AS first, w.n_lines AS n_lines, w.hash AS hash, w.at_origin AS at_origin, array_join(slice(_lines, w.first + 1, w.n_lines), '\n') AS lines))"))
-    texts = materialize(texts.select("doc_id", F.explode_outer("_asked").alias("w")).select("doc_id", "w.*"), "run-texts")
-    kept = texts.where("at_origin").groupBy("hash").agg(F.min("lines").alias("kept_lines"))
-    gone = texts.where("NOT at_origin").join(kept, "hash").where("lines = kept_lines")
-    per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n_lines")).alias("_gone"))
-    joined = docs.drop("removed_lines").join(per_doc, "doc_id", "left").withColumn("_lines", F.split("text", "\n"))
+    asked = placed.groupBy("doc_id", "row").agg(F.collect_set(F.struct("place", "hash", "at_origin")).alias("_asked"))
+    texts = narrow.withColumn("row", row).join(asked, ["doc_id", "row"]).withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    lines = "array_join(slice(_lines, int(shiftright(w.place, 32)) + 1, int(w.place & 4294967295L) - int(shiftright(w.place, 32)) + 1), '\n')"
+    asked_lines = F.expr(f"transform(_asked, w -> struct(w.place AS place, w.hash AS hash, w.at_origin AS at_origin, {lines} AS lines))")
+    texts = texts.select("doc_id", "row", F.explode_outer(asked_lines).alias("w"))
+    texts = materialize(texts.select("doc_id", "row", "w.*"), "chunk-texts")
+    kept = texts.where("at_origin").groupBy("hash").agg(F.min("lines").alias("kept_lines")).join(origins.select("hash", "n"), "hash")
+    gone = _meet(texts.where("NOT at_origin"), kept, "hash", n_held).where("lines = kept_lines")
+    per_doc = gone.groupBy("doc_id", "row").agg(F.collect_set("place").alias("gone"))
+    # the input's columns travel as one, so that none can clash
+    whole = docs.drop("removed_lines").select(F.struct("*").alias("input"), "doc_id", "text", row)
+    joined = whole.join(per_doc, ["doc_id", "row"], "left").withColumn("lines", F.split("text", "\n"))
     # the removed line numbers, each once, then the lines that are none of them
-    joined = joined.withColumn("_out", F.expr("array_distinct(flatten(transform(_gone, g -> sequence(g.first, g.first + g.n_lines - 1))))"))
+    joined = joined.withColumn("out", F.expr("array_distinct(flatten(transform(gone, g -> sequence(int(shiftright(g, 32)), int(g & 4294967295L)))))"))
     left = F.expr(
-        "CASE WHEN _gone IS NULL THEN text ELSE array_join(transform(array_except(sequence(0, size(_lines) - 1), _out), "
-        "i -> _lines[i]), '\n') END"
+        "CASE WHEN gone IS NULL THEN text ELSE array_join(transform(array_except(sequence(0, size(lines) - 1), out), "
+        "i -> lines[i]), '\n') END"
     )
-    removed = F.when(F.col("_out").isNull(), 0).otherwise(F.size("_out")).cast("long")
-    return joined.select(*(left.alias(c) if c == "text" else c for c in docs.columns if c != "removed_lines"), removed.alias("removed_lines"))
+    removed = F.when(F.col("out").isNull(), 0).otherwise(F.size("out")).cast("long")
+    columns = docs.drop("removed_lines").columns
+    return joined.select(*(left.alias(c) if c == "text" else F.col("input")[c].alias(c) for c in columns), removed.alias("removed_lines"))

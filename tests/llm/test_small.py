@@ -254,3 +254,38 @@ def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 1), (3, 4), (4, 5), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), "t").collect()))
     assert got == {9: 1, 8: 1, 7: 1, 1: 1, 3: 3, 4: 3, 5: 3} | {100 + i: 100 for i in range(41)}
+
+
+def test_line_dedup_boundaries_hold_when_shifted(spark):
+    passage = [f"{c} {c}{k} one two three" for k, c in enumerate("abcdefghijkl")]
+    texts = ["\n".join(["x y", *passage]), "\n".join(["", "z", "q r s", *passage, "end here"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = line_dedup.with_chunks(docs).select("doc_id", F.explode("_chunks").alias("c")).select("doc_id", "c.*").collect()
+    inside = defaultdict(set)
+    for r in cut:
+        start = (1, 3)[r.doc_id]
+        first, last = (r.place >> 32) - start, (r.place & 0xFFFFFFFF) - start
+        if first >= 0 and last < len(passage):
+            inside[r.doc_id].add((first, last, r.anchor, r.hash))
+    assert inside[0] == inside[1] and len(inside[0]) >= len(passage) - 1
+    # fewer boundaries than places between lines, and one in each run
+    assert 1 < len({anchor for *_, anchor, _ in inside[0]}) < len(passage)
+
+
+def test_line_dedup_tells_equal_ids_apart_and_keeps_columns(spark):
+    p, q = ("\n".join(f"{c}{k} {c}x {c}y {c}z {c}w {c}v" for k in range(4)) for c in "pq")
+    rows = [(1, p), (1, q), (2, p), (3, q), (3, q), (None, p)]
+    data = [(i, t, "l", "g", "o", "i", "r") for i, t in rows]
+    docs = spark.createDataFrame(data, "doc_id long, text string, _lines string, gone string, out string, input string, row string")
+    got = line_dedup.remove_repeated(docs)
+    assert got.columns == [*docs.columns, "removed_lines"]
+    got = got.collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("1", p), ("1", q), ("2", ""), ("3", ""), ("3", ""), ("None", p)])
+    assert all((r._lines, r.gone, r.out, r.input, r.row) == ("l", "g", "o", "i", "r") for r in got)
+
+
+def test_line_dedup_of_one_passage_in_most_rows(spark):
+    hot = "\n".join(f"h{k} a b c d e" for k in range(3))
+    rows = [(i, f"{hot}\nown{i} line" if i % 3 else f"own{i}") for i in range(3000)]
+    got = line_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {i: f"own{i} line" if i % 3 and i > 1 else t for i, t in rows}
