@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.session import materialize, work_folder
 
-__all__ = ["SEPARATORS", "WORD", "components", "materialize", "read_table", "word_count", "words", "work_folder"]
+__all__ = ["SEPARATORS", "WORD", "components", "materialize", "meet", "read_table", "word_count", "words", "work_folder"]
 
 #: Words are runs of other characters than these.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more than one in so many of all rows is split; there are fewer such keys than this.
+HEAVY = 4096
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +32,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def meet(rows: DataFrame, keyed: DataFrame, key: str, spread: Sequence[str], total: int) -> DataFrame:
+    """Inner join of many ``rows`` with ``keyed``, one row per key with its count ``n`` of the ``total`` rows; drops ``n``.
+
+    A key with more than one in ``HEAVY`` of all rows is dealt over tasks in proportion to its share: its rows draw a
+    number from their ``spread`` columns, its keyed row is copied once per number. There are fewer than ``HEAVY`` such
+    keys and ``2 * HEAVY`` copies, so the list of them can be broadcast.
+    """
+    parts = F.ceil(F.col("n") * HEAVY / F.lit(max(total, 1))).cast("int")
+    is_heavy = F.col("n") * HEAVY > total
+    dealt = rows.join(F.broadcast(keyed.where(is_heavy).select(key, parts.alias("_parts"))), key, "left")
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = F.when(is_heavy, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(keyed.withColumn("_part", F.explode(copies)), [key, "_part"]).drop("_part", "n")
+
+
 def components(edges: DataFrame, purpose: str) -> DataFrame:
     """``(node, root)`` for every node in ``edges(a, b)``: root is the smallest node reachable.
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import SEPARATORS, WORD, materialize
+from assayer.llm.common import SEPARATORS, WORD, materialize, meet
 
 #: A line of so many words counts as a passage of its own.
 LONG_LINE = 25
 #: Fewest words of a passage that is removed when it repeats.
 MIN_WORDS = 10
-#: A key with more than one in so many of all rows is split; there are fewer such keys than this.
-HEAVY = 4096
+PLACE = ["doc_id", "row", "place"]
 
 
 def with_chunks(docs: DataFrame, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -68,22 +67,6 @@ def with_chunks(docs: DataFrame, long_line: int = LONG_LINE, min_words: int = MI
     return cut.drop("_lines", "_words", "_hashes", "_rolling", "_at", "_ahead", "_behind", "_both")
 
 
-def _meet(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join of many ``rows`` with ``keyed``, one row per key with its count ``n`` of the ``total`` rows.
-
-    A key with more than one in ``HEAVY`` of all rows is dealt over tasks in proportion to its share: its rows draw a
-    number, its keyed row is copied once per number. There are fewer than ``HEAVY`` such keys and ``2 * HEAVY`` copies, so
-    the list of them can be broadcast.
-    """
-    parts = F.ceil(F.col("n") * HEAVY / F.lit(max(total, 1))).cast("int")
-    heavy = keyed.where(F.col("n") * HEAVY > total).select(key, parts.alias("_parts"))
-    dealt = rows.join(F.broadcast(heavy), key, "left")
-    part = F.pmod(F.xxhash64("doc_id", "row", "place"), F.coalesce("_parts", F.lit(1))).cast("int")
-    copies = F.when(F.col("n") * HEAVY > total, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
-    met = dealt.withColumn("_part", part).drop("_parts").join(keyed.withColumn("_part", F.explode(copies)), [key, "_part"])
-    return met.drop("_part", "n")
-
-
 def remove_repeated(docs: DataFrame, long_line: int = LONG_LINE, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs(doc_id, text, ...)``, with passages removed from ``text`` that stand elsewhere before.
 
@@ -108,11 +91,11 @@ def remove_repeated(docs: DataFrame, long_line: int = LONG_LINE, min_words: int
     each = with_chunks(narrow, long_line, min_words).select("doc_id", row, F.explode_outer("_chunks").alias("c"))
     chunks = materialize(each.where("c IS NOT NULL").select("doc_id", "row", "c.*"), "line-chunks")
     anchors = materialize(chunks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "line-anchors")
-    held = materialize(_meet(chunks, anchors, "anchor", chunks.count()).drop("anchor"), "anchored-chunks")
+    held = materialize(meet(chunks, anchors, "anchor", PLACE, chunks.count()).drop("anchor"), "anchored-chunks")
     first_of = F.min(F.struct("doc_id", "row", "place")).alias("origin")
     origins = materialize(held.groupBy("hash").agg(F.count("*").alias("n"), first_of).where("n > 1"), "chunk-origins")
     n_held = held.count()
-    placed = _meet(held, origins, "hash", n_held).withColumn("at_origin", F.expr("struct(doc_id, row, place) = origin")).drop("origin")
+    placed = meet(held, origins, "hash", PLACE, n_held).withColumn("at_origin", F.expr("struct(doc_id, row, place) = origin")).drop("origin")
     # a document has a bounded number of lines
     asked = placed.groupBy("doc_id", "row").agg(F.collect_set(F.struct("place", "hash", "at_origin")).alias("_asked"))
     texts = narrow.withColumn("row", row).join(asked, ["doc_id", "row"]).withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
@@ -121,7 +104,7 @@ def remove_repeated(docs: DataFrame, long_line: int = LONG_LINE, min_words: int
     texts = texts.select("doc_id", "row", F.explode_outer(asked_lines).alias("w"))
     texts = materialize(texts.select("doc_id", "row", "w.*"), "chunk-texts")
     kept = texts.where("at_origin").groupBy("hash").agg(F.min("lines").alias("kept_lines")).join(origins.select("hash", "n"), "hash")
-    gone = _meet(texts.where("NOT at_origin"), kept, "hash", n_held).where("lines = kept_lines")
+    gone = meet(texts.where("NOT at_origin"), kept, "hash", PLACE, n_held).where("lines = kept_lines")
     per_doc = gone.groupBy("doc_id", "row").agg(F.collect_set("place").alias("gone"))
     # the input's columns travel as one, so that none can clash
     whole = docs.drop("removed_lines").select(F.struct("*").alias("input"), "doc_id", "text", row)

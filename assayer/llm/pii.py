@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import materialize
+from assayer.llm.common import materialize, meet
 
 # What counts as a match of each kind, in order. A match begins where none of its first characters stands
 # before it, or where the last match ended; so it is the leftmost one, and long runs are read once.
@@ -19,15 +19,26 @@ KINDS = {
 #: A text without this has no match of the kind.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: An unknown identifier: what stands before it, and a run with a digit.
-RUN = "A-Za-z0-9@.+-"
-CANDIDATE = rf"(?<![A-Za-z])[A-Za-z]++(?:[\t\x20]*[=:]+[\t\x20]*[\"']?|[\t\x20])(?=[A-Za-z@.+-]*+[0-9])(?=[{RUN}]{{6}})[{RUN}]++"
-VALUE = rf"(?<![{RUN}])[{RUN}]++\z"
+#: An unknown identifier: what stands before it, and a run with a digit or groups of digits.
+RUN = "A-Za-z0-9@.+_/-"
+BEFORE = r"[A-Za-z]++(?:[\t\x20]*[=:]+\s*[\"']?|[\t\x20])"
+GROUPS = rf"\+?\(?[0-9]++\)?(?:[\x20-]\(?[0-9]++\)?)+(?![{RUN}])"
+CANDIDATE = rf"(?<![A-Za-z]){BEFORE}(?:{GROUPS}|(?=[A-Za-z@.+_/-]*+[0-9])(?=[{RUN}]{{6}})[{RUN}]++)"
+#: Fewest characters of an identifier.
+SHORTEST = 6
 #: Rounds of scoring from one set of known instances.
 ROUNDS = 3
 #: Fewest different seeds of a pattern, and the confidence that an instance needs.
 SUPPORT = 3
-CONFIDENCE = 0.9
+CONFIDENCE = 0.8
+#: Standard errors that a pattern's share of known instances may lie below what is needed.
+ERRORS = 1.96
+
+
+def _upper(share: str, n: str) -> Column:
+    """Upper end of the score interval of a share among n."""
+    p, n_, z2 = F.col(share), F.col(n).cast("double"), ERRORS**2
+    return (p + z2 / (2 * n_) + ERRORS * F.sqrt(p * (1 - p) / n_ + z2 / (4 * n_ * n_))) / (1 + z2 / n_)
 
 
 def _with_spans(docs: DataFrame, kind: str, pattern: str, hint: str | None) -> DataFrame:
@@ -88,12 +99,14 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """Spans of personal data in every whole text of ``docs(doc_id, text)``: kinds by pattern, and what shares their contexts.
 
     1. Matches of each kind that pass its test are base spans, whatever follows.
-    2. A candidate is a run of at least six characters with a digit, behind a word; the word and what joins them are its
-       lexical pattern. Candidates inside base spans are the seeds, with confidence 1.
-    3. In rounds, a pattern scores the mean confidence of its different instances, and an instance gets one minus the
-       product of what its patterns leave open. Patterns with fewer than three different seeds score nothing. Instances
-       that then reach the confidence are seeds of the next rounds, until none newly reaches it. Rounds from one set of
-       seeds are bounded: without end, the mean of every pattern with a seed would go to one.
+    2. A candidate is a run of at least six characters with a digit, or groups of digits, behind a word; the word and what
+       joins them are its lexical pattern. Candidates inside base spans are the seeds, with confidence 1.
+    3. In rounds, a pattern's share is the mean belief in its different instances, where each is judged without that
+       pattern: a seed has 1, another one minus the product of what its other patterns leave open. So no pattern
+       confirms itself, and one that holds other values too keeps a low share. Its score is the upper end of the share's
+       95 % interval: few instances leave it open, many that are not known refute it. Patterns with fewer than three
+       different seeds score nothing. An instance has one minus the product of what all its patterns leave open;
+       those that then reach the confidence are seeds of the next rounds, until none newly reaches it.
     4. Candidates that reach the confidence and touch no base span become spans of kind ``found``, except numbers without
        a letter that touch a match which the test of its kind rejected.
 
@@ -102,16 +115,16 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """
     base = materialize(base_spans(docs), "personal-data")
     each = base.where(F.size("_cand") > 0).select("doc_id", "base", "_rejected", F.explode_outer("_cand").alias("c"))
-    value = F.regexp_extract("c.m", VALUE, 0)
+    value = F.regexp_replace("c.m", rf"\A{BEFORE}", "")
     cand = each.select(
         "doc_id",
         (F.col("c.e") - F.length(value)).cast("int").alias("s"),
         F.col("c.e").alias("e"),
         value.alias("value"),
-        F.lower(F.regexp_replace(F.regexp_replace("c.m", VALUE, ""), r"\s+", " ")).alias("pattern"),
+        F.lower(F.regexp_replace(F.regexp_extract("c.m", rf"\A{BEFORE}", 0), r"\s+", " ")).alias("pattern"),
         "base",
         "_rejected",
-    ).where("value <> ''")
+    ).where(F.length("value") >= SHORTEST)
     cand = cand.withColumn("touches", F.expr("exists(base, x -> x.s < e AND s < x.e)"))
     refused = F.expr("NOT touches AND NOT value RLIKE '[A-Za-z]' AND exists(_rejected, x -> x.s < e AND s < x.e)")
     cand = cand.withColumn("refused", refused).drop("base", "_rejected")
@@ -120,20 +133,25 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     graph = materialize(
         cand.groupBy("pattern", "value").agg(F.max("touches").alias("seed"), F.min("refused").alias("refused")), "pattern-graph"
     )
+    n_edges = graph.count()
     more_seeds = True
     while more_seeds:
-        scored = graph.withColumn("confidence", F.col("seed").cast("double"))
+        scored = graph.withColumn("belief", F.col("seed").cast("double"))
         for _ in range(ROUNDS):
             patterns = scored.groupBy("pattern").agg(
-                F.sum(F.col("seed").cast("long")).alias("seeds"), F.avg("confidence").alias("score")
+                F.sum(F.col("seed").cast("long")).alias("seeds"), F.avg("belief").alias("share"), F.count("*").alias("n")
+            )
+            score = F.when(F.col("seeds") >= SUPPORT, _upper("share", "n")).otherwise(0.0)
+            patterns = patterns.select("pattern", "n", F.log(1 - F.least(score, F.lit(1 - 1e-9))).alias("left_open"))
+            met = materialize(meet(graph, patterns, "pattern", ["value"], n_edges), "pattern-scores")
+            instances = met.groupBy("value").agg(
+                F.sum("left_open").alias("all_open"), F.max("seed").alias("known"), F.count("*").alias("n")
             )
-            patterns = patterns.select("pattern", F.when(F.col("seeds") >= SUPPORT, F.col("score")).otherwise(0.0).alias("score"))
-            met = graph.join(patterns, "pattern")
-            open_ = F.exp(F.sum(F.log(1 - F.least("score", F.lit(1 - 1e-9)))))
-            instances = met.groupBy("value").agg((1 - open_).alias("reached"), F.max("seed").alias("known"))
+            without = F.when(F.col("known"), 1.0).otherwise(1 - F.exp(F.least(F.col("all_open") - F.col("left_open"), F.lit(0.0))))
+            reached = F.when(F.col("known"), 1.0).otherwise(1 - F.exp("all_open"))
             scored = materialize(
-                graph.join(instances, "value").select(
-                    "pattern", "value", "seed", "refused", F.when(F.col("known"), 1.0).otherwise(F.col("reached")).alias("confidence")
+                meet(met, instances, "value", ["pattern"], n_edges).select(
+                    "pattern", "value", "seed", "refused", without.alias("belief"), reached.alias("confidence")
                 ),
                 "pattern-graph",
             )

@@ -289,3 +289,44 @@ def test_line_dedup_of_one_passage_in_most_rows(spark):
     rows = [(i, f"{hot}\nown{i} line" if i % 3 else f"own{i}") for i in range(3000)]
     got = line_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in got} == {i: f"own{i} line" if i % 3 and i > 1 else t for i, t in rows}
+
+
+def test_personal_data_leaves_mixed_contexts_alone(spark):
+    texts = [f"part: u{k}@mail.co" for k in range(56)] + [f"part: PN-{k}00{k}x" for k in range(44)]
+    texts += [f"item= v{k}@mail.co" for k in range(56)] + [f"item= QR-{k}00{k}x" for k in range(44)]
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 200 and sum(r.n_found for r in got) == 0 and sum(r.n_email for r in got) == 112
+
+
+def test_personal_data_of_many_forms(spark):
+    texts = [f"key: u{k}@mail.co" for k in range(20)]
+    forms = ["sk_live_9a8b7c6d5e4f", "(555) 123-4567", "123 45 6789", "hunter/2secret99", "AB-1234567"]
+    texts += [f"see key: {x} there" for x in forms] + [f"see key:\n{forms[0]}"] + [f"page: {x}7" for x in forms] + ["key: 12 3"]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, x in enumerate(forms + forms[:1], 20):
+        assert got[i].spans == f"found:9:{9 + len(x)}", texts[i]
+    assert all(got[i].n_found == 0 for i in range(26, len(texts)))
+
+
+def test_base_spans_match_brute_force(spark):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+    patterns |= {"card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def fits(kind, m):
+        digits = [int(c) for c in m if c.isdigit()]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            luhn = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+            return 16 <= len(digits) <= 19 and luhn % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    parts = ["a@b.co", "x..y@c-d.e.f", "a@b", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 123-4567"]
+    parts += ["+12", "+1555123456789012345", "é", "00000000000000000000", "0000000000000000", "@", "+", "\n", "a@b.co@c.de", "001.002.003.0004", "5 5 5"]
+    texts = [None, "", *parts] + [f"{a}{s}{b}" for a in parts for b in parts for s in ("", " ", ".")]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        spans = {k: [m.span() for m in re.finditer(p, text or "") if fits(k, m[0])] for k, p in patterns.items()}
+        named = ",".join(f"{k}:{a}:{b}" for k, v in spans.items() for a, b in v)
+        assert tuple(got[i][f"n_{k}"] for k in spans) == tuple(map(len, spans.values())), text
+        assert got[i].base_sha256 == hashlib.sha256(named.encode()).hexdigest(), text
