@@ -62,15 +62,18 @@ def mix(
 
     A null text has size 0 and is taken like others (0 words); a null source is a source; a source without words has
     target 0 and is never taken; repeated rows each have their own stretch; columns of the input named like the new
-    ones are replaced. An empty table gives no rows.
+    ones are replaced, all others come back as they are, whatever their names. An empty table gives no rows.
     """
     n_salts = docs.count() // cell_rows + 1
-    keyed = docs.withColumns({"size": word_count(F.col("text")), "_source": F.col("source")})
+    # the input's columns go by number inside, so that none can clash
+    number = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    held = docs.toDF(*number.values())
+    keyed = held.withColumns({"size": word_count(F.col(number["text"])), "_source": F.col(number["source"])})
     # a band: the place and the leading four bits of the size
     keyed = keyed.withColumns(
         {
             "_band": F.length(F.bin("size")) * 16 + F.expr("cast(shiftright(size * 16, length(bin(size))) as int)"),
-            "_salt": F.coalesce(F.expr(f"pmod((doc_id % 1000003) * 48271, {n_salts})"), F.lit(0)).cast("long"),
+            "_salt": F.coalesce(F.expr(f"pmod(({number['doc_id']} % 1000003) * 48271, {n_salts})"), F.lit(0)).cast("long"),
         }
     )
     key = ["_source", "_band", "_salt"]
@@ -86,7 +89,7 @@ def mix(
         *key, F.coalesce(F.sum("_n").over(prior("_source", "_band").orderBy("_salt").rowsBetween(*before)), F.lit(0)).alias("_c")
     )
     bases = _same(_same(cell_base, band_base, ["_source", "_band"]), sources, ["_source"])
-    order = Window.partitionBy(*key).orderBy("size", "doc_id")
+    order = Window.partitionBy(*key).orderBy("size", number["doc_id"])
     ranked = _same(keyed.withColumn("_nth", F.row_number().over(order)), bases, key)
     offset = F.expr(f"cast(conv(substr(md5(concat('{seed}:', coalesce(_source, ''))), 1, 8), 16, 10) as bigint) / 4294967296.0D")
     rate = F.when(F.col("_size") > 0, F.col("target") / F.col("_size")).otherwise(0.0)
@@ -95,7 +98,7 @@ def mix(
     taken = ranked.withColumn("copies", F.least(copies, F.ceil(F.lit(cap))).cast("long"))
     new = {"size", "source_size", "target", "copies", "taken"}
     return taken.select(
-        *(c for c in docs.columns if c not in new),
+        *(F.col(c).alias(name) for name, c in number.items() if name not in new),
         "size",
         F.col("_size").cast("long").alias("source_size"),
         "target",

@@ -330,3 +330,11 @@ def test_base_spans_match_brute_force(spark):
         named = ",".join(f"{k}:{a}:{b}" for k, v in spans.items() for a, b in v)
         assert tuple(got[i][f"n_{k}"] for k in spans) == tuple(map(len, spans.values())), text
         assert got[i].base_sha256 == hashlib.sha256(named.encode()).hexdigest(), text
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    data = [(i, f"w{i} " * (1 + i % 4), "a" if i % 2 else None, "x", "y", "z") for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, _size string, _source string, c1 string")
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, "size", "source_size", "target", "copies", "taken"]
+    assert all((r._size, r._source, r.c1, r.size) == ("x", "y", "z", 1 + r.doc_id % 4) for r in got.collect())
