@@ -46,7 +46,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
-#: Toxicity is a trained model and packing needs a tokenizer: SQL has neither. Tests hold the operators, not yet this chain of them.
+#: Toxicity is a trained model and packing needs a tokenizer: SQL has neither. Tests hold each stage and the chain to brute force.
 ORACLE_SQL = None
 
 
