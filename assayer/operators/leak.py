@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.text import bound, normalize_sql
 from assayer.rules.vocab import TOOL_TRACKS
+from assayer.session import materialize
 
 # fixed value: shorter gold texts prove nothing
 MIN_GOLD_CHARS = 40
@@ -14,6 +15,9 @@ MIN_GOLD_CHARS = 40
 # gold sets up to this many characters travel to the texts, larger ones meet them by key
 BROADCAST_CHARS = 32 * 1024 * 1024
 
+# places of the filter that keys pass before they move: so many rows of one number are the most that is broadcast
+FILTER_PLACES = 1 << 22
+
 SHINGLE_WORDS = 3
 LONG_WORD_CHARS = 10
 GRAM_CHARS = 8
@@ -73,13 +77,25 @@ def _keys_of_passage(text_words: Column) -> Column:
     return F.when(F.size(text_words) >= SHINGLE_WORDS + 2, runs).otherwise(grams)
 
 
+def filtered_keys(keyed: DataFrame, wanted: DataFrame, places: int = FILTER_PLACES) -> DataFrame:
+    """Rows of ``keyed(key, ...)`` whose key may be one of ``wanted(key)``: all that are, and a few others.
+
+    A filter of fixed size goes to the rows: the places, modulo ``places``, that wanted keys take. Rows do not move.
+    The more keys are wanted, the more others pass, so a full filter costs time but no result.
+    """
+    taken = wanted.select(F.pmod("key", F.lit(places)).alias("place")).distinct()
+    # at most as many rows as there are places
+    return keyed.join(F.broadcast(taken), F.pmod("key", F.lit(places)) == F.col("place"), "left_semi")
+
+
 def corpus_leaks(texts: DataFrame, passages: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Pairs where a text contains a passage, without a common key.
 
     ``texts(text_id, text)``, ``passages(passage_id, passage)``; both sides unique by id. Each passage is found by
     one anchor key that every text containing it must have, then checked in full. A passage set of proven small size
-    goes to the texts: one scan of the texts, no shuffle of them. A larger one meets the texts' keys in a shuffle of
-    (key, id) only, by its rarest key in the texts, and the few candidate pairs fetch their texts.
+    goes to the texts: one scan of the texts, no shuffle of them. Of a larger one a filter of fixed size goes to the
+    texts; (key, id) of the hits is written once, meets the passages by their rarest key in the texts, and the few
+    candidate pairs fetch their texts.
     """
     usable = (
         passages.select("passage_id", normalize_sql(F.col("passage")).alias("passage_norm"))
@@ -101,10 +117,10 @@ def corpus_leaks(texts: DataFrame, passages: DataFrame, broadcast_chars: int = B
         return found.select("text_id", "passage_id").distinct()
     keyed = _text_keys(normalized, "text_id", grams=size["grams"])
     wanted = usable.select("passage_id", F.explode("anchors.key").alias("key")).distinct()
-    # the texts' keys are by far the wider side, whatever their size before the explode
-    counts = keyed.join(wanted.select("key").distinct().hint("merge"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("texts"))
+    hits = materialize(filtered_keys(keyed, wanted), "leak-hits")
+    counts = hits.groupBy("key").agg(F.count("*").alias("texts"))
     anchored = wanted.join(counts, "key").groupBy("passage_id").agg(F.min(F.struct("texts", "key"))["key"].alias("key"))
-    candidates = keyed.join(anchored.hint("merge"), "key").select("text_id", "passage_id").distinct()
+    candidates = hits.join(anchored, "key").select("text_id", "passage_id").distinct()
     return (
         candidates.join(usable.select("passage_id", "passage_norm"), "passage_id")
         .join(normalized, "text_id")

@@ -34,3 +34,15 @@ def test_corpus_leaks_match_brute_force(spark, limit):
         broadcast_chars=limit,
     ).collect()
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want and len(want) > 60
+
+
+def test_filter_passes_every_wanted_key(spark):
+    keyed = spark.range(10_000).selectExpr("id AS text_id", "xxhash64(id % 5000) AS key")
+    wanted = spark.range(40).selectExpr("xxhash64(id * 100) AS key")
+    exact = keyed.join(wanted, "key", "left_semi").count()
+    assert exact == 80
+    for places, most in ((1 << 22, 90), (1, 10_000)):
+        passed = leak.filtered_keys(keyed, wanted, places)
+        assert passed.columns == keyed.columns and exact <= passed.count() <= most
+        assert passed.join(wanted, "key", "left_semi").count() == exact
+    assert leak.filtered_keys(keyed, wanted.where("false")).count() == 0
