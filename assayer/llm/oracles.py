@@ -107,6 +107,26 @@ nodes AS (SELECT DISTINCT a AS id FROM edges),
 degrees AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a)
 SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(r.root, e.vec_id) AS component_id, e.vec_id = coalesce(r.root, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN roots r ON e.vec_id = r.id LEFT JOIN degrees d ON e.vec_id = d.id""",
+    "op10_mixing": r"""WITH sized AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+weighed AS (
+  SELECT source, sum(size)::BIGINT AS total, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, (sum(total) OVER () * 1.5::DOUBLE - coalesce(sum(total * 2.0::DOUBLE) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
+  WINDOW o AS (ORDER BY total * 2.0::DOUBLE / weight, source NULLS LAST)),
+targets AS MATERIALIZED (SELECT source, total, least(total * 2.0::DOUBLE, max(level) OVER () * weight) AS target FROM levels),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)) * 16 + ((size * 16) >> length(bin(size))),
+    coalesce(((doc_id % 1000003 * 48271) % s.n + s.n) % s.n, 0), size, doc_id NULLS FIRST) AS rank
+  FROM sized, (SELECT count(*) // 50000 + 1 AS n FROM documents) s),
+rated AS (
+  SELECT r.doc_id, r.source, r.size, r.rank, t.total, t.target, CASE WHEN t.total > 0 THEN t.target / t.total ELSE 0.0 END AS rate,
+    ('0x' || substr(md5('7:' || coalesce(r.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
+  FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
+taken AS (SELECT *, least(floor(rate * rank + start) - floor(rate * (rank - 1) + start), 2)::BIGINT AS copies FROM rated)
+SELECT doc_id, source, size, total AS source_size, target, copies, copies * size AS taken FROM taken""",
     "op11_fingerprints": _FINGERPRINTS,
     "op13_centroids": _clustered(8, 10),
 }

@@ -338,3 +338,14 @@ def test_mix_keeps_columns_of_any_name(spark):
     got = mixing.mix(docs)
     assert got.columns == [*docs.columns, "size", "source_size", "target", "copies", "taken"]
     assert all((r._size, r._source, r.c1, r.size) == ("x", "y", "z", 1 + r.doc_id % 4) for r in got.collect())
+
+
+def test_mix_matches_its_sql(spark, docs):
+    columns = ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
+    many = spark.range(4000).selectExpr("id AS doc_id", "repeat('w ', cast(id * id % 97 AS int)) AS text", "nullif(concat('s', id % 5 * (id % 3)), 's4') AS source")
+    for table in (docs, many):
+        got = Counter(tuple(r[c] for c in columns) for r in mixing.mix(table.select("doc_id", "text", "source")).collect())
+        con = duckdb.connect()
+        con.register("documents", table.toArrow())
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op10_mixing']})").fetchall()
+        assert got == Counter(want) and len({r[1] for r in want}) > 3
