@@ -349,3 +349,77 @@ def test_mix_matches_its_sql(spark, docs):
         con.register("documents", table.toArrow())
         want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['op10_mixing']})").fetchall()
         assert got == Counter(want) and len({r[1] for r in want}) > 3
+
+
+def test_host_verdicts_match_brute_force(spark):
+    good = " ".join(f"g{i}" for i in range(25))
+    kinds = {"fine": good, "base": "too short", "symbols": good + " ####", "long_words": " ".join("x" * 13 + str(i) for i in range(25)), "dup_lines": "\n".join([good] + ["s t"] * 12)}
+    plan = {"a": ["fine"] * 30, "b": ["symbols"] * 28 + ["fine"] * 2, None: ["fine"] * 3 + ["base"], "": ["long_words"], "c": ["dup_lines"] * 4 + ["fine"] * 6, "d": ["base"] * 40, "e": ["fine", "symbols"] * 8}
+    table = [(host, kind) for host, v in plan.items() for kind in v]
+    docs = spark.createDataFrame([(i, kinds[k], h, "clash") for i, (h, k) in enumerate(table)], "doc_id long, text string, source string, n_words string")
+    got = {r.doc_id: r for r in quality_rules.host_rules(docs).collect()}
+
+    def bad(rule, text):
+        w, lines = re.findall(WORDS, text), [x for x in text.split("\n") if re.search(WORDS, x)]
+        seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        repeat = len({k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(8)})
+        dup = len(lines) - len(set(lines))
+        return {
+            "base": len(w) < 20 or 100 * repeat > 30 * len(w),
+            "symbols": 10 * len(re.findall(r"[#*$%&|<>]", text)) > len(w),
+            "long_words": len(w) > 0 and sum(map(len, w)) > 12 * len(w),
+            "dup_lines": dup >= 3 and 2 * dup > len(lines),
+        }[rule]
+
+    n = len(table)
+    rates = {}
+    for rule in quality_rules.RULES:
+        fails = {h: sum(bad(rule, kinds[k]) for k in v) for h, v in plan.items()}
+        mean = sum(fails.values()) / n
+        between = sum(len(v) * (fails[h] / len(v) - mean) ** 2 for h, v in plan.items()) / n - mean * (1 - mean) * len(plan) / n
+        strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e4) if between > 1e-12 else 1e4
+        rates[rule] = {h: (fails[h] + mean * strength) / (len(v) + strength) for h, v in plan.items()}
+    rejected = {h for h in plan if any(r[h] > quality_rules.HOST_LIMIT for r in rates.values())}
+    assert {"b", "d"} <= rejected and not {"a", None} & rejected
+    for i, (host, kind) in enumerate(table):
+        r = got[i]
+        assert all(r[f"rate_{rule}"] == pytest.approx(v[host], rel=1e-12) for rule, v in rates.items())
+        failed = bad("base", kinds[kind])
+        assert (r.base_failed, r.host_rejected, r.kept) == (failed, host in rejected, not failed and host not in rejected)
+
+
+def test_vectors_over_many_lists(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(200, 24))
+    base = np.repeat(centers, 15, axis=0)
+    # from equal copies to just below the threshold; hot copies of one vector; a tie at 0.98
+    vectors = (base + rng.normal(size=base.shape) * rng.uniform(0, 0.35, size=(len(base), 1))).astype(np.float32)
+    vectors[100:400] = vectors[100]
+    tie = np.zeros((2, 24), np.float32)
+    tie[0, 0], tie[1, :2] = 1, (0.98, np.sqrt(1 - 0.98**2))
+    vectors = np.vstack([vectors, tie])
+    labels = [None if i % 50 == 0 else int(i % 3 == 0) for i in range(len(vectors))]
+    data = [(i, v.tolist(), k, "c") for i, (v, k) in enumerate(zip(vectors, labels, strict=True))]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, list string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table).collect()}
+    exact = vectors.astype(np.float64)
+    unit = exact / np.linalg.norm(exact, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    known = np.array([-1 - i if k is None else k for i, k in enumerate(labels)])
+    same = (known[:, None] == known[None, :]) & ~np.eye(len(known), dtype=bool)
+    # rounding may decide pairs within 1e-12 of the threshold either way
+    sure, may = same & (cosine >= 0.98 + 1e-12), same & (cosine >= 0.98 - 1e-12)
+    assert sure.sum() > 20_000 and set(got) == set(range(len(vectors)))
+    assert all(a <= got[i][0] <= b for i, (a, b) in enumerate(zip(sure.sum(1), may.sum(1), strict=True)))
+    root = list(range(len(vectors)))
+    for i in range(len(root)):  # smallest number reachable
+        if root[i] == i:
+            todo = [i]
+            while todo:
+                for j in np.flatnonzero(sure[todo.pop()]):
+                    if root[j] > i:
+                        root[j] = i
+                        todo.append(int(j))
+    assert {i: c for i, (_, c) in got.items()} == dict(enumerate(root))
