@@ -423,3 +423,34 @@ def test_vectors_over_many_lists(spark):
                         root[j] = i
                         todo.append(int(j))
     assert {i: c for i, (_, c) in got.items()} == dict(enumerate(root))
+
+
+def test_packing_pieces_are_the_documents_ids(docs):
+    got = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packing.pack(docs).collect())
+    want = []
+    for (i, *_), ids in zip(rows(), encode_all("word_bpe_49k.json", [r[1] for r in rows()]), strict=True):
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want.append((i, piece, at, len(part), zlib.crc32(part.astype("<u4").tobytes())))
+    assert got == sorted(want) and max(w[1] for w in want) > 10
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    chain = toxicity.train(docs, labels)
+    toxic = labels.where("toxic = 1").join(docs, "doc_id").select("text").first().text
+    odd = [(1, None, "c"), (2, "", "c"), (3, " \n", "c"), (4, "w " * 200_000, "c"), (5, toxic, "c"), (5, toxic, "c"), (None, toxic, "c")]
+    got = toxicity.score(spark.createDataFrame(odd, "doc_id long, text string, p_toxic string"), chain).collect()
+    assert len(got) == len(odd)
+    by = defaultdict(set)
+    for r in got:
+        assert r.rejected is not None
+        by[r.doc_id].add(r.rejected)
+    # equal texts have equal verdicts, whatever the row
+    assert by[5] == by[None] == {True} and not by[1] & {True} and by[1] == by[2]
+    # of the labelled toxic rows nearly all are found, of the clean ones nearly all stay
+    rated = toxicity.score(docs, chain).join(labels, "doc_id").groupBy("toxic").agg(F.avg(F.col("rejected").cast("int")).alias("share"))
+    share = {r.toxic: r.share for r in rated.collect()}
+    assert share[1] >= 0.9 and share[0] <= 0.02
+    assert toxicity.score(docs.where("false"), chain).count() == 0
