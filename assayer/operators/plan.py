@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayer.functions import text
 from assayer.operators.joins import column_profiles, join_candidates
 from assayer.operators.linking import distractor_warnings, table_candidates
-from assayer.operators.provenance import prompt_set_digest
+from assayer.operators.provenance import tree_digest
 from assayer.operators.ranking import top_rows
 from assayer.operators.slots import blueprints, join_map, slot_map
 from assayer.session import materialize
@@ -73,14 +73,17 @@ def build_plans(
 
 
 def plan_audit(plans: DataFrame, dataset: str, pos: str) -> DataFrame:
-    """One row: how many plans, by which planner, and the digest of all of them in order of ``pos`` (from 0)."""
+    """One row: how many plans, by which planner, and digests of their questions and of the plans in order of ``pos`` (from 0).
+
+    The digests are trees over chunks of plans, so no task reads all plans. No plans give no row.
+    """
     body = F.to_json(F.struct(*[c for c in plans.columns if c != pos]))
     hashed = plans.select(
-        F.lit(dataset).alias("dataset"), F.col(pos).alias("pos"), F.col("question_id").alias("case_id"), F.sha2(body, 256).alias("prompt_sha256")
+        F.lit(dataset).alias("dataset"), F.col(pos).alias("pos"), "planner", "question_hash", F.sha2(body, 256).alias("plan_hash")
     )
-    totals = plans.agg(F.count("*").alias("items"), F.max("planner").alias("planner")).withColumn("dataset", F.lit(dataset))
-    digest = prompt_set_digest(hashed, "dataset").withColumnRenamed("prompt_set_sha256", "plans_sha256")
-    return totals.join(digest, "dataset")
+    totals = hashed.groupBy("dataset").agg(F.count("*").alias("items"), F.max("planner").alias("planner"))
+    digest = lambda piece, name: tree_digest(hashed, "dataset", "pos", piece).withColumnRenamed("digest", name)
+    return totals.join(digest("question_hash", "questions_sha256"), "dataset").join(digest("plan_hash", "plans_sha256"), "dataset")
 
 
 def _has_direct(evidence: Column) -> Column:

@@ -53,6 +53,19 @@ def ordered_digest(
     return short.unionByName(ordered.select(key, "text").mapInPandas(stream, schema))
 
 
+def tree_digest(rows: DataFrame, key: str, pos: str, piece: str, per_chunk: int = 1024) -> DataFrame:
+    """SHA-256 of each key's pieces as a tree: ``(key, digest)``. Positions are distinct whole numbers from 0 on.
+
+    Pieces of ``per_chunk`` positions are joined by line feeds and hashed, then so many of these digests, then all that
+    are left, so a key of a billion pieces never meets in one task.
+    """
+    level = rows.select(key, F.col(pos).cast("long").alias("at"), F.col(piece).alias("part"))
+    joined = F.array_join(F.array_sort(F.collect_list(F.struct("at", "part")))["part"], "\n")
+    for _ in range(2):
+        level = level.groupBy(key, F.floor(F.col("at") / per_chunk).alias("up")).agg(F.sha2(joined, 256).alias("part")).withColumnRenamed("up", "at")
+    return level.groupBy(key).agg(F.sha2(joined, 256).alias("digest"))
+
+
 def prompt_set_digest(prompts: DataFrame, run: str = "run_id") -> DataFrame:
     """Digest of a run's prompts, from ``id:digest`` lines in case order: ``prompts(run, pos, case_id, prompt_sha256)``."""
     lines = prompts.withColumn("line", F.concat_ws(":", "case_id", "prompt_sha256"))

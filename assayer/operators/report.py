@@ -77,6 +77,12 @@ def roll_up_models(report: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def class_places(rankable: DataFrame) -> DataFrame:
+    """Runs fit for a leaderboard with their ``place`` among the runs of their benchmark and result class."""
+    best = [F.coalesce("execution_accuracy_pct", F.lit(-1.0)).desc(), F.col("run_id")]
+    return rankable.withColumn("place", F.row_number().over(Window.partitionBy("benchmark", "result_class").orderBy(*best)))
+
+
 def roll_up_levels(report: DataFrame, *keys: str) -> DataFrame:
     """``roll_up_models`` at every level of the keys at once, with the number of runs.
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from assayer.plans import suite, workload
 from assayer.plans.workload import oracle_input
+from assayer.rules import prompts as texts
 from assayer.rules import retail, scanning, vocab
 
 ORACLES: dict[str, str] = {}
@@ -212,6 +213,20 @@ SELECT r.run_id, r.benchmark, r.track, c.scope, c.not_evaluated, r.exact_matches
     WHEN starts_with(r.track, 'bounded-agent') THEN 'bounded-agent' ELSE 'raw' END AS result_class
 FROM report r JOIN coverage c ON r.run_id = c.run_id
 WHERE score_eligible AND fairness_classification <> 'diagnostic_contaminated' AND scope = 'full'"""
+ORACLES["result_classes"] = f"""WITH {_REPORT},
+t AS (SELECT r.run_id, r.benchmark, f.mode, exact_matches, execution_accuracy_pct, fairness_classification, score_eligible,
+    CASE WHEN f.provider <> 'droid' THEN r.track WHEN r.track = 'schema-plan' THEN 'bounded-agent+schema-plan' ELSE 'bounded-agent' END AS track
+  FROM report r JOIN fair_runs f ON f.run_id = r.run_id JOIN coverage c ON c.run_id = r.run_id WHERE scope = 'full'),
+k AS (SELECT *, CASE WHEN mode = 'agentic_dbt' THEN 'agentic' WHEN fairness_classification = 'fair_with_tools' THEN 'tool-assisted' WHEN starts_with(track, 'bounded-agent') THEN 'bounded-agent' ELSE 'raw' END AS result_class
+  FROM t WHERE score_eligible AND fairness_classification <> 'diagnostic_contaminated')
+SELECT benchmark, result_class, row_number() OVER (PARTITION BY benchmark, result_class ORDER BY coalesce(execution_accuracy_pct, -1) DESC, run_id) AS place, run_id, mode, track, exact_matches FROM k"""
+ORACLES["evaluation_sink"] = f"""WITH {_REPORT}
+SELECT c.run_id, c.benchmark, count(*) AS cases, count(*) FILTER (exact = 1 AND failed = 0) AS exact_cases, count(*) FILTER (failed = 1) AS failed_cases,
+  any_value(s.total_evaluated) AS total_evaluated, any_value(s.exact_matches) AS exact_matches, any_value(classification) AS classification, any_value(score_eligible) AS score_eligible
+FROM costed c LEFT JOIN summaries s ON s.run_id = c.run_id LEFT JOIN audits a ON a.run_id = c.run_id GROUP BY c.run_id, c.benchmark"""
+ORACLES["report_sink"] = f"""WITH {_REPORT}
+SELECT benchmark AS benchmark_group, track AS track_group, row_number() OVER (PARTITION BY benchmark, track ORDER BY coalesce(execution_accuracy_pct, -1) DESC, run_id) AS place, run_id, provider, exact_matches,
+  round(execution_accuracy_pct, 6) AS execution_accuracy_pct, round(estimated_cost_usd, 6) AS estimated_cost_usd, fairness_classification FROM report"""
 ORACLES["fairness_classification"] = f"WITH {_AUDITS} SELECT * FROM audits"
 
 _PLANNED = """planned AS (SELECT event_type AS benchmark, 'vendor/m' || i AS model, 'raw' AS track, 25 AS case_limit, 'bounded' AS scope
@@ -679,6 +694,80 @@ ORACLES["schema_plans"] = f"""WITH {_PLAN}
 SELECT a.id AS question_id, sha256(txt) AS question_hash, {_PER('ops', "string_agg(operation, ', ' ORDER BY place)")}), '') AS operations, {_PER('top')}), 0) AS candidates,
   {_PER('all_joins')} AND rank <= 80), 0) AS joins, {_PER('slots')}), 0) AS slots, {_PER('join_map')}), 0) AS required_joins, (SELECT pattern FROM blueprints x WHERE x.id = a.id) AS pattern FROM asked a"""
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _rule_text(column: str, values: list[str | None]) -> str:
+    """Text of a rule by its number; none where it has none."""
+    return f"CASE {column} " + " ".join(f"WHEN {n} THEN {_text(v) if v else 'NULL'}" for n, v in enumerate(values)) + " END"
+
+
+def _bulleted(lines: list[str], head: str, prefix: str = "- ") -> str | None:
+    return "\n".join([head, *[prefix + line for line in lines]]) if lines else None
+
+
+# the retail blueprints have no contexts and no skeletons
+_BLUEPRINT_TEXTS = [
+    f"Query blueprint: {r['pattern']} [confidence=high; {r['reason']}]\nRecommended structure:\n"
+    + "\n".join(f"{i}. {step}" for i, step in enumerate(r["structure"], 1))
+    + "\n" + _bulleted(r["guardrails"], "Blueprint grain guardrails:")
+    for r in retail.BLUEPRINT_RULES
+]
+_SECTION = lambda line, order: f"string_agg({line}, chr(10) ORDER BY {order}) AS lines"
+_CONTEXT = f"""{_PLAN}, {_EVIDENCE}, {_GRAIN},
+op_text AS (SELECT id, 'Required operations inferred from question: ' || string_agg(operation, ', ' ORDER BY place) AS lines FROM ops GROUP BY id),
+grain_text AS (SELECT id, 'Requested row grain hints: ' || string_agg(v, '; ' ORDER BY ord) AS lines FROM grain GROUP BY id),
+alternative AS (
+  SELECT o.id, o.want, chr(10) || '  near alternatives to verify/avoid if grain conflicts: ' || string_agg(o.tbl || '.' || o.col, ', ' ORDER BY o.place) AS line
+  FROM slot_owner o JOIN slot_wants w ON w.id = o.id AND w.want = o.want AND w.ft IS NULL WHERE o.place BETWEEN 2 AND 4 GROUP BY o.id, o.want),
+slot_text AS (
+  SELECT s.id, {_text(chr(10).join(["Required slot map: recommended table.column ownership for outputs, filters, measures, and grain.", "Prefer these ownership recommendations over broader lexical table matches when they conflict."]) + chr(10))}
+    || string_agg('- ' || slot || ' (' || role || CASE WHEN operation <> '' THEN '; operation=' || operation ELSE '' END || ') -> ' || tbl || '.' || col || ' [confidence=' || confidence || '; '
+    || {_rule_text('s.want', [r['reason'] for r in retail.SLOT_RULES])} || ']' || coalesce(line, ''), chr(10) ORDER BY place) AS lines
+  FROM slots s LEFT JOIN alternative x ON x.id = s.id AND x.want = s.want WHERE place <= 18 GROUP BY s.id),
+join_text AS (
+  SELECT id, {_text('Required join map: mandatory join/key relationships implied by the slot map and question grain.' + chr(10))}
+    || string_agg('- ' || l || ' = ' || r || ' [role=' || role || '; confidence=' || confidence || '; ' || {_rule_text('ord', [r['reason'] for r in retail.JOIN_RULES])} || ']', chr(10) ORDER BY ord) AS lines
+  FROM join_map GROUP BY id),
+blueprint_text AS (SELECT id, {_rule_text('blueprint', _BLUEPRINT_TEXTS)} AS lines FROM blueprints),
+column_text AS (
+  SELECT t.id, t.tbl, '  matched columns: ' || string_agg(m.line, ', ' ORDER BY m.place) AS line FROM top t JOIN (
+    SELECT s.id, n.tbl, row_number() OVER (PARTITION BY s.id, n.tbl ORDER BY s.points DESC, n.name) AS place, n.name || ' [' || concat_ws('; ', CASE WHEN g.id IS NOT NULL THEN 'direct column phrase' END,
+      CASE WHEN p.id IS NOT NULL THEN 'plural/direct column phrase' END, 'token overlap: ' || k.listed) || ']' AS line
+    FROM name_score s JOIN names n ON n.id = s.nid AND n.idx >= 0 LEFT JOIN (SELECT DISTINCT id, nid FROM gram_hit) g ON g.id = s.id AND g.nid = s.nid
+    LEFT JOIN (SELECT DISTINCT id, nid FROM plural_hit) p ON p.id = s.id AND p.nid = s.nid LEFT JOIN tok_hit k ON k.id = s.id AND k.nid = s.nid) m
+  ON m.id = t.id AND m.tbl = t.tbl WHERE m.place <= 8 GROUP BY t.id, t.tbl),
+listed_columns AS (SELECT tbl, '  columns: ' || string_agg(col, ', ' ORDER BY idx) FILTER (idx < 32) || CASE WHEN count(*) > 32 THEN ' ...' ELSE '' END AS line FROM catalog GROUP BY tbl),
+table_text AS (
+  SELECT t.id, string_agg(concat_ws(chr(10), '- ' || t.tbl || ' (score ' || t.score || '):', c.line, l.line, CASE WHEN len(e.texts) > 0 THEN '  evidence: ' || array_to_string(e.texts, '; ') END), chr(10) ORDER BY t.rank) AS lines
+  FROM top t JOIN listed_columns l ON l.tbl = t.tbl JOIN evidence e ON e.id = t.id AND e.tbl = t.tbl LEFT JOIN column_text c ON c.id = t.id AND c.tbl = t.tbl WHERE t.rank <= 8 GROUP BY t.id),
+near AS (
+  SELECT t.id, t.tbl, greatest(1, t.rank - CASE WHEN len(list_filter(e.texts, lambda x: contains(x, 'direct') OR contains(x, 'plural'))) > 0 THEN 5 ELSE 0 END) AS rank
+  FROM top t JOIN evidence e ON e.id = t.id AND e.tbl = t.tbl WHERE t.rank <= 8),
+shown_joins AS (
+  SELECT j.id, j.l, j.r, j.score, j.rank AS spot, coalesce(array_to_string(c.texts[1:5], '; '), '') AS why, x.rank + y.rank AS ranks FROM all_joins j JOIN near x ON x.id = j.id AND x.tbl = j.lt JOIN near y ON y.id = j.id AND y.tbl = j.rt
+  JOIN compat c ON c.a = least(j.lt, j.rt) AND c.b = greatest(j.lt, j.rt) AND c.a || '.' || c.ac = CASE WHEN j.lt < j.rt THEN j.l ELSE j.r END AND c.b || '.' || c.bc = CASE WHEN j.lt < j.rt THEN j.r ELSE j.l END
+  WHERE j.rank <= 80 QUALIFY row_number() OVER (PARTITION BY j.id ORDER BY ranks, j.score DESC, spot) <= 8),
+evidence_text AS (
+  SELECT i.id, concat_ws(chr(10), 'Candidate join/key evidence:', (SELECT string_agg('- ' || l || ' = ' || r || ' (score ' || score || '): ' || why, chr(10) ORDER BY ranks, score DESC, spot) FROM shown_joins s WHERE s.id = i.id)) AS lines
+  FROM (SELECT DISTINCT id FROM all_joins) i),
+contexts AS MATERIALIZED (
+  SELECT a.id, concat_ws(chr(10), {_text('Tool result: schema_plan over the full dataset schema.' + chr(10) + 'This is non-gold schema-linking evidence. Use it to choose tables, joins, output fields, aggregates, and grain.')},
+    o.lines, g.lines, s.lines, j.lines, b.lines, 'Candidate tables with matched columns:', t.lines, e.lines,
+    'Before final SQL, map every requested output/filter/aggregate to one of the candidate columns and keep the grain consistent.') AS context
+  FROM asked a LEFT JOIN op_text o ON o.id = a.id LEFT JOIN grain_text g ON g.id = a.id LEFT JOIN slot_text s ON s.id = a.id LEFT JOIN join_text j ON j.id = a.id
+  LEFT JOIN blueprint_text b ON b.id = a.id LEFT JOIN table_text t ON t.id = a.id LEFT JOIN evidence_text e ON e.id = a.id)"""
+ORACLES["plans_sink"] = f"""WITH {_PLAN},
+brief AS (SELECT a.id, sha256(txt) AS question_hash, {_PER('slots')}), 0) AS slots, (SELECT pattern FROM blueprints x WHERE x.id = a.id) AS pattern FROM asked a),
+leaf AS (SELECT id AS at_0, question_hash AS q, sha256('{{"question_id":' || id || ',"question_hash":"' || question_hash || '","planner":"schema_plan_v3_non_gold_blueprints","slots":' || slots
+  || CASE WHEN pattern IS NULL THEN '' ELSE ',"pattern":"' || pattern || '"' END || '}}') AS p FROM brief),
+chunk AS (SELECT at_0 // 1024 AS at_1, sha256(string_agg(q, chr(10) ORDER BY at_0)) AS q, sha256(string_agg(p, chr(10) ORDER BY at_0)) AS p FROM leaf GROUP BY 1),
+wide_chunk AS (SELECT at_1 // 1024 AS at_2, sha256(string_agg(q, chr(10) ORDER BY at_1)) AS q, sha256(string_agg(p, chr(10) ORDER BY at_1)) AS p FROM chunk GROUP BY 1)
+SELECT 'retail' AS dataset, (SELECT count(*) FROM brief) AS items, 'schema_plan_v3_non_gold_blueprints' AS planner,
+  sha256(string_agg(q, chr(10) ORDER BY at_2)) AS questions_sha256, sha256(string_agg(p, chr(10) ORDER BY at_2)) AS plans_sha256 FROM wide_chunk"""
+ORACLES["plan_context"] = f"WITH {_CONTEXT} SELECT id AS question_id, context FROM contexts"
+
 # --- static verification: one relational rule per check ----------------------------------------------------------------------------------
 
 _SQLS = f"""sqls AS MATERIALIZED (SELECT sql_id, question_id AS id, sql, upper(sql) AS u, preview_rows FROM {oracle_input(workload.SQLS)}),
@@ -789,13 +878,6 @@ SELECT sql_id, score, findings, serious AND score <= 90 AS should_repair FROM s"
 
 # --- prompts and provenance --------------------------------------------------------------------------------------------------------------
 
-from assayer.rules import prompts as texts  # noqa: E402
-
-
-def _text(value: str) -> str:
-    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
 _CASES = f"""cases AS (SELECT question_id AS id, 'q' || question_id AS case_id, question, question_id % 11 = 0 AS agentic, CASE WHEN question_id % 4 = 0 THEN 'unknown' ELSE 'retail' END AS db,
   CASE WHEN question_id % 2 = 0 THEN 'Table customer: c_custkey bigint, c_name string' ELSE {_text(texts.NO_SCHEMA)} END AS schema_text,
   CASE WHEN question_id % 3 = 0 THEN {_text('Untrusted evidence/context starts here:' + chr(10) + '<benchmark_evidence>' + chr(10))} || 'see customer ' || question_id || {_text(chr(10) + '</benchmark_evidence>' + chr(10) + chr(10))} ELSE '' END AS evidence
@@ -834,6 +916,12 @@ _SEARCH_HEAD = [
     "These are additional candidate tables/columns discovered from the full schema. They are not gold labels; verify fit before use.",
     "When a table name directly matches words in the question, treat it as strong evidence and compare it against broader hierarchy/summary tables before choosing joins.",
 ]
+ORACLES["plan_tool_context"] = f"""WITH {_CASES}, {_CONTEXT},
+told AS (SELECT case_id, s, u || chr(10) || chr(10) || context AS u FROM prompted p JOIN contexts c ON c.id = p.id)
+SELECT case_id AS chat_id, 0 AS pos, 'system' AS role, length(s) AS chars, sha256(s) AS digest FROM told UNION ALL SELECT case_id, 1, 'user', length(u), sha256(u) FROM told"""
+ORACLES["call_metrics"] = """
+SELECT c.conv_id, c.turn, sha256(c.text) AS prompt_sha256, length(c.text) AS prompt_chars, length(a.text) AS output_chars, round((c.conv_id % 1000) / 7, 3) AS latency_seconds
+FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 AND a.role <> 'user' WHERE c.role = 'user'"""
 ORACLES["tool_context"] = f"""WITH {_CASES}, {_QUESTIONS}, {_CATALOG}, {_SEARCH},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tbl) AS rank FROM searched QUALIFY rank <= 8),
 cols AS (SELECT tbl, string_agg(col, ', ' ORDER BY idx) AS listed FROM catalog GROUP BY tbl),
@@ -847,6 +935,11 @@ UNION ALL SELECT case_id, 1, 'user', length(u) + coalesce(2 + length(context), 0
 ORACLES["case_sources"] = f"""
 SELECT b AS benchmark, 'sql' AS mode, d AS dialect, question, 'SELECT ' || question_id AS gold_sql, 'retail' AS db_id, '' AS evidence
 FROM {oracle_input(workload.QUESTIONS)}, (VALUES ('bird-mini-dev', 'sqlite'), ('defog-sql-eval', 'postgres')) s(b, d)"""
+ORACLES["json_cases"] = f"""
+SELECT b AS benchmark, 'sqlite' AS dialect, question, 'SELECT ' || question_id AS gold_sql, 'retail' AS db_id,
+  CASE WHEN b = 'bird-mini-dev' AND question_id % 2 = 0 THEN 'k' || question_id ELSE '' END AS evidence, row_number() OVER (PARTITION BY b, question_id // 500 ORDER BY question_id) - 1 AS pos,
+  CASE WHEN b = 'bird-mini-dev' THEN 'bird_' || question_id ELSE 'kaggledbqa_' || row_number() OVER (PARTITION BY b, question_id // 500 ORDER BY question_id) - 1 END AS case_id
+FROM {oracle_input(workload.QUESTIONS)}, (VALUES ('bird-mini-dev'), ('kaggledbqa')) s(b)"""
 ORACLES["public_cases"] = f"""
 SELECT 'q' || question_id AS case_id, 'bird-mini-dev' AS benchmark, 'sql' AS mode, 'sqlite' AS dialect, question, CASE WHEN question_id % 4 = 0 THEN '' ELSE 'retail' END AS db_id, '' AS db_path,
   CASE WHEN question_id % 3 = 0 THEN 'see customer ' || question_id ELSE '' END AS evidence FROM {oracle_input(workload.QUESTIONS)}"""

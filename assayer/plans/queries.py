@@ -209,6 +209,46 @@ def rankable_runs(spark, sf_dir):
     return leak.rankable(scoped).select("run_id", "benchmark", "track", "scope", "result_class", "not_evaluated", "exact_matches")
 
 
+@query
+def result_classes(spark, sf_dir):
+    """Places on the leaderboards of each benchmark, one per result class, of runs in every mode and by every provider."""
+    runs = workload.derive(spark, sf_dir, workload.FAIRNESS_RUNS, case_runs=workload.case_runs(spark, sf_dir))
+    planned = workload.case_runs(spark, sf_dir).groupBy("benchmark").agg((F.count("*") / 40).alias("planned_items"))
+    rows = _report(spark, sf_dir).drop("mode", "provider").join(runs.select("run_id", "mode", "provider"), "run_id")
+    tracked = rows.withColumn("track", cost.effective_track(F.col("provider"), F.col("track")))
+    scoped = tracked.join(report.scope_coverage(tracked, planned).select("run_id", "scope"), "run_id")
+    placed = report.class_places(leak.rankable(scoped))
+    return placed.select("benchmark", "result_class", "place", "run_id", "mode", "track", "exact_matches")
+
+
+@query
+def evaluation_sink(spark, sf_dir):
+    """Details by benchmark, summaries and audits written, read back and put side by side per run."""
+    folder = work_folder(spark, "evaluation")
+    details = workload.case_runs(spark, sf_dir).select(
+        "run_id", "case_id", "benchmark", F.expr("exact = 1 AND failed = 0").alias("exact_match"), F.expr("failed = 1").alias("pred_failed")
+    )
+    artifacts.write_evaluation(details, _summaries(spark, sf_dir), _audits(spark, sf_dir), folder)
+    stored, summaries, audits = artifacts.read_evaluation(spark, folder)
+    counted = stored.groupBy("run_id", "benchmark").agg(
+        F.count("*").alias("cases"), F.count_if("exact_match").alias("exact_cases"), F.count_if("pred_failed").alias("failed_cases")
+    )
+    whole = counted.join(summaries.select("run_id", "total_evaluated", "exact_matches"), "run_id", "left")
+    return whole.join(audits.select("run_id", "classification", "score_eligible"), "run_id", "left")
+
+
+@query
+def report_sink(spark, sf_dir):
+    """The grouped report written as JSON lines and read back."""
+    path = work_folder(spark, "report")
+    rows = report.grouped_report(_report(spark, sf_dir))
+    artifacts.write_report(rows, path)
+    stored = artifacts.read_report(spark, path, rows.schema)
+    return _rounded(stored).select(
+        "benchmark_group", "track_group", "place", "run_id", "provider", "exact_matches", "execution_accuracy_pct", "estimated_cost_usd", "fairness_classification"
+    )
+
+
 @query
 def scope_coverage(spark, sf_dir):
     planned = workload.case_runs(spark, sf_dir).groupBy("benchmark").agg((F.count("*") / 40).alias("planned_items"))
@@ -627,6 +667,26 @@ def plan_context(spark, sf_dir):
     return plan.plan_context(_plans(spark, sf_dir))
 
 
+@query
+def plans_sink(spark, sf_dir):
+    """Plans written as JSON lines and read back, counted and digested."""
+    folder = work_folder(spark, "plans")
+    plans = _plans(spark, sf_dir)
+    artifacts.write_plans(plans, folder)
+    stored = artifacts.read_plans(spark, folder, plans.schema)
+    brief = stored.select("question_id", "question_hash", "planner", F.size("slot_map").alias("slots"), F.col("blueprint.pattern").alias("pattern"))
+    return plan.plan_audit(brief.withColumn("pos", F.col("question_id")), "retail", "pos")
+
+
+@query
+def plan_tool_context(spark, sf_dir):
+    """Schema plans as text appended to prompts built from the same questions."""
+    built = prompts.prompt_messages(_prompted(spark, sf_dir))
+    contexts = plan.plan_context(_plans(spark, sf_dir)).select(F.concat(F.lit("q"), F.col("question_id").cast("string")).alias("chat_id"), "context")
+    added = prompts.with_tool_context(built, contexts)
+    return added.select("chat_id", "pos", "role", F.char_length("content").cast("bigint").alias("chars"), F.sha2("content", 256).alias("digest"))
+
+
 # --- static verification ----------------------------------------------------------------------------------------------------
 
 
@@ -710,6 +770,16 @@ def set_digest(spark, sf_dir):
     return provenance.prompt_set_digest(hashed)
 
 
+@query
+def call_metrics(spark, sf_dir):
+    """Sizes, digest and time of every model call: a user turn and the turn that answers it."""
+    turns = workload.table(spark, sf_dir, "conversations")
+    answers = turns.where("role <> 'user'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
+    calls = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"), ((F.col("conv_id") % 1000) / 7).alias("seconds"))
+    found = provenance.case_metrics(calls.join(answers, ["conv_id", "turn"], "left"))
+    return found.select("conv_id", "turn", "prompt_sha256", "prompt_chars", "output_chars", "latency_seconds")
+
+
 @query
 def chat_flatten(spark, sf_dir):
     return prompts.flatten_chats(workload.messages(spark, sf_dir))
@@ -787,6 +857,32 @@ def case_sources(spark, sf_dir):
     return united.select("benchmark", "mode", "dialect", "question", "gold_sql", "db_id", "evidence")
 
 
+@query
+def json_cases(spark, sf_dir):
+    """Case files of both JSON shapes, each holding five hundred questions, read with their lineage."""
+    folder = work_folder(spark, "json-cases")
+    asked = workload.questions(spark, sf_dir)
+    number = F.col("question_id")
+    sql, none = F.concat(F.lit("SELECT "), number.cast("string")), F.lit(None).cast("string")
+    keyed = F.struct(
+        number.alias("question_id"), "question", F.lit("retail").alias("db_id"), F.lit("").alias("evidence"),
+        F.when(number % 2 == 0, F.concat(F.lit("k"), number.cast("string"))).otherwise("").alias("knowledge"),
+        F.when(number % 3 == 0, sql).otherwise("").alias("SQL"), sql.alias("query"),
+    )
+    nested = F.struct(
+        "question", F.lit("retail").alias("db_id"), F.when(number % 2 == 0, sql).otherwise(none).alias("query"), F.struct(sql.alias("query")).alias("sql")
+    )
+    part = F.floor(number / 500).alias("part")
+    listed = lambda item: asked.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(number.alias("at"), item.alias("item"))))["item"].alias("data"))
+    listed(keyed).select(F.to_json("data").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/list")
+    listed(nested).select("data").write.option("maxRecordsPerFile", 1).json(f"{folder}/data")
+    columns = ["benchmark", "dialect", "question", "gold_sql", "db_id", "evidence"]
+    first = cases.read_json_array_cases(spark, f"{folder}/list").select(*columns, "pos", "case_id")
+    # file names are Spark's own and not part of the result
+    second = cases.read_json_file_cases(spark, f"{folder}/data").select(*columns, "pos", F.regexp_replace("case_id", "_.*_", "_").alias("case_id"))
+    return first.unionByName(second)
+
+
 @query
 def public_cases(spark, sf_dir):
     full = cases.normalize_cases(_cases(spark, sf_dir).withColumn("gold_sql", F.lit("SELECT 1")), "bird-mini-dev")

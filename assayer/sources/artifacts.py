@@ -199,11 +199,27 @@ def write_evaluation(details: DataFrame, summary: DataFrame, audits: DataFrame,
     audits.write.mode("overwrite").json(f"{folder}/audit")
 
 
+def read_evaluation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Details, summaries and audits as written, the latter two keyed by run."""
+    stored = lambda name, schema: spark.read.schema(f"run_id string, {schema}").json(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/details"), stored("summary", schemas.SUMMARY), stored("audit", schemas.AUDIT)
+
+
 def write_plans(plans: DataFrame, folder: str) -> None:
     plans.write.mode("overwrite").json(f"{folder}/plans")
 
 
+def read_plans(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """Plans as written, in the schema they had."""
+    return spark.read.schema(schema).json(f"{folder}/plans")
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Report rows by group and place; a report has a row per run."""
     order = [F.col("benchmark_group").desc(), F.col("track_group").desc(), F.col("place")]
     report.orderBy(*order).write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Report rows as written, in the schema they had."""
+    return spark.read.schema(schema).json(path)

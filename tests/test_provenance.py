@@ -34,3 +34,21 @@ def test_strict_profile_adds_missing_messages(spark):
     assert [role for role, _ in by_chat["a"]] == ["system", "user"] and by_chat["a"][1][1].startswith("hi\n\n")
     assert [role for role, _ in by_chat["b"]] == ["system", "assistant", "user"] and by_chat["b"][0][1].startswith("sys\n\n")
     assert by_chat["c"][1] == ("user", "1")
+
+
+def test_tree_digest_hashes_chunks_then_their_digests(spark):
+    rows = spark.range(30).select((F.col("id") % 2).alias("run"), F.floor(F.col("id") / 2).alias("pos"), F.concat(F.lit("é"), "id").alias("piece"))
+
+    def hashed(pieces):
+        return hashlib.sha256("\n".join(pieces).encode()).hexdigest()
+
+    def tree(pieces):
+        for _ in range(2):
+            pieces = [hashed(pieces[i : i + 4]) for i in range(0, len(pieces), 4)]
+        return hashed(pieces)
+
+    want = {k: tree([f"é{i}" for i in range(30) if i % 2 == k]) for k in (0, 1)}
+    for parts in (1, 7):
+        found = provenance.tree_digest(rows.repartition(parts), "run", "pos", "piece", per_chunk=4)
+        assert {r["run"]: r["digest"] for r in found.collect()} == want
+    assert provenance.tree_digest(rows.limit(0), "run", "pos", "piece").count() == 0

@@ -8,7 +8,8 @@ CHECKED = (
     "scan_capped setup_scan archive_findings question_tokens question_ngrams question_values required_ops extract_answer plan_keys example_values "
     "table_scores schema_search join_candidates slot_map sql_features join_equalities case_prompts set_digest strict_prompt case_sources "
     "picked_databases artifact_completeness latest_manifest run_index "
-    "run_case_filter model_rollup upserted_manifest raw_case_texts gold_lines long_case_ids task_texts value_hits value_scores"
+    "run_case_filter model_rollup upserted_manifest raw_case_texts gold_lines long_case_ids task_texts value_hits value_scores "
+    "plan_context plan_tool_context plans_sink result_classes evaluation_sink report_sink call_metrics json_cases"
 ).split()
 
 

@@ -1,7 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import cost, leak, report
+from assayer.sources import artifacts
 
 # the published pilot: benchmark, model, exact of 5, cost in USD, SQL errors
 PILOT = [
@@ -100,3 +103,34 @@ def test_fairness_classes(spark):
 def test_matrix_needs_one_scope(spark):
     with pytest.raises(ValueError):
         report.planned_runs(spark.range(1).selectExpr("'x' AS benchmark"), ["a/b"], "raw", 3, True)
+
+
+def test_report_is_written_in_group_order(spark, tmp_path):
+    rows = [(f"r{i}", f"b{i % 3}", ["raw", "plan"][i % 2], None if i == 4 else float(i % 5)) for i in range(20)]
+    table = spark.createDataFrame(rows, "run_id string, benchmark string, track string, execution_accuracy_pct double")
+    grouped = report.grouped_report(table.repartition(5))
+    artifacts.write_report(grouped, str(tmp_path / "report"))
+    files = sorted((tmp_path / "report").glob("*.json"))
+    stored = [json.loads(line) for file in files for line in file.read_text().splitlines()]
+    keys = [(r["benchmark_group"], r["track_group"]) for r in stored]
+    assert keys == sorted(keys, reverse=True) and len(keys) == 20
+    assert [r["place"] for r in stored] == [p for key in dict.fromkeys(keys) for p in range(1, keys.count(key) + 1)]
+    back = artifacts.read_report(spark, str(tmp_path / "report"), grouped.schema)
+    assert sorted(back.collect(), key=str) == sorted(grouped.collect(), key=str)
+
+
+def test_places_within_result_classes(spark):
+    rows = [
+        ("a", "b1", "raw", "sql", "fair", True, "full", 50.0),
+        ("b", "b1", "raw", "sql", "fair", True, "full", 70.0),
+        ("c", "b1", "bounded-agent", "sql", "fair", True, "full", 90.0),
+        ("d", "b1", "raw", "agentic_dbt", "agentic_fair", True, "full", None),
+        ("e", "b1", "raw", "sql", "diagnostic_contaminated", True, "full", 99.0),
+        ("f", "b1", "raw", "sql", "fair", None, "full", 99.0),
+        ("g", "b1", "raw", "sql", "fair", True, "pilot", 99.0),
+    ]
+    columns = "run_id string, benchmark string, track string, mode string, fairness_classification string, score_eligible boolean, scope string, execution_accuracy_pct double"
+    placed = report.class_places(leak.rankable(spark.createDataFrame(rows, columns)))
+    assert {r["run_id"]: (r["result_class"], r["place"]) for r in placed.collect()} == {
+        "b": ("raw", 1), "a": ("raw", 2), "c": ("bounded-agent", 1), "d": ("agentic", 1)
+    }
