@@ -40,9 +40,9 @@ def join_index(keyed: DataFrame, index: DataFrame, on: list[str], max_rows: int
     return keyed.join(F.broadcast(index) if small else index.hint("merge"), on)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Spread compact rows evenly over all tasks before they are widened.
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Spread compact rows over all tasks before they are widened: evenly, or by keys that must stay together.
 
     A small file can hold rows that explode a hundredfold; moving them first is cheap and shares the work.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

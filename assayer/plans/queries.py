@@ -1040,7 +1040,7 @@ def raw_case_texts(spark, sf_dir):
     case = F.concat(F.lit("case"), F.col("doc_id").cast("string"))
     broken = F.when(F.col("doc_id") % 7 == 0, F.expr("CAST(X'FF78' AS STRING)")).otherwise("")
     files = docs.where("doc_id % 5 <> 0").select(F.col("lang").alias("run"), case.alias("case"), F.concat("text", broken).alias("value"))
-    files.write.partitionBy("run", "case").text(folder)
+    artifacts.write_case_files(files, folder)
     expected = docs.select(F.concat(F.lit("run="), "lang").alias("run_id"), F.concat(F.lit("case="), case).alias("case_id"))
     read = artifacts.read_case_files(spark, folder, "*.txt", expected)
     plain = lambda name: F.regexp_replace(name, "^[a-z]+=", "").alias(name)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer import schemas
+from assayer.operators.ranking import spread
 from assayer.session import materialize
 
 
@@ -60,6 +61,14 @@ def read_case_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
+def write_case_files(files: DataFrame, folder: str) -> None:
+    """One text file per case of ``files(run, case, value)``, in a folder ``run=.../case=...``.
+
+    Cases are dealt over all tasks: a compact table may be one split, and a file costs the same whatever its size.
+    """
+    spread(files, "run", "case").write.partitionBy("run", "case").text(folder)
+
+
 def read_case_files(spark: SparkSession, folder: str, name: str, expected: DataFrame) -> DataFrame:
     """Texts of ``expected(run_id, case_id)`` from files of any bytes: ``(run_id, case_id, text, bytes, repaired, found)``.
 

@@ -86,3 +86,13 @@ def test_subtotals(spark):
     assert set(got) == {(0, "a", "x"), (0, "a", "y"), (0, "b", None), (1, "a", None), (1, "b", None), (3, None, None)}
     assert got[1, "a", None]["cost_per_exact_match_usd"] == 0.5 and got[3, None, None]["runs"] == 4
     assert round(got[0, "a", "y"]["execution_accuracy_pct"], 6) == 33.333333 and got[0, "b", None]["execution_accuracy_pct"] is None
+
+
+def test_case_files_are_dealt_over_tasks(spark, tmp_path):
+    rows = [("en", f"c{i}", f"text {i}") for i in range(40)] + [("en", "twice", "a")] * 2
+    files = spark.createDataFrame(rows, "run string, case string, value string")
+    for name, given in (("one_split", files.coalesce(1)), ("many_splits", files.repartition(7))):
+        artifacts.write_case_files(given, str(tmp_path / name))
+        written = list((tmp_path / name).rglob("*.txt"))
+        assert len(written) == 41 and len({f.name.split("-")[1] for f in written}) > 1
+        assert next((tmp_path / name / "run=en" / "case=twice").glob("*.txt")).read_text() == "a\na\n"
