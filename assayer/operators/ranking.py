@@ -46,3 +46,12 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     A small file can hold rows that explode a hundredfold; moving them first is cheap and shares the work.
     """
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def join_wide(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join sides that both grow with the questions, by shuffle.
+
+    Estimates rest on the size of files: tables that compress well, or are widened after they are read, look small
+    enough for a broadcast when they fill the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
