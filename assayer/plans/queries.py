@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import sqltext, text
 from assayer.operators import cost, evaluate, joins, leak, linking, plan, prompts, provenance, report, scan, slots, suites, values, verify
+from assayer.operators.ranking import spread
 from assayer.plans import suite, workload
 from assayer.rules import retail
 from assayer.session import guard, work_folder
@@ -443,7 +444,7 @@ def _user_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = workload.questions(spark, sf_dir).withColumn("question_id", -F.col("question_id") - 1)
-    return asked.unionByName(_user_texts(spark, sf_dir))
+    return spread(asked.unionByName(_user_texts(spark, sf_dir)))
 
 
 @query
@@ -454,10 +455,8 @@ def question_tokens(spark, sf_dir):
 
 @query
 def question_ngrams(spark, sf_dir):
-    grams = text.ngrams(F.col("question"))
-    return _all_questions(spark, sf_dir).select(
-        "question_id", F.size(grams).alias("grams"), F.sha2(_joined(F.array_sort(grams), "|"), 256).alias("digest")
-    )
+    found = _all_questions(spark, sf_dir).select("question_id", text.ngrams(F.col("question")).alias("grams"))
+    return found.select("question_id", F.size("grams").alias("grams"), F.sha2(_joined(F.array_sort("grams"), "|"), 256).alias("digest"))
 
 
 @query

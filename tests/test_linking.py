@@ -113,3 +113,13 @@ def test_campus_plan_and_verification(spark):
     assert "overconstrained_subject_code_context" in codes[2] and codes[2][-1] == "empty_result"
     assert codes[2].count("missing_blueprint_detail_column") == 1
     assert all(r["score"] == 0 and r["should_repair"] for r in checked.collect())
+
+
+def test_question_words_are_worked_out_in_all_tasks(spark, tmp_path):
+    from assayer.plans import queries
+
+    spark.createDataFrame([(1, "n", 1, 1.0, "S")], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 0, "user", "one two")], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.QUERIES["question_ngrams"](spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["question_id"]: r["grams"] for r in found.collect()}[1000] == 3
