@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import text
-from assayer.operators.ranking import top_rows
+from assayer.operators.ranking import join_index, join_wide, top_rows
 from assayer.rules import vocab
+from assayer.session import materialize
 
 
 def column_profiles(catalog: DataFrame, examples: DataFrame, max_values: int = 20) -> DataFrame:
@@ -180,10 +181,14 @@ def best_columns(compatibility: DataFrame, min_score: float = 3.0) -> DataFrame:
 
 
 def join_candidates(candidates: DataFrame, profiles: DataFrame, max_tables: int = 12, max_joins: int = 16) -> DataFrame:
-    """The strongest joins among each question's candidate tables."""
-    pairs = candidate_pairs(candidates, max_tables)
-    best = best_columns(column_compatibility(unordered_pairs(pairs), profiles))
-    found = pairs.join(best, ["left_table", "right_table"])
+    """The strongest joins among each question's candidate tables.
+
+    The best columns per table pair are written: they are few, while the ranked tables behind them are many.
+    """
+    ranked = materialize(candidates.select("question_id", "rank", "table"), "ranked")
+    pairs = candidate_pairs(ranked, max_tables)
+    best = materialize(best_columns(column_compatibility(unordered_pairs(pairs), profiles)), "joins")
+    found = join_index(pairs, best, ["left_table", "right_table"])
     order = [F.col("score").desc(), F.col("left"), F.col("right")]
     return top_rows(found, ["question_id"], order, max_joins, rank="rank").select(
         "question_id", "rank", "left", "right", "score", "evidence"
@@ -206,7 +211,7 @@ def column_owners(wants: DataFrame, catalog: DataFrame, candidates: DataFrame) -
     named = named.select("*", F.upper("name").alias("key")).drop("name").distinct()
     owners = catalog.select("table", "column", F.upper("column").alias("key"))
     ranks = candidates.select("question_id", "table", "rank")
-    scored = named.join(owners, "key").join(ranks, ["question_id", "table"], "left")
+    scored = join_wide(join_index(named, owners, ["key"]), ranks, ["question_id", "table"], "left")
     matches = lambda tables: F.size(F.filter(tables, lambda t: is_family(t, F.col("table"))))
     score = (
         F.coalesce(F.greatest(F.lit(0), 20 - F.col("rank")), F.lit(0))

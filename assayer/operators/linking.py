@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import text
-from assayer.operators.ranking import join_index, spread, top_rows
+from assayer.operators.ranking import join_index, join_wide, spread, top_rows
 from assayer.rules import vocab
 from assayer.sources.catalog import flatten_examples
 
@@ -118,7 +118,7 @@ def table_scores(questions: DataFrame, catalog: DataFrame, examples: DataFrame)
     if plurals.filter(long).limit(1).count():
         # names longer than a key: their last characters occur, the whole is looked up in the question
         bodies = questions.select("question_id", text.normalize(F.col("question")).alias("body"))
-        checked = near.filter(long).join(bodies, "question_id").filter(F.contains("body", "plural")).drop("body")
+        checked = join_wide(near.filter(long), bodies, ["question_id"]).filter(F.contains("body", "plural")).drop("body")
         near = near.filter(~long).unionByName(checked)
     named_once = near.select("question_id", "table", "col_idx", "weight").distinct()
     return (
@@ -174,14 +174,14 @@ def _plural_hit(body: Column, name: Column) -> Column:
 def describe_candidates(top: DataFrame, questions: DataFrame, profiles: DataFrame) -> DataFrame:
     """Candidates with their matched columns (best ten) and evidence texts, from the few chosen pairs only."""
     q = F.col("question")
-    features = questions.select(
+    features = spread(questions).select(
         "question_id",
         text.tokens(q).alias("q_tokens"),
         text.ngrams(q).alias("q_grams"),
         text.normalize(q).alias("q_body"),
         text.question_values(q).alias("q_values"),
     )
-    pairs = top.join(features, "question_id").join(profiles, "table")
+    pairs = join_index(join_wide(top, features, ["question_id"]), profiles, ["table"])
 
     def matched(column: Column) -> Column:
         overlap = F.array_sort(F.array_intersect("q_tokens", column["tokens"]))
@@ -293,8 +293,11 @@ def schema_search(questions: DataFrame, catalog: DataFrame, top_k: int = 8) -> D
     )
     pairs = join_index(keys, index, ["key"]).select("question_id", "table").distinct()
     scored = (
-        pairs.join(questions.select("question_id", lower.alias("q_lower"), words.alias("q_words")), "question_id")
-        .join(profile, "table")
+        join_index(
+            join_wide(pairs, questions.select("question_id", lower.alias("q_lower"), words.alias("q_words")), ["question_id"]),
+            profile,
+            ["table"],
+        )
         .select(
             "question_id",
             "table",

@@ -9,7 +9,7 @@ from assayer.functions import text
 from assayer.operators.joins import column_profiles, join_candidates
 from assayer.operators.linking import distractor_warnings, table_candidates
 from assayer.operators.provenance import tree_digest
-from assayer.operators.ranking import top_rows
+from assayer.operators.ranking import join_wide, spread, top_rows
 from assayer.operators.slots import blueprints, join_map, slot_map
 from assayer.session import materialize
 
@@ -57,7 +57,7 @@ def build_plans(
         _parts(distractor_warnings(candidates), "place", "warnings", ["warning"]),
         blueprint.select("question_id", F.struct(*[c for c in blueprint.columns if c != "question_id"]).alias("blueprint")),
     ]
-    plans = questions.select(
+    plans = spread(questions).select(
         "question_id",
         "question",
         F.sha2("question", 256).alias("question_hash"),
@@ -66,7 +66,7 @@ def build_plans(
         text.required_grain(F.col("question")).alias("grain"),
     )
     for part in parts:
-        plans = plans.join(part, "question_id", "left")
+        plans = join_wide(plans, part, ["question_id"], "left")
     empty = lambda name: F.coalesce(name, F.array().cast(plans.schema[name].dataType)).alias(name)
     lists = ["table_candidates", "join_candidates", "slot_map", "join_map", "warnings"]
     return plans.withColumns({name: empty(name) for name in lists})
@@ -78,8 +78,10 @@ def plan_audit(plans: DataFrame, dataset: str, pos: str) -> DataFrame:
     The digests are trees over chunks of plans, so no task reads all plans. No plans give no row.
     """
     body = F.to_json(F.struct(*[c for c in plans.columns if c != pos]))
-    hashed = plans.select(
-        F.lit(dataset).alias("dataset"), F.col(pos).alias("pos"), "planner", "question_hash", F.sha2(body, 256).alias("plan_hash")
+    # read three times, while the plans behind it are wide
+    hashed = materialize(
+        plans.select(F.lit(dataset).alias("dataset"), F.col(pos).alias("pos"), "planner", "question_hash", F.sha2(body, 256).alias("plan_hash")),
+        "hashes",
     )
     totals = hashed.groupBy("dataset").agg(F.count("*").alias("items"), F.max("planner").alias("planner"))
     digest = lambda piece, name: tree_digest(hashed, "dataset", "pos", piece).withColumnRenamed("digest", name)
@@ -129,9 +131,10 @@ def _number(score: Column) -> Column:
 
 
 def plan_context(plans: DataFrame, max_tables: int = 8, max_joins: int = 8) -> DataFrame:
-    """Plans as prompt text: ``(question_id, context)``."""
+    """Plans as prompt text: ``(question_id, context)``. Plans are read twice, so they are written first."""
+    plans = materialize(plans, "plans")
     joins = _parts(context_joins(plans, max_tables, max_joins), "place", "shown_joins", ["left", "right", "score", "evidence"])
-    plan = plans.join(joins, "question_id", "left")
+    plan = join_wide(plans, joins, ["question_id"], "left")
     filled = lambda name: F.size(name) > 0
     lit = F.lit
     slot_lines = F.flatten(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from assayer.functions import text
 from assayer.functions.text import text_array
 from assayer.operators.joins import column_owners, is_family
-from assayer.operators.ranking import top_rows
+from assayer.operators.ranking import join_wide, spread, top_rows
 
 ROLE_ORDER = ["grain", "filter", "output", "measure", "window_or_join"]
 
@@ -77,7 +77,7 @@ def slot_map(questions: DataFrame, catalog: DataFrame, candidates: DataFrame, ru
     # at most one row per table the rules name
     present = {r["table"] for r in catalog.filter(F.col("table").isin(*named)).select("table").distinct().collect()} if named else set()
     usable = [r for r in rules if not r.get("fixed") or r["fixed"][0] in present]
-    asked = questions.select("question_id", text.normalize(F.col("question")).alias("q"))
+    asked = spread(questions).select("question_id", text.normalize(F.col("question")).alias("q"))
     wants = asked.select(
         "question_id",
         F.inline(
@@ -87,7 +87,7 @@ def slot_map(questions: DataFrame, catalog: DataFrame, candidates: DataFrame, ru
         ),
     )
     owners = column_owners(wants.filter("fixed_table IS NULL"), catalog, candidates)
-    owned = wants.join(owners, ["question_id", "want"], "left").select(
+    owned = join_wide(wants, owners, ["question_id", "want"], "left").select(
         "question_id",
         "want",
         "slot",
@@ -112,7 +112,8 @@ def slot_map(questions: DataFrame, catalog: DataFrame, candidates: DataFrame, ru
 def _slot_tables(questions: DataFrame, slots: DataFrame) -> DataFrame:
     """Questions with the distinct tables of their slots; a question has at most one slot per rule."""
     tables = slots.groupBy("question_id").agg(F.collect_set("table").alias("slot_tables"))
-    return questions.select("question_id", text.normalize(F.col("question")).alias("q")).join(tables, "question_id")
+    asked = spread(questions).select("question_id", text.normalize(F.col("question")).alias("q"))
+    return join_wide(asked, tables, ["question_id"])
 
 
 def _applies(rule: dict) -> Column:

@@ -115,6 +115,18 @@ def test_campus_plan_and_verification(spark):
     assert all(r["score"] == 0 and r["should_repair"] for r in checked.collect())
 
 
+def test_sides_as_long_as_the_questions_are_never_broadcast(spark):
+    cat, asked = catalog(spark, CUSTOMER), questions(spark, "customers by customer name", "name of the customer")
+    top = linking.top_tables(linking.table_scores(asked, cat, examples(spark)))
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    described = linking.describe_candidates(top, asked, linking.table_profiles(cat, examples(spark)))
+    assert "SortMergeJoin [question_id" in plan_of(described)
+    wants = asked.selectExpr("question_id", "0 AS want", "array('c_name') AS column_names", "array('customer') AS preferred", "CAST(array() AS array<string>) AS avoided")
+    owners = joins.column_owners(wants, cat, top)
+    assert "SortMergeJoin [question_id" in plan_of(owners)
+    assert {r["question_id"]: r["column"] for r in owners.collect()} == {0: "c_name", 1: "c_name"}
+
+
 def test_question_words_are_worked_out_in_all_tasks(spark, tmp_path):
     from assayer.plans import queries
 
