@@ -97,8 +97,9 @@ def sampled_values(
     keys = ["table", "col_idx"]
     bucket = (F.col("hash") % per_column).cast("int")
     picked = united(False).groupBy(*keys, bucket.alias("bucket")).agg(F.min("hash").alias("hash")).drop("bucket")
+    # at most per_column rows a column are picked, so the cells stay where they are
     # values of one hash are few; the smallest of them stays, so a bucket has one value whatever collides
-    kept = united(True).join(picked, [*keys, "hash"], "left_semi").groupBy(*keys, bucket.alias("pos")).agg(F.min("value").alias("value"))
+    kept = united(True).join(F.broadcast(picked), [*keys, "hash"], "left_semi").groupBy(*keys, bucket.alias("pos")).agg(F.min("value").alias("value"))
     return kept.select("table", "col_idx", F.lit("col").alias("kind"), "pos", "value")
 
 

@@ -116,3 +116,17 @@ def test_manifest_failure_and_restriction(spark):
     all_cases = spark.createDataFrame([("a",), ("b",)], "case_id string")
     one = spark.createDataFrame([("a",)], "case_id string")
     assert evaluate.restrict_to_run(all_cases, one, True).count() == 1 and evaluate.restrict_to_run(all_cases, one, False).count() == 2
+
+
+def test_sampling_moves_no_cells_to_find_the_picked_hashes(spark):
+    from assayer.sources.catalog import sampled_values
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = sampled_values({"t": (spark.range(100).selectExpr("id AS a"), ["a"])})
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 8
+    finally:
+        spark.conf.set(key, before)
