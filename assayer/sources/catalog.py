@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.operators.ranking import top_rows
+from assayer.session import materialize
 
 CATALOG_SCHEMA = "table string, col_idx int, column string, type string"
 EXAMPLE_SCHEMA = "table string, col_idx int, kind string, pos int, value string"
@@ -76,9 +77,26 @@ def sampled_values(
 
     Values are dealt into ``per_column`` buckets by hash and the smallest hash of each bucket stays. The pick depends on
     the values only, so two columns of one domain pick the same ones and joinable columns show an overlap. Both passes
-    over the tables reduce map-side to ``per_column`` rows per column, whatever the size or skew of the data, and all
-    tables share them.
+    over whole numbers reduce map-side to ``per_column`` rows per column, whatever the size or skew of the data, and all
+    tables share them. Hashing a text costs far more than comparing it, so texts meet first and each distinct one is
+    hashed once, for both passes.
     """
+    whole = lambda frame, columns: [c for c in columns if isinstance(frame.schema[c].dataType, T.IntegralType)]
+    numbers = {name: (frame, found) for name, (frame, columns) in sources.items() if (found := whole(frame, columns))}
+    others = {name: (frame, left) for name, (frame, columns) in sources.items() if (left := [c for c in columns if c not in whole(frame, columns)])}
+
+    def texts(name: str, frame: DataFrame, columns: list[str]) -> DataFrame:
+        at = {c: frame.columns.index(c) for c in columns}
+        names = ", ".join(f"v{i} AS `{i}`" for i in at.values())
+        found = frame.sparkSession.sql(
+            f"SELECT * FROM {{cells}} UNPIVOT (value FOR col_idx IN ({names}))", cells=frame.select(*[F.col(c).cast("string").alias(f"v{i}") for c, i in at.items()])
+        )
+        return found.select(F.lit(name).alias("table"), F.col("col_idx").cast("int").alias("col_idx"), "value")
+
+    hashed_texts = None
+    if others:
+        distinct = reduce(DataFrame.unionByName, [texts(name, *source) for name, source in others.items()]).distinct()
+        hashed_texts = materialize(distinct.withColumn("hash", _value_hash(F.col("value"), T.StringType(), hashing)).filter("hash >= 0"), "texts")
 
     def cells(name: str, frame: DataFrame, columns: list[str], with_value: bool) -> DataFrame:
         at = {c: frame.columns.index(c) for c in columns}
@@ -92,14 +110,20 @@ def sampled_values(
         return found.filter("hash >= 0").withColumns({"table": F.lit(name), "col_idx": F.col("col_idx").cast("int")})
 
     def united(with_value: bool) -> DataFrame:
-        return reduce(DataFrame.unionByName, [cells(name, *source, with_value) for name, source in sources.items()])
+        parts = [cells(name, *source, with_value) for name, source in numbers.items()]
+        if hashed_texts is not None:
+            parts.append(hashed_texts if with_value else hashed_texts.drop("value"))
+        return reduce(DataFrame.unionByName, parts)
 
     keys = ["table", "col_idx"]
     bucket = (F.col("hash") % per_column).cast("int")
     picked = united(False).groupBy(*keys, bucket.alias("bucket")).agg(F.min("hash").alias("hash")).drop("bucket")
     # at most per_column rows a column are picked, so the cells stay where they are
+    found = united(True).join(F.broadcast(picked), [*keys, "hash"], "left_semi")
+    # columns of few values have all their cells here: copies meet in a hash map first, as the smallest text takes a sort
+    once = found.select(*keys, bucket.alias("pos"), "value").distinct()
     # values of one hash are few; the smallest of them stays, so a bucket has one value whatever collides
-    kept = united(True).join(F.broadcast(picked), [*keys, "hash"], "left_semi").groupBy(*keys, bucket.alias("pos")).agg(F.min("value").alias("value"))
+    kept = once.groupBy(*keys, "pos").agg(F.min("value").alias("value"))
     return kept.select("table", "col_idx", F.lit("col").alias("kind"), "pos", "value")
 
 

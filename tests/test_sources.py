@@ -130,3 +130,22 @@ def test_sampling_moves_no_cells_to_find_the_picked_hashes(spark):
         assert found.count() == 8
     finally:
         spark.conf.set(key, before)
+
+
+def test_distinct_texts_are_hashed_once(spark, capsys):
+    rows = [(i % 7 - 3, None if i % 11 == 0 else f"w{i % 40}", str(i % 5)) for i in range(400)] + [(None, " ", "007")]
+    frame = spark.createDataFrame(rows, "n bigint, t string, d string").withColumn("x", F.col("n") / 2)
+    sample = catalog.sampled_values({"a": (frame, ["t", "n"]), "b": (frame, ["d", "x"]), "c": (frame, ["n"])}, 4, catalog.portable_text_hash)
+    sample.explain()
+    # both passes over texts read hashes that were worked out before
+    assert "md5" not in capsys.readouterr().out
+    expected = set()
+    for table, columns in (("a", "tn"), ("b", "dx"), ("c", "n")):
+        for name in columns:
+            kind = frame.schema[name].dataType
+            hashes = frame.select(F.col(name).cast("string").alias("v"), catalog._value_hash(F.col(name), kind, catalog.portable_text_hash).alias("h"))
+            least = {}
+            for v, h in sorted({(v, h) for v, h in map(tuple, hashes.collect()) if v is not None}, key=lambda p: (p[1], p[0])):
+                least.setdefault(h % 4, v)
+            expected |= {(table, frame.columns.index(name), "col", pos, v) for pos, v in least.items()}
+    assert {tuple(r) for r in sample.collect()} == expected
