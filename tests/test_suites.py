@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.operators import evaluate, suites
 from assayer.session import work_folder
@@ -90,3 +91,38 @@ def test_cases_of_many_runs(spark):
     assert sorted((r["run_id"], r["case_id"]) for r in got.collect()) == [
         ("all", "1"), ("all", "2"), ("none", "1"), ("none", "2"), ("one", "2"), ("other", "1")
     ]
+
+
+def test_a_short_result_is_run_once(spark, monkeypatch):
+    folder, given = work_folder(spark, "t"), []
+    texts = ["SELECT id % 2 AS a, 'x' AS b FROM numbers WHERE id < 64", "SELECT id FROM numbers", "SELECT 1 WHERE false", "SELECT repeat('ab', 3000)"]
+    texts += ["SELECT CAST(NULL AS INT)", "SELECT nothing FROM numbers"]
+    work = suites.work_list(spark.createDataFrame([(t,) for t in texts], "sql string"), folder)
+    long, profiles = suites.row_bag, suites.profile
+    monkeypatch.setattr(suites, "profile", lambda result: given.append("profile") or profiles(result))
+    monkeypatch.setattr(suites, "row_bag", lambda result: given.append("rows") or long(result))
+    with suites.suite_session(spark, tables) as session:
+        status = suites.run_profiles(session, work, folder)
+        assert given == ["profile"] * 2  # of many rows and of a wide row
+        found = {r["query_id"]: r for r in status.join(work, "query_id").collect()}
+        for row in found.values():
+            if row["error"] is None:
+                assert (row["rows"], row["print"], row["check"]) == profiles(session.sql(row["sql"]))
+        done = work.join(status.where("error IS NULL"), "query_id", "left_semi")
+        bags = {(r["query_id"], tuple(r["row"])): r["n"] for r in suites.write_bags(session, done, status, folder).collect()}
+        assert given.count("rows") == 2
+        for row in found.values():
+            if row["error"] is None:
+                rows = {tuple(r["row"]): r["n"] for r in long(session.sql(row["sql"])).collect()}
+                assert {cells: n for (q, cells), n in bags.items() if q == row["query_id"]} == rows
+    assert sorted(r["rows"] for r in found.values() if r["error"] is None) == [0, 1, 1, 64, 100]
+
+
+def test_a_copy_in_order_of_a_column_keeps_all_rows(spark):
+    table = spark.range(1000).selectExpr("if(id % 10 = 0, NULL, id % 7) AS k", "id % 50 AS v")
+    copy = suites.in_order_of(table, "k")
+    assert copy.schema == table.schema and copy.exceptAll(table).isEmpty() and table.exceptAll(copy).isEmpty()
+    # no file's values reach into another file's
+    files = copy.where("k IS NOT NULL").groupBy("_metadata.file_path").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    spans = sorted((r["low"], r["high"]) for r in files.collect())
+    assert all(before[1] < after[0] for before, after in zip(spans, spans[1:]))
