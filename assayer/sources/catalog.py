@@ -76,54 +76,45 @@ def sampled_values(
     """Up to ``per_column`` distinct values of each listed column, as ``col`` examples: table name to (frame, columns).
 
     Values are dealt into ``per_column`` buckets by hash and the smallest hash of each bucket stays. The pick depends on
-    the values only, so two columns of one domain pick the same ones and joinable columns show an overlap. Both passes
-    over whole numbers reduce map-side to ``per_column`` rows per column, whatever the size or skew of the data, and all
-    tables share them. Hashing a text costs far more than comparing it, so texts meet first and each distinct one is
-    hashed once, for both passes.
+    the values only, so two columns of one domain pick the same ones and joinable columns show an overlap. Every column is
+    read for itself, so its cells are never widened to rows of all columns. Both passes over whole numbers reduce map-side
+    to ``per_column`` rows per column, whatever the size or skew of the data. Hashing a text costs far more than comparing
+    it, so texts meet first and each distinct one is hashed once, for both passes.
     """
-    whole = lambda frame, columns: [c for c in columns if isinstance(frame.schema[c].dataType, T.IntegralType)]
-    numbers = {name: (frame, found) for name, (frame, columns) in sources.items() if (found := whole(frame, columns))}
-    others = {name: (frame, left) for name, (frame, columns) in sources.items() if (left := [c for c in columns if c not in whole(frame, columns)])}
-
-    def texts(name: str, frame: DataFrame, columns: list[str]) -> DataFrame:
-        at = {c: frame.columns.index(c) for c in columns}
-        names = ", ".join(f"v{i} AS `{i}`" for i in at.values())
-        found = frame.sparkSession.sql(
-            f"SELECT * FROM {{cells}} UNPIVOT (value FOR col_idx IN ({names}))", cells=frame.select(*[F.col(c).cast("string").alias(f"v{i}") for c, i in at.items()])
-        )
-        return found.select(F.lit(name).alias("table"), F.col("col_idx").cast("int").alias("col_idx"), "value")
-
-    hashed_texts = None
-    if others:
-        distinct = reduce(DataFrame.unionByName, [texts(name, *source) for name, source in others.items()]).distinct()
-        hashed_texts = materialize(distinct.withColumn("hash", _value_hash(F.col("value"), T.StringType(), hashing)).filter("hash >= 0"), "texts")
-
-    def cells(name: str, frame: DataFrame, columns: list[str], with_value: bool) -> DataFrame:
-        at = {c: frame.columns.index(c) for c in columns}
-        hashes = [F.coalesce(_value_hash(F.col(c), frame.schema[c].dataType, hashing), F.lit(-1)).alias(f"h{at[c]}") for c in columns]
-        texts = [F.col(c).cast("string").alias(f"v{at[c]}") for c in columns] if with_value else []
-        names = ", ".join(f"(h{i}, v{i}) AS `{i}`" if with_value else f"h{i} AS `{i}`" for i in at.values())
-        shape = "(hash, value)" if with_value else "hash"
-        found = frame.sparkSession.sql(
-            f"SELECT * FROM {{cells}} UNPIVOT ({shape} FOR col_idx IN ({names}))", cells=frame.select(*hashes, *texts)
-        )
-        return found.filter("hash >= 0").withColumns({"table": F.lit(name), "col_idx": F.col("col_idx").cast("int")})
-
-    def united(with_value: bool) -> DataFrame:
-        parts = [cells(name, *source, with_value) for name, source in numbers.items()]
-        if hashed_texts is not None:
-            parts.append(hashed_texts if with_value else hashed_texts.drop("value"))
-        return reduce(DataFrame.unionByName, parts)
-
-    keys = ["table", "col_idx"]
+    keys, parts = ["table", "col_idx"], []
     bucket = (F.col("hash") % per_column).cast("int")
-    picked = united(False).groupBy(*keys, bucket.alias("bucket")).agg(F.min("hash").alias("hash")).drop("bucket")
-    # at most per_column rows a column are picked, so the cells stay where they are
-    found = united(True).join(F.broadcast(picked), [*keys, "hash"], "left_semi")
-    # columns of few values have all their cells here: copies meet in a hash map first, as the smallest text takes a sort
-    once = found.select(*keys, bucket.alias("pos"), "value").distinct()
+    named = lambda rows, key: rows.select(F.lit(key[0]).alias("table"), F.lit(key[1]).cast("int").alias("col_idx"), "*")
+    columns = {(name, frame.columns.index(c)): (frame, c) for name, (frame, listed) in sources.items() for c in listed}
+    whole = {key: (frame, c) for key, (frame, c) in columns.items() if isinstance(frame.schema[c].dataType, T.IntegralType)}
+
+    hashes = {key: _value_hash(F.col(c), frame.schema[c].dataType, hashing).alias("hash") for key, (frame, c) in whole.items()}
+    least = [
+        named(frame.select(hashes[key]).filter("hash >= 0").groupBy(bucket.alias("pos")).agg(F.min("hash").alias("hash")), key)
+        for key, (frame, _) in whole.items()
+    ]
+    picked = {}
+    # at most per_column hashes a column
+    for row in reduce(DataFrame.unionByName, least).collect() if least else []:
+        picked.setdefault((row["table"], row["col_idx"]), []).append(row["hash"])
+    for key, chosen in picked.items():
+        frame, c = whole[key]
+        # columns of few values have all their cells here: copies meet in a hash map first, as the smallest text takes a sort
+        found = frame.select(hashes[key], F.col(c).alias("value")).filter(F.col("hash").isin(chosen)).distinct()
+        parts.append(named(found.select(bucket.alias("pos"), F.col("value").cast("string").alias("value")), key))
+
+    if len(whole) < len(columns):
+        texts = [named(frame.select(F.col(c).cast("string").alias("value")).distinct(), key) for key, (frame, c) in columns.items() if key not in whole]
+        hashed = reduce(DataFrame.unionByName, texts).withColumn("hash", _value_hash(F.col("value"), T.StringType(), hashing))
+        hashed = materialize(hashed.filter("hash >= 0"), "texts")
+        smallest = hashed.groupBy(*keys, bucket.alias("bucket")).agg(F.min("hash").alias("hash")).drop("bucket")
+        # at most per_column rows a column are picked, so the texts stay where they are
+        found = hashed.join(F.broadcast(smallest), [*keys, "hash"], "left_semi")
+        parts.append(found.select(*keys, bucket.alias("pos"), "value"))
+
+    schema = "table string, col_idx int, pos int, value string"
+    found = reduce(DataFrame.unionByName, parts) if parts else next(iter(sources.values()))[0].sparkSession.createDataFrame([], schema)
     # values of one hash are few; the smallest of them stays, so a bucket has one value whatever collides
-    kept = once.groupBy(*keys, "pos").agg(F.min("value").alias("value"))
+    kept = found.groupBy(*keys, "pos").agg(F.min("value").alias("value"))
     return kept.select("table", "col_idx", F.lit("col").alias("kind"), "pos", "value")
 
 

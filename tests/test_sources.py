@@ -149,3 +149,13 @@ def test_distinct_texts_are_hashed_once(spark, capsys):
                 least.setdefault(h % 4, v)
             expected |= {(table, frame.columns.index(name), "col", pos, v) for pos, v in least.items()}
     assert {tuple(r) for r in sample.collect()} == expected
+
+
+def test_cells_are_not_widened_to_rows_of_all_columns(spark, capsys):
+    frame = spark.range(300).selectExpr("if(id % 5 = 0, NULL, id) AS a", "id % 3 AS b", "concat('t', id) AS c", "CAST(NULL AS INT) AS d")
+    sample = catalog.sampled_values({"x": (frame, ["a", "b", "c", "d"]), "y": (frame, ["d"])})
+    sample.explain()
+    assert "Expand" not in capsys.readouterr().out
+    counts = {r["col_idx"]: r["count"] for r in sample.groupBy("col_idx").count().collect()}
+    assert set(counts) == {0, 1, 2} and counts[0] == 8 and counts[1] == len({i * catalog._FACTOR % catalog._PRIME % 8 for i in range(3)})
+    assert catalog.sampled_values({"y": (frame, ["d"])}).isEmpty()
