@@ -105,20 +105,21 @@ def ngrams(text: Column, max_n: int = 4) -> Column:
     )
 
 
-def plural_keys(text: Column) -> Column:
+def plural_keys(text: Column, shortest: int = 1, longest: int = PLURAL_KEY_CHARS) -> Column:
     """Join keys for 'does this text contain <phrase>s or <phrase>es anywhere'.
 
     Every piece that ends in an ``s``, up to ``PLURAL_KEY_CHARS`` long. A phrase's plural occurs in the text
     exactly if its own last characters (see ``plural_key``) are among them and the text contains it as a whole,
-    so the containment test becomes an equi-join plus a check of the joined pairs.
+    so the containment test becomes an equi-join plus a check of the joined pairs. Pieces shorter or longer than any key
+    at hand may be left out.
     """
 
     def pieces(body: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.length(body)), lambda at: body.substr(at, F.lit(1)) == F.lit("s"))
+        ends = F.filter(F.sequence(F.lit(1), F.length(body)), lambda at: (at >= shortest) & (body.substr(at, F.lit(1)) == F.lit("s")))
         ending = F.transform(
             ends,
             lambda at: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(PLURAL_KEY_CHARS), at)),
+                F.sequence(F.lit(shortest), F.least(F.lit(longest), at)),
                 lambda size: body.substr(at - size + 1, size),
             ),
         )

@@ -84,8 +84,8 @@ def plural_index(catalog: DataFrame) -> DataFrame:
     )
 
 
-def question_keys(questions: DataFrame) -> DataFrame:
-    """Everything a question can be found by: ``(question_id, kind, key)``."""
+def question_keys(questions: DataFrame, longest_run: int = 4) -> DataFrame:
+    """Everything a question can be found by: ``(question_id, kind, key)``; word runs of up to ``longest_run`` words."""
     q = F.col("question")
     found = questions.select("question_id", q, text.tokens(q).alias("tokens"))
 
@@ -100,7 +100,7 @@ def question_keys(questions: DataFrame) -> DataFrame:
         "question_id",
         F.inline(
             F.concat(
-                keyed("token", F.col("tokens")), keyed("gram", text.ngrams(q)), keyed("value", values), keyed("coded", coded)
+                keyed("token", F.col("tokens")), keyed("gram", text.ngrams(q, longest_run)), keyed("value", values), keyed("coded", coded)
             )
         ),
     )
@@ -110,9 +110,13 @@ def table_scores(questions: DataFrame, catalog: DataFrame, examples: DataFrame)
     """Relevance of every table with any evidence: ``(question_id, table, score)``."""
     questions = spread(questions)
     index = table_index(catalog, examples)
-    direct = join_index(question_keys(questions), index, ["kind", "key"]).select("question_id", "table", "weight")
+    # runs and endings of a length that no name has meet none, so they are not made
+    words = index.filter("kind = 'gram'").agg(F.max(F.size(F.split("key", " ")))).first()[0]
+    direct = join_index(question_keys(questions, min(max(words or 1, 1), 4)), index, ["kind", "key"]).select("question_id", "table", "weight")
     plurals = plural_index(catalog)
-    ends = questions.select("question_id", F.explode(text.plural_keys(F.col("question"))).alias("key"))
+    chars = plurals.agg(F.min(F.length("key")).alias("least"), F.max(F.length("key")).alias("most")).first()
+    pieces = text.plural_keys(F.col("question"), chars["least"] or 1, chars["most"] or 1)
+    ends = questions.select("question_id", F.explode(pieces).alias("key"))
     near = join_index(ends, plurals, ["key"])
     long = F.length("plural") > text.PLURAL_KEY_CHARS
     if plurals.filter(long).limit(1).count():

@@ -135,3 +135,24 @@ def test_question_words_are_worked_out_in_all_tasks(spark, tmp_path):
     found = queries.QUERIES["question_ngrams"](spark, str(tmp_path))
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
     assert {r["question_id"]: r["grams"] for r in found.collect()}[1000] == 3
+
+
+def test_only_runs_and_endings_as_long_as_names_are_made(spark, monkeypatch):
+    from assayer.functions import text
+    from assayer.operators import linking
+    from assayer.sources.catalog import CATALOG_SCHEMA, EXAMPLE_SCHEMA
+
+    entries = spark.createDataFrame([("big_part", 0, "key", ""), ("big_part", 1, "unit_price", ""), ("city", 0, "a", "")], CATALOG_SCHEMA)
+    asked = ["Big parts by unit price", "unit prices of keys in the cityes", "as", "s", "", None, "the big part and the key"]
+    questions = spark.createDataFrame(list(enumerate(asked)), "question_id int, question string")
+    examples = spark.createDataFrame([("city", 0, "col", 0, "Unit")], EXAMPLE_SCHEMA)
+    ngrams, endings, made = text.ngrams, text.plural_keys, []
+    scores = lambda: {tuple(r) for r in linking.table_scores(questions, entries, examples).collect()}
+    with monkeypatch.context() as whole:
+        whole.setattr(text, "ngrams", lambda q, n=4: ngrams(q))
+        whole.setattr(text, "plural_keys", lambda q, *lengths: endings(q))
+        expected = scores()
+    monkeypatch.setattr(text, "ngrams", lambda q, n=4: made.append(n) or ngrams(q, n))
+    monkeypatch.setattr(text, "plural_keys", lambda q, *lengths: made.append(lengths) or endings(q, *lengths))
+    assert scores() == expected and len(expected) > 4
+    assert made == [2, (2, 12)]
