@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.lines import split_lines
 from assayer.functions.text import bound, rstrip, strip, text_array
+from assayer.operators.ranking import join_wide
 from assayer.rules import prompts as texts
 
 PART_MESSAGES = 256
@@ -125,10 +126,13 @@ def strict_messages(messages: DataFrame) -> DataFrame:
 
 
 def with_tool_context(messages: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Append ``contexts(chat_id, context)`` to each chat's last user message, or as a new one; empty ones change nothing."""
+    """Append ``contexts(chat_id, context)`` to each chat's last user message, or as a new one; empty ones change nothing.
+
+    All sides are as long as the chats, whatever their files weigh, so none is sent to the driver for a broadcast.
+    """
     useful = contexts.filter("context <> ''")
-    edges = _edges(messages.join(useful.select("chat_id"), "chat_id", "left_semi")).join(useful, "chat_id")
-    edited = messages.join(edges.select("chat_id", "last_user", "context"), "chat_id", "left").select(
+    edges = join_wide(_edges(messages), useful, ["chat_id"])
+    edited = join_wide(messages, edges.select("chat_id", "last_user", "context"), ["chat_id"], "left").select(
         "chat_id",
         "pos",
         "role",

@@ -3,6 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from assayer.operators import prompts, provenance
+from assayer.session import materialize
 
 
 def test_long_keys_stream_to_the_same_digest(spark):
@@ -52,3 +53,17 @@ def test_tree_digest_hashes_chunks_then_their_digests(spark):
         found = provenance.tree_digest(rows.repartition(parts), "run", "pos", "piece", per_chunk=4)
         assert {r["run"]: r["digest"] for r in found.collect()} == want
     assert provenance.tree_digest(rows.limit(0), "run", "pos", "piece").count() == 0
+
+
+def test_contexts_meet_chats_without_a_broadcast(spark):
+    rows = [(f"c{i}", pos, role, f"{role} {i} ") for i in range(6) for pos, role in enumerate(["system", "user", "user"] if i % 2 else ["system"])]
+    messages = spark.createDataFrame(rows, "chat_id string, pos int, role string, content string")
+    given = [(f"c{i}", "" if i == 5 else f"context {i}") for i in (0, 1, 3, 5)] + [("nowhere", "lost"), (None, "lost")]
+    contexts = spark.createDataFrame(given, "chat_id string, context string")
+    found = prompts.with_tool_context(materialize(messages, "t"), materialize(contexts, "t"))
+    # both sides look small by their files and grow with the chats
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["chat_id"], r["pos"]): (r["role"], r["content"]) for r in found.collect()}
+    expected = {(chat, pos): (role, content) for chat, pos, role, content in rows}
+    expected |= {("c0", 1): ("user", "context 0"), ("c1", 2): ("user", "user 1\n\ncontext 1"), ("c3", 2): ("user", "user 3\n\ncontext 3")}
+    assert got == expected and found.count() == len(expected)
