@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +18,8 @@ from assayer import schemas
 from assayer.operators.ranking import spread
 from assayer.session import materialize
 
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
     """Prices per model; a file that is not readable JSON gives none."""
@@ -61,12 +70,72 @@ def read_case_texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
+def _mounted(spark: SparkSession, folder: str) -> str | None:
+    """The path under which tasks reach a folder by themselves, or None of one in a store that Spark alone reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+# fixed values: what Spark writes with its code in a partition's folder name, and the name of a missing value
+_ESCAPED = re.compile(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]")
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _folder_name(column: str, value: str | None) -> str:
+    """A partition's folder as Spark names it."""
+    return f"{column}={_ESCAPED.sub(lambda found: f'%{ord(found[0]):02X}', value) if value else _NO_VALUE}"
+
+
 def write_case_files(files: DataFrame, folder: str) -> None:
     """One text file per case of ``files(run, case, value)``, in a folder ``run=.../case=...``.
 
     Cases are dealt over all tasks: a compact table may be one split, and a file costs the same whatever its size.
+    On a mounted disk tasks write the files themselves. Spark's writer starts a process there for each right it sets, and
+    its commit moves the folders one by one. A task that runs again writes the same names; half a file has a hidden name.
     """
-    spread(files, "run", "case").write.partitionBy("run", "case").text(folder)
+    path = _mounted(files.sparkSession, folder)
+    if path is None:
+        spread(files, "run", "case").write.partitionBy("run", "case").text(folder)
+        return
+    if os.path.isdir(path) and os.listdir(path):
+        raise FileExistsError(f"{folder} is not empty")
+    empty_is_none = [F.nullif(F.col(name).cast("string"), F.lit("")).alias(name) for name in ("run", "case")]
+    # bytes, as a text may hold some that are no UTF-8
+    dealt = spread(files.select(*empty_is_none, F.col("value").cast("binary").alias("value")), "run", "case")
+
+    def write(batches):
+        part, count, at, out = TaskContext.get().partitionId(), 0, None, None
+
+        def close() -> None:
+            if out:
+                out.close()
+                os.replace(out.name, f"{at}/part-{part:05d}-{count:07d}.txt")
+
+        for batch in batches:
+            for run, case, value in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                place = f"{path}/{_folder_name('run', run)}/{_folder_name('case', case)}"
+                if place != at:
+                    close()
+                    at, count = place, count + 1
+                    os.makedirs(at, exist_ok=True)
+                    out = open(f"{at}/.{uuid.uuid4().hex}", "xb")
+                out.write((value or b"") + b"\n")
+        close()
+        yield from ()
+
+    dealt.sortWithinPartitions("run", "case").mapInArrow(write, "run string").write.format("noop").mode("overwrite").save()
+
+
+@contextmanager
+def _listed_by_cores(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by a few tasks per core instead of up to ten thousand, each of which costs more than a folder."""
+    before = spark.conf.get(LISTING_TASKS, None)
+    spark.conf.set(LISTING_TASKS, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(LISTING_TASKS) if before is None else spark.conf.set(LISTING_TASKS, before)
 
 
 def read_case_files(spark: SparkSession, folder: str, name: str, expected: DataFrame) -> DataFrame:
@@ -75,7 +144,8 @@ def read_case_files(spark: SparkSession, folder: str, name: str, expected: DataF
     Bytes that are no UTF-8 become replacement characters, and ``repaired`` says so; a case without file, or with an empty one, has no text.
     Small files are packed into tasks by their sizes; a file larger than a task's share is read by one task.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
+    with _listed_by_cores(spark):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
     text = F.col("content").cast("string")
     read = raw.select(
         F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1).alias("run_id"),

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from assayer.operators import report
 from assayer.sources import artifacts, cases
 
@@ -96,3 +98,37 @@ def test_case_files_are_dealt_over_tasks(spark, tmp_path):
         written = list((tmp_path / name).rglob("*.txt"))
         assert len(written) == 41 and len({f.name.split("-")[1] for f in written}) > 1
         assert next((tmp_path / name / "run=en" / "case=twice").glob("*.txt")).read_text() == "a\na\n"
+
+
+def test_case_files_are_written_by_their_tasks(spark, tmp_path):
+    names = ["a b", "x:y/z%", "it's #1?*[q]{^}=\\", "\t\n\x7f", "", None, "é", "__"]
+    rows = [(run, case, f"{run} {case}") for run in names for case in names] + [("r", "none", None), ("r", "two", "1"), ("r", "two", "1")]
+    files = spark.createDataFrame(rows, "run string, case string, value string")
+    raw = files.unionByName(spark.sql("SELECT 'r' AS run, 'bytes' AS case, CAST(X'FF78' AS STRING) AS value"))
+    contents = lambda folder: sorted((str(f.parent.relative_to(folder)), b"\n".join(sorted(f.read_bytes().split(b"\n")))) for f in folder.rglob("*.txt"))
+    raw.repartition("run", "case").write.partitionBy("run", "case").text(str(tmp_path / "spark"))
+    artifacts.write_case_files(raw, str(tmp_path / "own"))
+    assert contents(tmp_path / "own") == contents(tmp_path / "spark")
+    # neither checksums nor a commit's mark nor half a file: nothing but the files
+    assert all(f.suffix == ".txt" for f in (tmp_path / "own").rglob("*") if f.is_file())
+    with pytest.raises(FileExistsError):
+        artifacts.write_case_files(raw, str(tmp_path / "own"))
+
+
+def test_case_files_are_listed_by_a_few_tasks(spark, tmp_path):
+    cases = [f"c{i}" for i in range(400)]
+    for case in cases:
+        (tmp_path / "run" / case).mkdir(parents=True)
+        (tmp_path / "run" / case / "a.txt").write_text(case)
+    expected = spark.createDataFrame([("run", c) for c in cases], "run_id string, case_id string")
+    group, tracker = f"listing-{tmp_path.name}", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, "listing")
+    try:
+        before = spark.conf.get(artifacts.LISTING_TASKS, None)
+        found = artifacts.read_case_files(spark, str(tmp_path), "*.txt", expected)
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        assert [s.numTasks for s in stages] == [4 * spark.sparkContext.defaultParallelism]
+        assert spark.conf.get(artifacts.LISTING_TASKS, None) == before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r["text"] for r in found.collect()) == sorted(cases)
