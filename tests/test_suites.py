@@ -126,3 +126,45 @@ def test_a_copy_in_order_of_a_column_keeps_all_rows(spark):
     files = copy.where("k IS NOT NULL").groupBy("_metadata.file_path").agg(F.min("k").alias("low"), F.max("k").alias("high"))
     spans = sorted((r["low"], r["high"]) for r in files.collect())
     assert all(before[1] < after[0] for before, after in zip(spans, spans[1:]))
+
+
+def test_a_query_that_fails_for_its_rows_is_an_error(spark, monkeypatch):
+    long, rows_of = "SELECT id FROM numbers", suites.row_bag
+
+    def some_fail(result):
+        if "lost" in result.columns:
+            raise RuntimeError("gone")
+        return rows_of(result)
+
+    monkeypatch.setattr(suites, "row_bag", some_fail)
+    rows = [("pred", long, "SELECT id AS lost FROM numbers"), ("gold", "SELECT id + 0 AS lost FROM numbers", long), ("fine", long, "SELECT id * 1 FROM numbers")]
+    rows += [("both", "SELECT id AS lost FROM numbers", "SELECT id AS lost FROM numbers")]
+    folder = work_folder(spark, "t")
+    details = evaluate.evaluate_suite(spark, *suite(spark, rows), folder=folder, prepare=tables)
+    got = {r["case_id"]: (r["exact_match"], r["gold_error"], r["pred_error"], r["gold_row_count"], r["pred_row_count"]) for r in details.collect()}
+    error = "RuntimeError: gone"
+    assert got == {
+        "pred": (False, None, error, 100, 0), "gold": (False, error, None, 0, 100), "fine": (True, None, None, 100, 100), "both": (False, error, error, 0, 0)
+    }
+    summary = evaluate.summarize(details, "model").first()
+    assert (summary["total_evaluated"], summary["exact_matches"], summary["prediction_error_count"]) == (2, 1, 1)
+    _, status = evaluate.execute_texts(spark, ["SELECT id AS lost FROM range(100)", "SELECT id FROM range(100)"])
+    assert sorted(str(r["error"]) for r in status.collect()) == ["None", error]
+
+
+def test_a_stopped_query_has_a_second_try_for_its_rows(spark, monkeypatch):
+    folder, tries = work_folder(spark, "t"), []
+    work = suites.work_list(spark.createDataFrame([("SELECT id FROM numbers",), ("SELECT id + 1 FROM numbers",)], "sql string"), folder)
+    limited = suites._limited
+
+    def late(session, seconds, job):
+        tries.append(seconds)
+        return (None, suites.TIME_LIMIT) if len(tries) <= 3 else limited(session, seconds, job)
+
+    with suites.suite_session(spark, tables) as session:
+        status = suites.run_profiles(session, work, folder)
+        monkeypatch.setattr(suites, "_limited", late)
+        bags = suites.write_bags(session, work, status, folder, seconds=60)
+        assert bags.groupBy("query_id").agg(F.sum("n").alias("n")).select("n").collect() == [(100,), (100,)]
+        # both together, each alone, each alone again
+        assert tries == [120, 60, 60, 60, 60] and suites.failures(spark, folder).isEmpty()
