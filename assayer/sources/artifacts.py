@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from fnmatch import fnmatchcase
+from functools import reduce
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer import schemas
-from assayer.operators.ranking import spread
+from assayer.operators.ranking import join_wide, spread
 from assayer.session import materialize
 
-LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+READ_BYTES = 4 << 20
+# fixed values: names that Spark's readers pass over, and patterns that Python's fnmatch reads in another way
+_HIDDEN = re.compile(r"^\.|^_(?!metadata|common_metadata)[^=]*$|\._COPYING_$")
+_PATTERN = re.compile(r"[\[\]{}?\\]")
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
@@ -127,34 +131,71 @@ def write_case_files(files: DataFrame, folder: str) -> None:
     dealt.sortWithinPartitions("run", "case").mapInArrow(write, "run string").write.format("noop").mode("overwrite").save()
 
 
-@contextmanager
-def _listed_by_cores(spark: SparkSession) -> Iterator[None]:
-    """Folders are listed by a few tasks per core instead of up to ten thousand, each of which costs more than a folder."""
-    before = spark.conf.get(LISTING_TASKS, None)
-    spark.conf.set(LISTING_TASKS, str(4 * spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        spark.conf.unset(LISTING_TASKS) if before is None else spark.conf.set(LISTING_TASKS, before)
+def _files_below(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Files of that name below a mounted folder as ``(path, bytes)``, listed level by level by tasks.
+
+    The driver never has the list, which is as long as the cases. Empty files and hidden ones are passed over, as Spark does.
+    """
+
+    def listed(batches):
+        for batch in batches:
+            for place in batch.column(0).to_pylist():
+                with os.scandir(place) as entries:
+                    rows = [(e.path, None if e.is_dir() else e.stat().st_size) for e in entries if not _HIDDEN.search(e.name) and (e.is_dir() or fnmatchcase(e.name, name))]
+                for at in range(0, len(rows), 10_000):
+                    paths, sizes = zip(*rows[at : at + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    found, folders = [], spark.createDataFrame([(path,)], "path string")
+    while True:
+        level = materialize(spread(folders).mapInArrow(listed, "path string, bytes bigint"), "listing")
+        found.append(level.where("bytes > 0"))
+        folders = level.where("bytes IS NULL").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+
+
+def _with_contents(rows: DataFrame) -> DataFrame:
+    """Rows with ``path`` and the bytes of that file as ``content``, a few MB in memory at a time besides the largest file."""
+
+    def read(batches):
+        for batch in batches:
+            start, size, contents = 0, 0, []
+            for at, path in enumerate(batch.column("path").to_pylist(), 1):
+                if path is None:
+                    contents.append(None)
+                else:
+                    with open(path, "rb") as file:
+                        contents.append(file.read())
+                    size += len(contents[-1])
+                if size >= READ_BYTES or at == batch.num_rows:
+                    columns = [*batch.slice(start, at - start).columns, pa.array(contents, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "content"])
+                    start, size, contents = at, 0, []
+
+    # dealt out anew, as the paths are narrow enough for few tasks and their contents are not
+    return spread(rows).mapInArrow(read, T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
 def read_case_files(spark: SparkSession, folder: str, name: str, expected: DataFrame) -> DataFrame:
     """Texts of ``expected(run_id, case_id)`` from files of any bytes: ``(run_id, case_id, text, bytes, repaired, found)``.
 
     Bytes that are no UTF-8 become replacement characters, and ``repaired`` says so; a case without file, or with an empty one, has no text.
-    Small files are packed into tasks by their sizes; a file larger than a task's share is read by one task.
+    On a mounted disk tasks list the folders and read the files of expected cases only, so texts are not shuffled. Otherwise
+    Spark's reader packs small files into tasks by their sizes. One task reads a file, however large.
     """
-    with _listed_by_cores(spark):
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
+    path, keys = _mounted(spark, folder), ["run_id", "case_id"]
+    names = lambda at: [F.regexp_extract(at, r"([^/]+)/[^/]+/[^/]+$", 1).alias("run_id"), _parent(F.col(at)).alias("case_id")]
     text = F.col("content").cast("string")
-    read = raw.select(
-        F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1).alias("run_id"),
-        _parent(F.col("path")).alias("case_id"),
-        F.make_valid_utf8(text).alias("text"),
-        F.col("length").alias("bytes"),
-        (~F.is_valid_utf8(text)).alias("repaired"),
-    )
-    return expected.join(read, ["run_id", "case_id"], "left").withColumn("found", F.col("text").isNotNull())
+    contents = {"text": F.make_valid_utf8(text), "bytes": F.col("bytes"), "repaired": ~F.is_valid_utf8(text), "found": F.col("content").isNotNull()}
+    given = [F.col(c) for c in [*keys, *(c for c in expected.columns if c not in keys)]]
+    if path is None or _PATTERN.search(name) or _PATTERN.search(folder.replace("*", "[")):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
+        read = expected.join(raw.select(*names("path"), "content", F.col("length").alias("bytes")), keys, "left")
+    else:
+        found = _files_below(spark, path, name)
+        read = _with_contents(join_wide(expected, found.select(*names("path"), "path", "bytes"), keys, "left"))
+    return read.select(*given, *[column.alias(c) for c, column in contents.items()])
 
 
 def read_gold_lines(spark: SparkSession, path: str) -> DataFrame:

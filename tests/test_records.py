@@ -115,20 +115,20 @@ def test_case_files_are_written_by_their_tasks(spark, tmp_path):
         artifacts.write_case_files(raw, str(tmp_path / "own"))
 
 
-def test_case_files_are_listed_by_a_few_tasks(spark, tmp_path):
-    cases = [f"c{i}" for i in range(400)]
-    for case in cases:
-        (tmp_path / "run" / case).mkdir(parents=True)
-        (tmp_path / "run" / case / "a.txt").write_text(case)
-    expected = spark.createDataFrame([("run", c) for c in cases], "run_id string, case_id string")
-    group, tracker = f"listing-{tmp_path.name}", spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup(group, "listing")
-    try:
-        before = spark.conf.get(artifacts.LISTING_TASKS, None)
-        found = artifacts.read_case_files(spark, str(tmp_path), "*.txt", expected)
-        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
-        assert [s.numTasks for s in stages] == [4 * spark.sparkContext.defaultParallelism]
-        assert spark.conf.get(artifacts.LISTING_TASKS, None) == before
-    finally:
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert sorted(r["text"] for r in found.collect()) == sorted(cases)
+def test_case_files_are_read_by_their_tasks(spark, tmp_path, monkeypatch):
+    for place in ("run/c1", "run/c2", "deep/er/run/c1", "run/.hidden", "run/_left", "run/_k=v", "other/c1", "run/c3", "_x/run/c4"):
+        (tmp_path / place).mkdir(parents=True)
+        for name in ("a.txt", "b.txt", "c.sql", ".d.txt", "_e.txt", "_f=.txt", "empty.txt"):
+            (tmp_path / place / name).write_bytes(b"" if name == "empty.txt" else f"{place} {name} \xff".encode("latin-1"))
+    rows = [(c, r, n) for n, c in enumerate(["c1", "c1", "c2", "absent", ".hidden", "_left", "_k=v", "c4", None]) for r in ("run", "other", None)]
+    expected = spark.createDataFrame(rows, "case_id string, run_id string, more int")
+    read = lambda name: artifacts.read_case_files(spark, str(tmp_path), name, expected)
+    monkeypatch.setattr(artifacts, "READ_BYTES", 20)
+    own = {name: read(name) for name in ("*.txt", "c.sql", "{a,b}.txt", "nothing")}
+    # a plan that lists files on the driver has a scan of them
+    assert all(("binaryFile" in df._jdf.queryExecution().toString()) == ("{" in name) for name, df in own.items())
+    monkeypatch.setattr(artifacts, "_mounted", lambda spark, folder: None)
+    in_order = lambda df: sorted(map(repr, df.collect()))
+    for name, df in own.items():
+        assert df.schema.simpleString() == read(name).schema.simpleString() and in_order(df) == in_order(read(name))
+    assert df.count() == len(rows) and own["*.txt"].where("found").count() > 10
