@@ -168,3 +168,19 @@ def test_a_stopped_query_has_a_second_try_for_its_rows(spark, monkeypatch):
         assert bags.groupBy("query_id").agg(F.sum("n").alias("n")).select("n").collect() == [(100,), (100,)]
         # both together, each alone, each alone again
         assert tries == [120, 60, 60, 60, 60] and suites.failures(spark, folder).isEmpty()
+
+
+def test_a_suite_cuts_files_no_finer_than_cores_need(spark, tmp_path):
+    spark.range(0, 400_000, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(str(tmp_path / "t"))
+    before, cores = spark.conf.get(suites.SPLIT_BYTES), spark.sparkContext.defaultParallelism
+    opened = lambda session: session.read.parquet(str(tmp_path / "t")).createOrReplaceTempView("t")
+    try:
+        for given in ("1m", "512m"):
+            spark.conf.set(suites.SPLIT_BYTES, given)
+            with suites.suite_session(spark, opened) as session:
+                splits = session.sql("SELECT text FROM t").rdd.getNumPartitions()
+                assert 1 < splits <= cores + 1 and session.sql("SELECT count(DISTINCT text) FROM t").first()[0] == 400_000
+                assert (session.conf.get(suites.SPLIT_BYTES) == str(512 << 20)) == (given == "512m")
+            assert spark.conf.get(suites.SPLIT_BYTES) == given
+    finally:
+        spark.conf.set(suites.SPLIT_BYTES, before)
